@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import sentencepiece
+from lodestone.llm import repetition, sentencepiece
 from lodestone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,30 @@ def query(sql: str | None = None):
 def op1_sentencepiece(spark, d):
     """Ids of every document and the text that they give back."""
     return sentencepiece.round_trip(table(spark, d, "documents"), sentencepiece.load(spark))
+
+
+@query("""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+p AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+g AS (SELECT rid, pos, lead(word, 2) OVER o AS w3, lead(word, 4) OVER o AS w5,
+      concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o) AS s3,
+      concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS s5
+      FROM p WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+r3 AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY rid, s3) AS c FROM g WHERE w3 IS NOT NULL) WHERE c > 1),
+r5 AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY rid, s5) AS c FROM g WHERE w5 IS NOT NULL) WHERE c > 1),
+c3 AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest([pos, pos + 1, pos + 2]) AS q FROM r3) GROUP BY rid),
+c5 AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest([pos, pos + 1, pos + 2, pos + 3, pos + 4]) AS q FROM r5) GROUP BY rid),
+l AS (SELECT DISTINCT rid FROM (SELECT rid, md5(array_to_string(ws[pos : pos + 60], ' ')) AS h FROM r5 JOIN w USING (rid) WHERE pos + 60 <= len(ws)) GROUP BY rid, h HAVING count(*) > 1),
+n AS (SELECT w.rid, doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+      len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+      list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+      coalesce(c3.n, 0)::BIGINT AS n_repeat_words, coalesce(c5.n, 0)::BIGINT AS covered_words, l.rid IS NOT NULL AS long_one
+      FROM w LEFT JOIN c3 ON w.rid = c3.rid LEFT JOIN c5 ON w.rid = c5.rid LEFT JOIN l ON w.rid = l.rid),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM n)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND covered_words <= 0.3::DOUBLE * n_words AND NOT long_one AS kept, covered_words FROM f""")
+def op2_repetition(spark, d):
+    """Repetition inside every document, and whether it is kept."""
+    got = repetition.rules(table(spark, d, "documents"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words")
