@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import repetition, sentencepiece
+from lodestone.llm import repetition, sentencepiece, simhash
 from lodestone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,10 @@ def op2_repetition(spark, d):
     """Repetition inside every document, and whether it is kept."""
     got = repetition.rules(table(spark, d, "documents"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words")
+
+
+@query()
+def op7_simhash(spark, d):
+    """Fingerprint and near-duplicate component of every document."""
+    got = simhash.classes(table(spark, d, "documents"))
+    return got.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
