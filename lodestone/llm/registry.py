@@ -44,9 +44,9 @@ r5 AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY rid, s
 c3 AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest([pos, pos + 1, pos + 2]) AS q FROM r3) GROUP BY rid),
 c5 AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest([pos, pos + 1, pos + 2, pos + 3, pos + 4]) AS q FROM r5) GROUP BY rid),
 l AS (SELECT DISTINCT rid FROM (SELECT rid, md5(array_to_string(ws[pos : pos + 60], ' ')) AS h FROM r5 JOIN w USING (rid) WHERE pos + 60 <= len(ws)) GROUP BY rid, h HAVING count(*) > 1),
-n AS (SELECT w.rid, doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+n AS (SELECT w.rid, doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
       len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-      list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
       coalesce(c3.n, 0)::BIGINT AS n_repeat_words, coalesce(c5.n, 0)::BIGINT AS covered_words, l.rid IS NOT NULL AS long_one
       FROM w LEFT JOIN c3 ON w.rid = c3.rid LEFT JOIN c5 ON w.rid = c5.rid LEFT JOIN l ON w.rid = l.rid),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM n)
