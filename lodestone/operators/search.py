@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
@@ -17,13 +18,13 @@ def bm25_scores(docs: DataFrame, query: str, k1: float = 1.5, b: float = 0.75, i
     per document row with array functions, so nothing is exploded and only the
     corpus statistics (one row) are shuffled.
     """
-    words = [w.lower() for w in __import__("re").findall("[A-Za-z0-9_]+", query)]
+    words = [w.lower() for w in re.findall("[A-Za-z0-9_]+", query)]
     reps = sorted(Counter(words).items())
     toks = docs.select(F.col(id_col).alias("_id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
     counted = toks.select(
         "_id",
         F.size("_t").cast("double").alias("_dl"),
-        *[F.size(F.filter("_t", lambda x, w=w: x == w)).cast("double").alias(f"_tf{i}") for i, (w, _) in enumerate(reps)],
+        *[_times("_t", w).alias(f"_tf{i}") for i, (w, _) in enumerate(reps)],
     )
     stats = counted.agg(
         F.count(F.lit(1)).cast("double").alias("_n"),
@@ -38,3 +39,8 @@ def bm25_scores(docs: DataFrame, query: str, k1: float = 1.5, b: float = 0.75, i
         score = score + r * idf * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("_dl") / F.col("_avg")))
         hit = hit | (tf > 0)
     return counted.filter(hit).crossJoin(F.broadcast(stats)).select(F.col("_id").alias(id_col), score.alias("score"))
+
+
+def _times(col: str, word: str) -> Column:
+    """How often ``word`` is in an array column."""
+    return F.size(F.filter(col, lambda x: x == word)).cast("double")

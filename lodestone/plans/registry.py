@@ -27,8 +27,8 @@ def query(sql: str | None = None):
 
 
 @query("""
-WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text,''), '[A-Za-z0-9_]+'), x -> lower(x)) AS w FROM documents),
-c AS (SELECT doc_id, len(w)::DOUBLE dl, len(list_filter(w, x -> x='the'))::DOUBLE a, len(list_filter(w, x -> x='and'))::DOUBLE b, len(list_filter(w, x -> x='ion'))::DOUBLE d FROM t),
+WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text,''), '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM documents),
+c AS (SELECT doc_id, len(w)::DOUBLE dl, len(list_filter(w, lambda x: x='the'))::DOUBLE a, len(list_filter(w, lambda x: x='and'))::DOUBLE b, len(list_filter(w, lambda x: x='ion'))::DOUBLE d FROM t),
 s AS (SELECT count(*)::DOUBLE n, avg(dl) av, sum((a>0)::INT)::DOUBLE da, sum((b>0)::INT)::DOUBLE db, sum((d>0)::INT)::DOUBLE dd FROM c),
 r AS (SELECT doc_id, ln((n-db+5e-1)/(db+5e-1)+1e0)*b*25e-1/(b+15e-1*(25e-2+75e-2*dl/av)) + ln((n-dd+5e-1)/(dd+5e-1)+1e0)*d*25e-1/(d+15e-1*(25e-2+75e-2*dl/av)) + ln((n-da+5e-1)/(da+5e-1)+1e0)*a*25e-1/(a+15e-1*(25e-2+75e-2*dl/av)) AS s FROM c, s WHERE a+b+d>0)
 SELECT doc_id, round(s, 6) AS score FROM r ORDER BY round(s,6) DESC, doc_id LIMIT 20""")
