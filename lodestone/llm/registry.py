@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import repetition, sentencepiece, simhash
+from lodestone.llm import langid, repetition, sentencepiece, simhash
 from lodestone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,9 @@ def op7_simhash(spark, d):
     """Fingerprint and near-duplicate component of every document."""
     got = simhash.classes(table(spark, d, "documents"))
     return got.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
+
+
+@query()
+def op10_langid(spark, d):
+    """Language of every document by the nearest centroid."""
+    return langid.learn_and_identify(table(spark, d, "documents"))
