@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import langid, repetition, sentencepiece, simhash
+from lodestone.llm import langid, repetition, sentencepiece, simhash, toxicity
 from lodestone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,9 @@ def op7_simhash(spark, d):
 def op10_langid(spark, d):
     """Language of every document by the nearest centroid."""
     return langid.learn_and_identify(table(spark, d, "documents"))
+
+
+@query()
+def op5_toxicity(spark, d):
+    """Toxicity score of every document by a factorization machine."""
+    return toxicity.learn_and_score(table(spark, d, "documents"), table(spark, d, "labels"))
