@@ -5,8 +5,8 @@ else one space), weighed by TF-IDF with ``1 + ln tf`` and of length 1. Document
 frequencies are counted over all training documents. Each language has several
 centroids, found by clustering a bounded sample of its training documents; a
 text has the language of the centroid with the largest cosine, and is rejected
-if it is farther from it than ``reject`` times what its own language's sample
-of like size reaches at least.
+if that cosine is below ``REJECT`` and below half of what its own language's
+sample of like size reaches at least.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from lodestone.llm.common import held_out, slices, texts
 BUCKETS, CENTROIDS, SAMPLE = 1 << 14, 4, 256
 #: Languages at most, so that what is broadcast stays small (64 KB a centroid).
 MAX_LANGUAGES = 200
-#: A text is rejected below this part of the cosine that training texts of its size reach at least.
-REJECT = 0.5
+#: No text is rejected from this cosine on; below it, those are with less than ``PART`` of what training texts of its size reach at least.
+REJECT, PART = 0.1, 0.5
 #: Upper ends of the sizes (in n-grams) for which the sample's least cosine is kept.
 SIZES = (16, 64, 256, 1024)
 UNKNOWN = "und"
@@ -108,7 +108,7 @@ class Model:
         best = int(cos.argmax())
         score = min(1.0, max(0.0, float(cos[best])))
         lang = self.langs[best]
-        return lang, score, score < REJECT * float(self.least[lang][size_class(len(b))])
+        return lang, score, score < min(REJECT, PART * float(self.least[lang][size_class(len(b))]))
 
 
 def size_class(n: int) -> int:

@@ -66,7 +66,7 @@ class Machine:
         return float(1.0 / (1.0 + np.exp(-(self.bias + self.weight[f].sum() + 0.5 * ((s * s).sum() - (v * v).sum())))))
 
 
-def train(buckets: list[np.ndarray], label: np.ndarray, cost: np.ndarray, rounds: int = 150, seed: int = 7) -> Machine:
+def train(buckets: list[np.ndarray], label: np.ndarray, cost: np.ndarray, rounds: int = 300, seed: int = 7) -> Machine:
     """Fits by Adam on the log loss, rows weighed by ``cost``."""
     positive, total = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for b, y in zip(buckets, label, strict=True):
@@ -97,7 +97,7 @@ def train(buckets: list[np.ndarray], label: np.ndarray, cost: np.ndarray, rounds
             out = theta["b"][0] + x @ w + 0.5 * ((xv * xv).sum(1) - x @ (v * v).sum(1))
             d = (c * (1 / (1 + np.exp(-np.clip(out, -30, 30))) - label)).astype(np.float32)
             xd = x.T @ d
-            grad = {"b": np.array([d.sum()]), "w": xd + 1e-4 * w, "v": x.T @ (d[:, None] * xv) - v * xd[:, None] + 1e-4 * v}
+            grad = {"b": np.array([d.sum()]), "w": xd + 1e-6 * w, "v": x.T @ (d[:, None] * xv) - v * xd[:, None] + 1e-5 * v}
             for k, g in grad.items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 s[k] = 0.99 * s[k] + 0.01 * g * g
