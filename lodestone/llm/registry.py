@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import langid, repetition, sentencepiece, simhash, toxicity
+from lodestone.llm import ann, langid, repetition, sentencepiece, simhash, toxicity
 from lodestone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,9 @@ def op10_langid(spark, d):
 def op5_toxicity(spark, d):
     """Toxicity score of every document by a factorization machine."""
     return toxicity.learn_and_score(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query()
+def op9_ann(spark, d):
+    """The 20 nearest of every query vector, among all others."""
+    return ann.search(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
