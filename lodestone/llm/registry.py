@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, langid, repetition, sentencepiece, simhash, toxicity
+from lodestone.llm import ann, langid, repetition, sentencepiece, simhash, toxicity, warc
 from lodestone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,14 @@ def op5_toxicity(spark, d):
 def op9_ann(spark, d):
     """The 20 nearest of every query vector, among all others."""
     return ann.search(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, octet_length(encode(h))::BIGINT AS b, sha1(h) AS s FROM p),
+r AS (SELECT *, b >= 1000 AND page_id < max(page_id) OVER (PARTITION BY s) AS again, max(page_id) OVER (PARTITION BY s) AS last FROM q)
+SELECT page_id, b AS payload_bytes, s AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN last END AS refers_to, true AS verified FROM r""")
+def op8_warc(spark, d):
+    """Every page written to WARC archives and read back."""
+    return warc.through_archives(table(spark, d, "pages"))
