@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, langid, repetition, sentencepiece, simhash, toxicity, warc
+from lodestone.llm import ann, langid, repetition, sentencepiece, simhash, toxicity, url_filter, warc
 from lodestone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ SELECT page_id, b AS payload_bytes, s AS payload_digest, CASE WHEN again THEN 'r
 def op8_warc(spark, d):
     """Every page written to WARC archives and read back."""
     return warc.through_archives(table(spark, d, "pages"))
+
+
+@query()
+def op4_url_filter(spark, d):
+    """Verdict on every page's URL."""
+    return url_filter.judge(table(spark, d, "pages"))
