@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, langid, repetition, sentencepiece, simhash, toxicity, url_filter, warc
+from lodestone.llm import ann, langid, mixing, repetition, sentencepiece, simhash, toxicity, url_filter, warc
 from lodestone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ def op8_warc(spark, d):
 def op4_url_filter(spark, d):
     """Verdict on every page's URL."""
     return url_filter.judge(table(spark, d, "pages"))
+
+
+@query()
+def op3_mixing(spark, d):
+    """Words that the mix of all sources takes of every document."""
+    return mixing.counts(table(spark, d, "documents"))
