@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, langid, mixing, repetition, sentencepiece, simhash, toxicity, url_filter, warc
+from lodestone.llm import ann, langid, mixing, pii, repetition, sentencepiece, simhash, toxicity, url_filter, warc
 from lodestone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ def op4_url_filter(spark, d):
 def op3_mixing(spark, d):
     """Words that the mix of all sources takes of every document."""
     return mixing.counts(table(spark, d, "documents"))
+
+
+@query()
+def op6_pii(spark, d):
+    """Personal data in every document."""
+    return pii.digest(table(spark, d, "documents"))
