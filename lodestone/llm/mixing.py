@@ -195,7 +195,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     sources = set_targets([(r.source, r["size"]) for r in sums], weights, total, times)
     set_slots(sources, block, times)
     placed = place(rows, sources, sum(r.n for r in sums))
-    taken = pieces(placed, block).join(slots(docs.sparkSession, sources, shards, block), ["ix", "number"])
+    # Slots come from few rows on the driver, from which their number cannot be told: never broadcast them.
+    taken = pieces(placed, block).join(slots(docs.sparkSession, sources, shards, block).hint("merge"), ["ix", "number"])
     taken = taken.withColumn("hi", F.least("hi", "words")).filter("hi > lo")
     return sources, placed, taken
 
