@@ -177,25 +177,26 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     return Model(idf, [r.lang for r in rest], np.ascontiguousarray(matrix), {r.lang: np.array(r.least) for r in rest})
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score, rejected, ...): the nearest centroid's language of every text.
 
     Texts that are null or have no letter are ``und``, score 0 and rejected;
     so is all if the model knows no language. Of equal cosines the first by
     language counts. Repeated rows give a row each. ``keep``: columns of
-    ``df`` that the result takes over after these.
+    ``df`` that the result takes over after these, none named as these are.
     """
     known = df.sparkSession.sparkContext.broadcast(model)
+    source = texts(df, id_col, text_col, *(c for c in keep if c != text_col))
+    at = [1 if c == text_col else source.columns.index(c, 2) for c in keep]
 
     def run(batches):
         for b in slices(batches):
             got = [known.value.predict(t) for t in b.column(1).to_pylist()]
             cols = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, *b.columns[2:]], ["doc_id", "lang_pred", "score", "rejected", *b.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, *(b.column(i) for i in at)], ["doc_id", "lang_pred", "score", "rejected", *keep])
 
-    source = texts(df, id_col, text_col, *keep)
-    kinds = "".join(f", `{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean{kinds}")
+    kinds = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return source.mapInArrow(run, f"doc_id {df.schema[id_col].dataType.simpleString()}, lang_pred string, score double, rejected boolean{kinds}")
 
 
 def learn_and_identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
