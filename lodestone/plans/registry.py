@@ -1,37 +1,8 @@
-"""Registered queries over the driver's tables, with the SQL that checks them."""
+"""All registered queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodestone.plans import conversations, graphs, joins, scores, searches, tables, telemetry  # noqa: F401
+from lodestone.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lodestone.operators import search
-from lodestone.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL if it has any."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query("""
-WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text,''), '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM documents),
-c AS (SELECT doc_id, len(w)::DOUBLE dl, len(list_filter(w, lambda x: x='the'))::DOUBLE a, len(list_filter(w, lambda x: x='and'))::DOUBLE b, len(list_filter(w, lambda x: x='ion'))::DOUBLE d FROM t),
-s AS (SELECT count(*)::DOUBLE n, avg(dl) av, sum((a>0)::INT)::DOUBLE da, sum((b>0)::INT)::DOUBLE db, sum((d>0)::INT)::DOUBLE dd FROM c),
-r AS (SELECT doc_id, ln((n-db+5e-1)/(db+5e-1)+1e0)*b*25e-1/(b+15e-1*(25e-2+75e-2*dl/av)) + ln((n-dd+5e-1)/(dd+5e-1)+1e0)*d*25e-1/(d+15e-1*(25e-2+75e-2*dl/av)) + ln((n-da+5e-1)/(da+5e-1)+1e0)*a*25e-1/(a+15e-1*(25e-2+75e-2*dl/av)) AS s FROM c, s WHERE a+b+d>0)
-SELECT doc_id, round(s, 6) AS score FROM r ORDER BY round(s,6) DESC, doc_id LIMIT 20""")
-def bm25_topk(spark, d):
-    s = search.bm25_scores(table(spark, d, "documents"), "the and ion")
-    return s.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+__all__ = ["ORACLES", "QUERIES"]
