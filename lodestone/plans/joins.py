@@ -33,7 +33,7 @@ def enclosing_interval(spark, d):
 
 
 @query("""WITH s AS (SELECT l_suppkey AS k, l_orderkey AS id, l_linenumber AS n, l_partkey AS s, l_partkey + (l_quantity*10)::INT AS e FROM lineitem), q AS (SELECT s_suppkey AS k, s_suppkey * 7 AS pt FROM supplier)
-SELECT k AS s_suppkey, arg_min(id * 10 + n, (e - s) * 1e12 - s * 1e6 + (id * 10 + n) / 1e9) AS line FROM s JOIN q USING (k) WHERE pt BETWEEN s AND e GROUP BY 1""")
+SELECT k AS s_suppkey, arg_min(id * 10 + n, (e - s, -s, id * 10 + n)) AS line FROM s JOIN q USING (k) WHERE pt BETWEEN s AND e GROUP BY 1""")
 def innermost_range(spark, d):
     """[J5] The shortest range of a key that holds a point."""
     r = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.round(F.col("l_quantity") * 10).cast("int")).alias("end"))
