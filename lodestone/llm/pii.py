@@ -39,8 +39,9 @@ MORE = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
     "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?",
 }
-#: A text without these has no such span, which is cheaper to see.
+#: A text without these has no such span, which is cheaper to see; those kinds that need a digit are looked at only where there is one.
 HINT = {"email": "@", "phone": "\\+", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "ssn": "[0-9]-[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "name": "(?:Mr|Mrs|Ms|Dr|Prof)\\.?\\x20"}
+DIGITS = {"ip", "card", "phone", "ssn", "iban"}
 KINDS = ("email", "ip", "card", "phone", "iban", "name", "ssn")
 NEAR = 40
 #: Words before a span that speak for its kind.
@@ -61,23 +62,30 @@ ROUNDS = 40
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,match:string,before:string,after:string>>"
 
 
-def find(text: Column, kind: str, pattern: str) -> Column:
-    """Leftmost spans of ``pattern``, which do not overlap: their kind, code-point offsets, text and surroundings."""
+def _once(value: Column, use) -> Column:
+    """``use(value)``, for which ``value`` is computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def find(text: Column, kind: str, pattern: str, possible: Column) -> Column:
+    """Leftmost spans of ``pattern``, which do not overlap: their kind, code-point offsets, text and surroundings; none where not ``possible``."""
+
+    def spans(pieces: Column) -> Column:
+        # Pieces stand alternately outside and inside of spans; their starts are sums of lengths.
+        start = F.aggregate(
+            F.slice(pieces, 1, F.size(pieces) - 1),
+            F.array(F.lit(0).cast("long")),
+            lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))),
+        )
+        rows = F.arrays_zip(pieces.alias("p"), start.alias("s"), F.slice(pieces, 2, F.size(pieces)).alias("nxt"), F.concat(F.array(F.lit("")), pieces).alias("last"))
+        inside = F.filter(F.slice(rows, 1, F.size(pieces)), lambda a, i: i % 2 == 1)
+        return F.transform(
+            inside,
+            lambda a: F.struct(F.lit(kind).alias("kind"), a["s"].alias("start"), (a["s"] + F.length(a["p"])).alias("end"), a["p"].alias("match"), F.right(a["last"], F.lit(NEAR)).alias("before"), F.left(a["nxt"], F.lit(1)).alias("after")),
+        )
+
     pieces = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{SHUT}")), f"[{OPEN}{SHUT}]", -1)
-    start = F.aggregate(
-        F.slice(pieces, 1, F.size(pieces) - 1),
-        F.array(F.lit(0).cast("long")),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))),
-    )
-    both = F.arrays_zip(pieces.alias("p"), start.alias("s"))
-    three = F.zip_with(both, F.slice(pieces, 2, F.size(pieces)), lambda a, nxt: F.struct(a["p"].alias("p"), a["s"].alias("s"), nxt.alias("nxt")))
-    three = F.zip_with(three, F.concat(F.array(F.lit("")), pieces), lambda a, last: F.struct(a["p"].alias("p"), a["s"].alias("s"), a["nxt"].alias("nxt"), last.alias("last")))
-    inside = F.filter(F.slice(three, 1, F.size(pieces)), lambda a, i: i % 2 == 1)
-    spans = F.transform(
-        inside,
-        lambda a: F.struct(F.lit(kind).alias("kind"), a["s"].alias("start"), (a["s"] + F.length(a["p"])).alias("end"), a["p"].alias("match"), F.right(a["last"], F.lit(NEAR)).alias("before"), F.left(a["nxt"], F.lit(1)).alias("after")),
-    )
-    return F.when(text.rlike(HINT[kind]), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
+    return F.when(possible & text.rlike(HINT[kind]), _once(pieces, spans).cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def digits(text: Column) -> Column:
@@ -145,16 +153,18 @@ def candidates(df: DataFrame) -> DataFrame:
     """``df`` (with ``text``) and ``base`` (spans that stay) and ``spans``: those and what is proposed, with ``base`` and the votes ``v``."""
     marks = F.translate(F.coalesce("text", F.lit("")), OPEN + SHUT, "\x03\x03")
     df = df.withColumn("_t", marks)
+    df = df.withColumn("_digit", F.col("_t").rlike("[0-9]"))
+    possible = {k: F.col("_digit") if k in DIGITS else F.lit(True) for k in KINDS}
     for k, p in BASE.items():
-        df = df.withColumn(f"_b_{k}", F.filter(find(F.col("_t"), k, p), _holds(k)))
+        df = df.withColumn(f"_b_{k}", F.filter(find(F.col("_t"), k, p, possible[k]), _holds(k)))
     for k, p in MORE.items():
-        df = df.withColumn(f"_m_{k}", find(F.col("_t"), k, p))
+        df = df.withColumn(f"_m_{k}", find(F.col("_t"), k, p, possible[k]))
     df = df.withColumn("base", F.concat(*[F.col(f"_b_{k}") for k in BASE]))
     more = F.concat(*[F.col(f"_m_{k}") for k in MORE])
     df = df.withColumn("_more", F.filter(more, lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
     told = lambda base: lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(base).alias("base"), F.array(*votes(c)).alias("v"))
     df = df.withColumn("spans", F.concat(F.transform("base", told(True)), F.transform("_more", told(False))))
-    return df.withColumn("base", F.transform("base", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))).drop("_t", "_more", *[f"_b_{k}" for k in BASE], *[f"_m_{k}" for k in MORE])
+    return df.withColumn("base", F.transform("base", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))).drop("_t", "_digit", "_more", *[f"_b_{k}" for k in BASE], *[f"_m_{k}" for k in MORE])
 
 
 def _holds(kind: str):
