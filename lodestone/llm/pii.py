@@ -221,7 +221,7 @@ def estimate(rows: list[tuple[str, tuple[int, ...], int]]) -> tuple[list[float],
 
 def learn(found: DataFrame) -> Model:
     """Fits the model on the votes in ``spans`` of all rows; without spans it is the default, which adds none."""
-    seen = found.select(F.explode("spans").alias("c")).groupBy("c.kind", "c.v").agg(F.count(F.lit(1)).alias("n")).collect()
+    seen = found.select(F.explode_outer("spans").alias("c")).filter("c.kind is not null").groupBy("c.kind", "c.v").agg(F.count(F.lit(1)).alias("n")).collect()
     rows = sorted((r.kind, tuple(r.v), r.n) for r in seen)
     if not rows:
         return Model()
