@@ -12,6 +12,8 @@ from lodestone.session import cut, shared_dir, table
 
 __all__ = ["WORD", "cut", "held_out", "shared_dir", "slices", "table", "texts"]
 
+#: Spark's bound on the bytes of an Arrow batch.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,7 +24,12 @@ def held_out(key: Column) -> Column:
 
 
 def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """Only the named columns, so that others cannot clash with what an operator adds."""
+    """Only the named columns, so that others cannot clash with what an operator adds.
+
+    What goes to a Python worker at a time is bound by bytes, for texts can be long.
+    """
+    if df.sparkSession.conf.get(BATCH) != BATCH_BYTES:
+        df.sparkSession.conf.set(BATCH, BATCH_BYTES)
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
 
 
