@@ -44,8 +44,8 @@ def stability(coverage: Column, complexity: Column, churn: Column, deps: Column)
     score = (
         0.4 * F.coalesce(coverage / 100.0, F.lit(0.5))
         + 0.3 * F.coalesce(1.0 - complexity, F.lit(0.5))
-        + 0.2 * F.coalesce(1.0 - F.least(churn / 10.0, F.lit(1.0)), F.lit(0.5))
-        + 0.1 * F.coalesce(1.0 - F.least(deps / 10.0, F.lit(1.0)), F.lit(0.7))
+        + 0.2 * F.when(churn.isNull(), 0.5).otherwise(1.0 - F.least(churn / 10.0, F.lit(1.0)))
+        + 0.1 * F.when(deps.isNull(), 0.7).otherwise(1.0 - F.least(deps / 10.0, F.lit(1.0)))
     )
     return F.when(known >= 2, F.round(score, 2))
 

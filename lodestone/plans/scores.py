@@ -10,7 +10,7 @@ from lodestone.session import table
 
 
 @query("""WITH m AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_size * 2e0 END AS cov, CASE WHEN p_size % 3 = 0 THEN NULL ELSE (p_partkey % 10) / 1e1 END AS cx, CASE WHEN p_size % 4 = 0 THEN NULL ELSE (p_partkey % 15)::DOUBLE END AS ch, CASE WHEN p_size % 7 = 0 THEN NULL ELSE (p_partkey % 12)::DOUBLE END AS dp FROM part),
-s AS (SELECT p_partkey, CASE WHEN (cov IS NOT NULL)::INT + (cx IS NOT NULL)::INT + (ch IS NOT NULL)::INT >= 2 THEN round(4e-1*coalesce(cov/1e2,5e-1)+3e-1*coalesce(1e0-cx,5e-1)+2e-1*coalesce(1e0-least(ch/1e1,1e0),5e-1)+1e-1*coalesce(1e0-least(dp/1e1,1e0),7e-1),2) END AS score FROM m)
+s AS (SELECT p_partkey, CASE WHEN (cov IS NOT NULL)::INT + (cx IS NOT NULL)::INT + (ch IS NOT NULL)::INT >= 2 THEN round(4e-1*coalesce(cov/1e2,5e-1)+3e-1*coalesce(1e0-cx,5e-1)+2e-1*CASE WHEN ch IS NULL THEN 5e-1 ELSE 1e0-least(ch/1e1,1e0) END+1e-1*CASE WHEN dp IS NULL THEN 7e-1 ELSE 1e0-least(dp/1e1,1e0) END,2) END AS score FROM m)
 SELECT p_partkey, score, CASE WHEN score >= 75e-2 THEN 'high' WHEN score >= 5e-1 THEN 'medium' ELSE 'low' END AS level FROM s""")
 def stability_score(spark, d):
     """[M8, B7, C17] Stability of parts, from measures that may be absent."""
