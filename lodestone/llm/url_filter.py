@@ -1,10 +1,13 @@
 """URL filters: explicit rules, and association rules mined by FP-growth.
 
 Explicit rules (host, path prefix) decide first; the longest that fits wins.
-URLs that they judge are the labelled ones. FP-growth mines combinations of URL
-tokens from them, and those that come with a label often enough (support) and
-surely enough (confidence) become rules for the rest: they are found through an
-inverted index from each rule's rarest token. All of it is DataFrame operations.
+URLs that they judge are the labelled ones. FP-growth mines combinations of
+tokens and label from all URLs, labelled or not: a combination that comes with
+a label often enough (support) and of whose URLs, those without a label
+included, enough have it (confidence) becomes a rule for the rest. So what is
+common among unlabelled URLs is not judged by the few that have a label. Rules
+are found through an inverted index from each one's rarest token. All of it is
+DataFrame operations.
 """
 
 from __future__ import annotations
@@ -21,8 +24,8 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Least support (of labelled URLs) and confidence of a mined rule; tokens in more than MOST of the URLs tell nothing.
-SUPPORT, CONFIDENCE, MOST = 0.002, 0.95, 0.95
+#: Least support (of all URLs) and confidence of a mined rule; tokens in more than MOST of the URLs tell nothing.
+SUPPORT, CONFIDENCE, MOST = 0.002, 0.8, 0.95
 #: Mined rules up to this many are broadcast (under 100 bytes each); more are joined by a shuffle.
 BROADCAST_RULES = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,18 +70,19 @@ def explicit(host_: Column, path_: Column, rules=RULES) -> tuple[Column, Column]
     return name, verdict
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame | None:
-    """(tokens, key, label, confidence) of the rules mined from (tokens, label) rows; None without rows.
+def mine(rows: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame | None:
+    """(tokens, key, label, confidence) of the rules mined from (tokens, label) rows, label null where there is none; None without labels.
 
     ``key`` is the rule's rarest token, of equally rare ones the first.
     """
-    n = labelled.count()
-    if not n:
+    n, known = rows.agg(F.count(F.lit(1)), F.count("label")).first()
+    if not known:
         return None
-    counts = labelled.select(F.explode("tokens").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.select(F.explode("tokens").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     dull = [r.key for r in counts.filter(F.col("n") > MOST * n).select("key").collect()]  # fewer than tokens per URL / MOST
-    items = F.array_union(F.array_except("tokens", F.array(*map(F.lit, dull)).cast("array<string>")), F.array(F.concat(F.lit("label="), "label")))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(labelled.select(items.alias("items")))
+    label = F.when(F.col("label").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("label="), "label")))
+    items = F.array_union(F.array_except("tokens", F.array(*map(F.lit, dull)).cast("array<string>")), label)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows.select(items.alias("items")).filter(F.size("items") > 0))
     found = model.associationRules.filter(F.col("consequent")[0].startswith("label=") & ~F.exists("antecedent", lambda x: x.startswith("label=")))
     found = found.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 7, 1 << 20).alias("label"), "confidence")
     rare = found.withColumn("key", F.explode("tokens")).join(counts, "key")
@@ -98,7 +102,7 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RU
     rows = rows.withColumns({"host": F.coalesce(host(url), F.lit("")), "path": F.coalesce(path(url), F.lit("")), "tokens": F.coalesce(tokens(url), F.array().cast("array<string>"))})
     rule, verdict = explicit(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "said": verdict}).drop("url")
-    mined = mine(rows.filter("said is not null").select("tokens", F.col("said").alias("label")), support, confidence)
+    mined = mine(rows.select("tokens", F.col("said").alias("label")), support, confidence)
     if mined is None:
         rows = rows.withColumns({"label": F.lit(None).cast("string"), "mined": F.lit(None).cast("string")})
     else:
