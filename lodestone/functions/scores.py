@@ -90,7 +90,7 @@ def memory_relevance(scope: Column, language: str | None, project: str | None, r
 
 def rank_relevance(rank: Column) -> Column:
     """A full-text rank (the more negative the better) on a scale of 0.1 to 1: linear from -1 to -30."""
-    return F.coalesce(F.greatest(F.lit(0.1), F.least(F.lit(1.0), 0.1 + 0.9 * (-rank - 1.0) / 29.0)), F.lit(0.5))
+    return F.when(rank.isNull(), 0.5).otherwise(F.greatest(F.lit(0.1), F.least(F.lit(1.0), 0.1 + 0.9 * (-rank - 1.0) / 29.0)))
 
 
 def conflict_severity(universal: Column, recent: Column, sure: Column, kind: Column) -> Column:
