@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import conversations, graphs, joins, scores, searches, tables, telemetry  # noqa: F401
+from lodestone.plans import code, conversations, graphs, joins, scores, searches, tables, telemetry  # noqa: F401
 from lodestone.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
