@@ -33,7 +33,7 @@ def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Each batch in pieces of about ``most`` bytes of the string ``column``; one long text stays whole."""
     for batch in batches:
         n = batch.num_rows

@@ -29,7 +29,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an unknown character costs beyond the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Chunks whose paths a worker keeps.
-KEEP = 300_000
+KEEP = 150_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:

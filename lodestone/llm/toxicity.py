@@ -28,7 +28,7 @@ HEADS = (4, 5, 6, 7)
 #: Score from which on a text is predicted toxic.
 THRESHOLD = 0.3
 #: Words whose terms a worker keeps.
-KEEP = 300_000
+KEEP = 150_000
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
