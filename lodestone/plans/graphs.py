@@ -14,8 +14,7 @@ RING = "e AS (SELECT DISTINCT (l_partkey % 17)::BIGINT AS src, (l_suppkey % 17):
 
 
 def _ring(spark, d):
-    li = table(spark, d, "lineitem").filter("l_orderkey % 97 = 0")
-    return li.select((F.col("l_partkey") % 17).cast("long").alias("src"), (F.col("l_suppkey") % 17).cast("long").alias("dst")).filter("src != dst").distinct()
+    return table(spark, d, "lineitem").select((F.col("l_partkey") % 17).cast("long").alias("src"), (F.col("l_suppkey") % 17).cast("long").alias("dst")).filter("src != dst").distinct()
 
 
 def _places(spark, d):
@@ -76,7 +75,7 @@ r AS (SELECT s, one, two, cov, CASE WHEN use = 0 THEN 'low' WHEN use < 5 THEN CA
 SELECT s AS suppkey, one::BIGINT AS direct, two::BIGINT AS transitive, risk, risk = 'low' OR (risk = 'medium' AND cov >= 7e-1) OR (risk = 'high' AND cov >= 9e-1) AS safe FROM r""")
 def impact_risk(spark, d):
     """[C1, M10, G5, Q1-Q4] Direct and indirect use, and the risk of a change."""
-    e = table(spark, d, "lineitem").filter("l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
     two = e.join(e.select(F.col("s").alias("t"), "p"), "p").groupBy("s").agg((F.count_distinct("t") - 1).alias("two"))
     u = e.groupBy("s").agg(F.count(F.lit(1)).alias("one")).join(two, "s", "left").withColumn("two", F.coalesce("two", F.lit(0))).withColumn("cov", (F.col("s") % 10) / 10.0)
     u = u.withColumn("risk", sc.impact_risk(F.col("one"), F.col("two"), F.col("cov")))

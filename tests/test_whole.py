@@ -38,3 +38,21 @@ def test_code_queries_read_all_references(spark, tmp_path):
             best[s][p] = min(best[s].get(p, (0, "")), (-1.0, "caller") if f == "R" else (-0.95, "test"))
     want = [(s, p, r, -c) for s, t in best.items() for c, p, r in sorted((c, p, r) for p, (c, r) in t.items())[:5]]
     assert sorted(got) == sorted(want)
+
+
+def test_graph_queries_read_all_edges(spark, tmp_path):
+    got = {r[0]: r for r in run(spark, tmp_path, "impact_risk", lineitem=(LINES, LINE))}
+    uses, users = defaultdict(set), defaultdict(set)
+    for _, _, s, p, _ in LINES:
+        uses[s].add(p), users[p].add(s)
+    two = {s: len(set().union(*(users[p] for p in uses[s]))) - 1 for s in uses}
+    assert {s: r[1:3] for s, r in got.items()} == {s: (len(uses[s]), two[s]) for s in uses}
+    assert all(r[3] == ("high" if s % 10 >= 8 else "critical") and r[4] == (s % 10 >= 9 and r[3] == "high") for s, r in got.items())
+
+    # Two rings and a way out of each, over order keys of which none is a multiple of 97.
+    ends = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (4, 9), (8, 4), (5, 5)]
+    lines = [(o, 1, dst, src, "N") for o, (src, dst) in enumerate(ends, 1)]
+    assert dict(run(spark, tmp_path, "bfs_depth", lineitem=(lines, LINE))) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4}
+    assert dict(run(spark, tmp_path, "bfs_reverse_capped", lineitem=(lines, LINE))) == {3: 0, 2: 1, 4: 1, 1: 2, 8: 2, 0: 3}
+    assert sorted(run(spark, tmp_path, "cycle_detect", lineitem=(lines, LINE))) == [("0>1>2", 3), ("3>4", 2)]
+    assert sorted(run(spark, tmp_path, "cycle_severity", lineitem=(lines, LINE))) == [("high", 1), ("medium", 1)]
