@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import cut
+
 
 def latest_wins(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key: the first by ``order`` (give a total one)."""
@@ -34,11 +36,19 @@ def budget_prefix_floored(df: DataFrame, keys: list[str], cost: Column, budget:
 
 
 def greedy_cut(df: DataFrame, size: Column, limit: int, *order: Column, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``kept``: how much of each row's size fits into ``limit``, the last row in part; rows of which nothing fits go, empty rows stay."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size).over(w), F.lit(0))
+    """Adds ``kept``: how much of each row's size fits into ``limit``, the last row in part; rows of which nothing fits go, empty rows stay.
+
+    Without ``keys`` the rows are dealt into ranges of ``order``: each range's sum tells what is used up before the next, so that no task has all rows.
+    """
+    if not keys:
+        rows = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+        sums = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+        start = rows.groupBy("_range").agg(F.sum(size).alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(sums), F.lit(0))).drop("_sum")
+        df = rows.join(F.broadcast(start), "_range").filter((F.col("_start") < limit) | (size == 0))
+    w = Window.partitionBy(*(keys or ["_range"])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(size).over(w), F.lit(0)) + (F.lit(0) if keys else F.col("_start"))
     kept = F.greatest(F.lit(0), F.least(size, F.lit(limit) - before))
-    return df.withColumn("kept", kept).filter((F.col("kept") > 0) | (size == 0))
+    return df.withColumn("kept", kept).filter((F.col("kept") > 0) | (size == 0)).drop("_range", "_start")
 
 
 def runs(df: DataFrame, keys: list[str], order: str, flag: Column) -> DataFrame:

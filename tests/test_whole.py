@@ -1,7 +1,12 @@
 """Queries over small tables against plain Python over all rows: none may leave rows out."""
 
+import math
 from collections import Counter, defaultdict
+from itertools import accumulate
 
+from pyspark.sql import functions as F
+
+from lodestone.operators import windows
 from lodestone.plans.registry import QUERIES
 
 
@@ -56,3 +61,32 @@ def test_graph_queries_read_all_edges(spark, tmp_path):
     assert dict(run(spark, tmp_path, "bfs_reverse_capped", lineitem=(lines, LINE))) == {3: 0, 2: 1, 4: 1, 1: 2, 8: 2, 0: 3}
     assert sorted(run(spark, tmp_path, "cycle_detect", lineitem=(lines, LINE))) == [("0>1>2", 3), ("3>4", 2)]
     assert sorted(run(spark, tmp_path, "cycle_severity", lineitem=(lines, LINE))) == [("high", 1), ("medium", 1)]
+
+
+TURN = "conv_id long, turn int, role string, text string"
+
+
+def test_similar_turns_of_late_conversations(spark, tmp_path):
+    rows = [(c, t, "user", x) for c in (1, 39, 40, 977) for t, x in enumerate(["red fox", "red hen", "blue"])]
+    got = run(spark, tmp_path, "tfidf_similarity", conversations=(rows, TURN))
+    red, other = 1 + math.log(4 / 3), 1 + math.log(2)
+    assert sorted(got) == [(c, 0, 1, round(red**2 / (red**2 + other**2), 6)) for c in (1, 39, 40, 977)]
+
+
+def test_truncation_over_ranges(spark, tmp_path):
+    lines = [(o, n, 1, 1, "N") for o in range(600, 640) for n in range(o % 7 + 1)]
+    got = run(spark, tmp_path, "greedy_truncation", lineitem=(lines, LINE))
+    want, left = [], 50
+    for o in range(600, 640):
+        if left:
+            want.append((o, min(o % 7 + 1, left)))
+            left -= want[-1][1]
+    assert sorted(got) == want
+
+    sizes = [(i * 7919 % 2003, i % 5) for i in range(2003)]  # every fifth is empty, and stays wherever it is
+    cut = windows.greedy_cut(spark.createDataFrame(sizes, "id int, c int").repartition(9), F.col("c"), 777, F.desc("id"))
+    order = sorted(sizes, reverse=True)
+    before = [0, *accumulate(c for _, c in order)]
+    want = [(i, c, max(0, min(c, 777 - b))) for (i, c), b in zip(order, before, strict=False) if c == 0 or b < 777]
+    assert sorted(map(tuple, cut.collect()), reverse=True) == want
+    assert cut.columns == ["id", "c", "kept"]
