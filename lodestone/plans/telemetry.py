@@ -72,4 +72,4 @@ def success_patterns(spark, d):
 def scope_inference(spark, d):
     """[A28] The narrowest scope that all rows of a key share."""
     kinds, values = F.collect_set("event_type"), F.collect_set(F.col("value") > 50)
-    return table(spark, d, "events").filter("event_id % 40 = 0").groupBy("user_id").agg(F.when(F.size(kinds) == 1, kinds[0]).when(F.size(values) == 1, "value").otherwise("universal").alias("scope"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.when(F.size(kinds) == 1, kinds[0]).when(F.size(values) == 1, "value").otherwise("universal").alias("scope"))

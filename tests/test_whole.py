@@ -90,3 +90,9 @@ def test_truncation_over_ranges(spark, tmp_path):
     want = [(i, c, max(0, min(c, 777 - b))) for (i, c), b in zip(order, before, strict=False) if c == 0 or b < 777]
     assert sorted(map(tuple, cut.collect()), reverse=True) == want
     assert cut.columns == ["id", "c", "kept"]
+
+
+def test_scope_over_all_events(spark, tmp_path):
+    rows = [(1, 1, "view", 60.0), (2, 1, "click", 70.0), (40, 2, "view", 60.0), (41, 2, "click", 10.0), (80, 3, "view", 9.0), (81, 3, "view", 90.0)]
+    got = run(spark, tmp_path, "scope_inference", events=(rows, "event_id long, user_id long, event_type string, value double"))
+    assert dict(got) == {1: "value", 2: "universal", 3: "view"}
