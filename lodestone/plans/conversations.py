@@ -20,7 +20,7 @@ def turn_pairs(spark, d):
     return win.turn_pairs(table(spark, d, "conversations")).select("conv_id", "user_turn", "assistant_turn")
 
 
-#: Probes are added to some turns, for the texts themselves hold no English.
+#: The SQL's probes, which stand for the turns' texts; the query classifies the texts themselves.
 PROBE = "CASE user_turn % 5 WHEN 0 THEN 'Always add tests' WHEN 1 THEN 'I prefer short names' WHEN 2 THEN 'what is this?' WHEN 3 THEN 'please keep it short' ELSE 'yes, you should never do that, correct' END"
 
 
@@ -30,25 +30,21 @@ s AS (SELECT *, lo LIKE '%never%' OR lo LIKE '%always%' OR lo LIKE '%must%' OR l
 k AS (SELECT conv_id, user_turn, CASE WHEN lo LIKE '%?%' THEN NULL WHEN n >= 2 AND before LIKE '%Created%' AND (regexp_matches(lo, 'actually|instead|rather|wrong|incorrect|too|should be') OR (strong AND cmd)) THEN 1e0 WHEN n >= 3 AND regexp_matches(lo, 'yes|correct|right|exactly') AND strong AND nos THEN 95e-2 WHEN alike >= 2 THEN 8e-1 WHEN regexp_matches(lo, 'i prefer|i like|i want') THEN 85e-2 WHEN regexp_matches(lo, 'don''t|dont|never|stop|avoid|not|no|always|must|should|make sure|ensure') AND cmd THEN 9e-1 END AS confidence FROM s)
 SELECT conv_id, user_turn, CASE WHEN confidence IN (1e0, 95e-2) THEN 'rule' WHEN confidence = 8e-1 THEN 'style' WHEN confidence = 85e-2 THEN 'preference' WHEN confidence = 9e-1 THEN 'behavior' END AS kind, confidence FROM k""")
 def turn_classifier(spark, d):
-    """[L1-L4, W5-W7, X14, X15, F19] Kinds of corrections, with probe texts in place of the turns'."""
-    p = win.turn_pairs(table(spark, d, "conversations"))
-    m = F.col("user_turn") % 5
-    probe = F.when(m == 0, "Always add tests").when(m == 1, "I prefer short names").when(m == 2, "what is this?").when(m == 3, "please keep it short").otherwise("yes, you should never do that, correct")
-    p = p.withColumns({"user_text": probe, "assistant_text": F.when(F.col("conv_id") % 2 == 0, "Created a file").otherwise("done")})
-    return tn.classify(p).select("conv_id", "user_turn", "kind", "confidence")
+    """[L1-L4, W5-W7, X14, X15, F19] Kinds of corrections."""
+    return tn.classify(win.turn_pairs(table(spark, d, "conversations"))).select("conv_id", "user_turn", "kind", "confidence")
 
 
 @query("""SELECT conv_id, turn, array_to_string(list(left(text, 10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), '|') AS context FROM conversations WHERE role = 'user'""")
 def last_texts(spark, d):
     """[W7] The last three texts of a user."""
-    u = table(spark, d, "conversations").filter("role = 'user'").withColumn("text", F.left("text", F.lit(10)))
+    u = table(spark, d, "conversations").filter("role = 'user'")
     return win.last_texts(u, 3).select("conv_id", "turn", F.array_join("context", "|").alias("context"))
 
 
 @query("""SELECT left(lower(text), 3) AS head, count(*)::BIGINT AS n FROM conversations GROUP BY 1 HAVING count(*) >= 2""")
 def repeated_heads(spark, d):
     """[A24, U7] Repeated beginnings."""
-    return table(spark, d, "conversations").groupBy(F.left(F.lower("text"), F.lit(3)).alias("head")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    return table(spark, d, "conversations").groupBy(F.left(F.lower("text"), F.lit(50)).alias("head")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
 
 
 @query("""WITH u AS (SELECT conv_id, turn, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x))) AS w FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn AS t2, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x))) AS w2 FROM conversations WHERE role = 'assistant')

@@ -96,3 +96,14 @@ def test_scope_over_all_events(spark, tmp_path):
     rows = [(1, 1, "view", 60.0), (2, 1, "click", 70.0), (40, 2, "view", 60.0), (41, 2, "click", 10.0), (80, 3, "view", 9.0), (81, 3, "view", 90.0)]
     got = run(spark, tmp_path, "scope_inference", events=(rows, "event_id long, user_id long, event_type string, value double"))
     assert dict(got) == {1: "value", 2: "universal", 3: "view"}
+
+
+def test_conversations_by_their_own_texts(spark, tmp_path):
+    say = [("Hi there, this is a long one", "Created the file"), ("never use tabs", "done"), ("I prefer dark mode", "done"), ("what is this?", "done"), ("please never write long functions", "done")]
+    rows = [(7, 2 * i + k, "user assistant".split()[k], x) for i, both in enumerate(say) for k, x in enumerate(both)]
+    got = run(spark, tmp_path, "turn_classifier", conversations=(rows, TURN))
+    assert sorted(got) == [(7, 0, None, None), (7, 2, "rule", 1.0), (7, 4, "preference", 0.85), (7, 6, None, None), (7, 8, "behavior", 0.9)]
+    got = run(spark, tmp_path, "last_texts", conversations=(rows, TURN))
+    assert sorted(got) == [(7, 2 * i, "|".join(u for u, _ in say[max(0, i - 2) : i + 1])) for i in range(5)]
+    same = [(c, 0, "user", "Fix the same failing test of the parser again, now " + x) for c, x in enumerate(["a", "b"])] + [(9, 0, "user", "Fixed")]
+    assert run(spark, tmp_path, "repeated_heads", conversations=(same, TURN)) == [("fix the same failing test of the parser again, now", 2)]
