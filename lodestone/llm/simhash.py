@@ -50,15 +50,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) of every row; null and empty texts have 0, repeated rows repeat."""
+    """(doc_id, fp long, mark long) of every row; null and empty texts have 0, repeated rows repeat. ``mark`` is a hash of the text."""
 
     def run(batches):
         for b in slices(batches):
             got = np.array([fingerprint(x, shingle) for x in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64)), b.column(2)], ["doc_id", "fp", "mark"])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    return texts(df, id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long")
+    return texts(df, id_col, text_col, F.xxhash64(text_col).alias("mark")).mapInArrow(run, f"doc_id {kind}, fp long, mark long")
 
 
 class _Sets:
@@ -224,7 +224,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = ERRORS) -> DataFrame:
-    """(doc_id, fp long, root long, component_id): ``component_id`` is the smallest doc_id that links reach.
+    """(doc_id, fp long, root long, component_id, mark long): ``component_id`` is the smallest doc_id that links reach.
 
     ``root`` names the component by a fingerprint, also where ids are null.
     Texts without words have fingerprint 0 and are linked like any other.
@@ -235,16 +235,20 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", error
     found = components(links(fps.select("fp"), fps.count(), errors).select(F.col("fp").alias("a"), F.col("to").alias("b")))
     rooted = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return docs.join(rooted.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "fp", "root", "component_id")
+    return docs.join(rooted.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "fp", "root", "component_id", "mark")
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = ERRORS) -> DataFrame:
-    """The rows of ``df`` of which each component keeps one: that with the smallest id (null ids only where there is no other)."""
+    """The rows of ``df`` of which each component keeps one: that with the smallest id (null ids only where there is no other), of equal ids that with the least hash of its text."""
     got = classes(df, id_col, text_col, errors)
-    keep = got.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("doc_id").alias("_keep"), F.first("fp").alias("_fp"))
-    named = df.filter(F.col(id_col).isNotNull()).join(keep.select(F.col("_keep").alias(id_col)).distinct(), id_col, "left_semi")
-    unnamed = df.filter(F.col(id_col).isNull())
-    return named.dropDuplicates([id_col]).unionByName(unnamed.dropDuplicates([text_col]) if _has_nulls(df, id_col) else unnamed.limit(0))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark"))
+    keep = got.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias(id_col), F.col("k.mark").alias("_mark"))
+    rows = df.withColumn("_mark", F.xxhash64(text_col))
+    named = rows.filter(F.col(id_col).isNotNull()).join(keep.filter(F.col(id_col).isNotNull()), [id_col, "_mark"], "left_semi").dropDuplicates([id_col, "_mark"])
+    if _has_nulls(df, id_col):
+        unnamed = rows.filter(F.col(id_col).isNull()).join(keep.filter(F.col(id_col).isNull()).select("_mark"), "_mark", "left_semi").dropDuplicates(["_mark"])
+        named = named.unionByName(unnamed)
+    return named.drop("_mark")
 
 
 def _has_nulls(df: DataFrame, col: str) -> bool:

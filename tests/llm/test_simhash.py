@@ -89,3 +89,13 @@ def test_empty(spark):
     assert sh.classes(df).count() == 0
     nulls = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (None, "f g h"), (1, None)], "doc_id long, text string")
     assert sh.classes(nulls).count() == 4
+
+
+def test_one_row_of_each_component(spark):
+    """Also where ids are null or repeated."""
+    words = [" ".join(f"{w}{i}" for i in range(300)) for w in ("alpha", "beta", "gamma", "delta")]
+    near = [w.upper() for w in words]  # other texts of equal fingerprints
+    rows = [(None, words[0]), (None, near[0]), (None, words[0]), (1, words[1]), (None, near[1]), (5, words[2]), (5, words[3]), (5, words[3]), (6, near[2])]
+    kept = sh.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 5, 5]
+    assert {r.text for r in kept} - {words[0], near[0]} == set(words[1:])
