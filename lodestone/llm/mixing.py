@@ -16,13 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import WORD, cut, texts
 
-#: Words a block, output shards, and documents a chunk within which offsets are summed.
-BLOCK, SHARDS, CHUNK = 128, 64, 4096
+#: Words a block, output shards, documents a chunk within which offsets are summed, and equal rows that are made in one place.
+BLOCK, SHARDS, CHUNK, COPIES = 128, 64, 4096, 10_000
 #: Weights by the order of the sources, repeating; the mix has TOTAL of all words; a target is at most TIMES its source.
 WEIGHTS, TOTAL, TIMES = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Sources at most: their table is on the driver and broadcast.
@@ -128,27 +128,50 @@ def draw(sources: list[Source], shards: int = SHARDS, seed: int = SEED) -> list[
     return out
 
 
+def _marks(id_col: str, text_col: str, more: list[str]) -> list[Column]:
+    """Two hashes that together tell a row by 128 bits: of id and text, and of these and the columns ``more``."""
+    return [F.xxhash64(id_col, text_col).alias("mark"), F.xxhash64(F.lit(1), id_col, text_col, *more).alias("mark2")]
+
+
+def _told(docs: DataFrame) -> list[str]:
+    """The columns by which rows of equal id and text are told apart: all that can be hashed."""
+    return [f"`{f.name}`" for f in docs.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, mark): words of each document (null: 0) and a hash that tells its text."""
-    rows = texts(docs, id_col, text_col, F.col(source_col).cast("string").alias("source"))
-    return rows.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("mark"))
+    """(doc_id, source, size, mark, mark2, n): words of each document (null: 0), hashes that tell its row, and how many rows are equal to it."""
+    marks = [m.alias(f"_mix_{i}") for i, m in enumerate(_marks(id_col, text_col, _told(docs)))]
+    marked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"), *marks)
+    rows = texts(marked, "doc_id", "text", "source", F.col("_mix_0").alias("mark"), F.col("_mix_1").alias("mark2"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    return rows.select("doc_id", "source", size, "mark", "mark2").groupBy("doc_id", "source", "size", "mark", "mark2").agg(F.count(F.lit(1)).alias("n"))
 
 
 def place(rows: DataFrame, sources: list[Source], count: int) -> DataFrame:
-    """``rows`` with ``ix`` (the source's number) and ``start``, the offset of the document's words among its source's.
+    """A row for each document, with ``ix`` (the source's number) and ``start``, the offset of the document's words among its source's.
 
-    Documents stand by chunk (of a hash), id and text; sums run within chunks of
-    a source, whose own offsets come from their totals, so no task sees a source.
+    Documents stand by chunk (of a hash), id and hashes; equal rows stand
+    together. Sums run within chunks of a source, whose own offsets come from
+    their totals, those from totals of many chunks, so no task sees a source.
     """
     spark = rows.sparkSession
     named = spark.createDataFrame([(s.name, i) for i, s in enumerate(sources)], "name string, ix int")
     rows = rows.join(F.broadcast(named), rows.source.eqNullSafe(named.name)).drop("name")
     rows = rows.withColumn("chunk", F.pmod("mark", F.lit(max(1, -(-count // CHUNK)))).cast("int"))
-    totals = rows.groupBy("ix", "chunk").agg(F.sum("size").alias("words"))
-    before = totals.select("ix", "chunk", (F.sum("words").over(Window.partitionBy("ix").orderBy("chunk")) - F.col("words")).alias("before"))
-    inside = Window.partitionBy("ix", "chunk").orderBy("doc_id", "mark", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
-    return rows.join(before, ["ix", "chunk"]).withColumn("start", F.col("before") + F.col("inside")).drop("chunk", "before", "inside")
+    totals = rows.groupBy("ix", "chunk").agg(F.sum(F.col("size") * F.col("n")).alias("words")).withColumn("far", F.floor(F.col("chunk") / CHUNK))
+    wide = totals.groupBy("ix", "far").agg(F.sum("words").alias("words"))
+    wide = wide.select("ix", "far", (F.sum("words").over(Window.partitionBy("ix").orderBy("far")) - F.col("words")).alias("base"))
+    near = F.sum("words").over(Window.partitionBy("ix", "far").orderBy("chunk")) - F.col("words")
+    before = totals.withColumn("near", near).join(wide, ["ix", "far"]).select("ix", "chunk", (F.col("base") + F.col("near")).alias("before"))
+    inside = Window.partitionBy("ix", "chunk").orderBy("doc_id", "mark", "mark2", "size").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("inside", F.sum(F.col("size") * F.col("n")).over(inside) - F.col("size") * F.col("n"))
+    rows = rows.join(before, ["ix", "chunk"]).withColumn("start", F.col("before") + F.col("inside")).drop("chunk", "before", "inside")
+    # Of very many equal rows, runs of COPIES are dealt out before each becomes a row.
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long")))
+    runs = rows.filter(F.col("n") > COPIES).withColumn("run", run).repartition("ix", "start", "run")
+    runs = rows.filter(F.col("n") <= COPIES).withColumn("run", F.lit(0).cast("long")).unionByName(runs)
+    copy = F.explode(F.sequence(F.col("run"), F.least(F.col("n"), F.col("run") + COPIES) - 1))
+    return runs.withColumn("copy", copy).withColumn("start", F.col("start") + F.col("copy") * F.col("size")).drop("run", "copy", "n")
 
 
 def pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -187,9 +210,9 @@ def slots(spark, sources: list[Source], shards: int = SHARDS, block: int = BLOCK
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shards: int = SHARDS, weights=WEIGHTS, total: float = TOTAL, times: float = TIMES) -> tuple[list[Source], DataFrame, DataFrame]:
-    """(sources with targets, documents with their offsets, pieces of documents joined with the slots that take their block)."""
+    """(sources with targets, documents with their offsets, pieces of documents joined with the slots that take their block). More than ``MAX_SOURCES`` sources raise."""
     rows = cut(sized(docs, id_col, text_col, source_col))
-    sums = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
+    sums = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     sources = set_targets([(r.source, r["size"]) for r in sums], weights, total, times)
@@ -233,15 +256,20 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A text that is taken whole stays as it is, white space included; of others
     the words taken follow each other, each with the white space behind it. ``size_col`` is set to
     the new length where ``docs`` has it. Documents of which nothing is taken
-    go, and so do those without words.
+    go, and so do those without words. Rows with the same id and text in other
+    sources, or with other columns, are documents of their own and keep these;
+    only columns that hold maps do not tell rows apart. Null ids, sources and
+    texts, ties and very long texts need no care; no row is told by less than
+    128 bits of hash.
     """
     _, placed, taken = plan(docs, id_col, text_col, source_col, **settings)
     spans = taken.groupBy("ix", "start", "time").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("hi") - F.col("lo")).alias("n")))).alias("spans"))
-    wanted = placed.filter("size > 0").select("ix", "start", "mark", "size").join(spans, ["ix", "start"])
-    wanted = wanted.select(F.col("mark").alias("_mix_mark"), F.col("size").alias("_mix_size"), F.col("spans").alias("_mix_spans"))
+    wanted = placed.filter("size > 0").select("ix", "start", "mark", "mark2", "size").join(spans, ["ix", "start"])
+    wanted = wanted.select("mark", "mark2", F.col("size").alias("_mix_size"), F.col("spans").alias("_mix_spans")).withColumnsRenamed({"mark": "_mix_mark", "mark2": "_mix_mark2"})
     cols = docs.columns
-    one = docs.withColumn("_mix_own", F.xxhash64(F.col(id_col), F.col(text_col))).dropDuplicates(["_mix_own"])  # equal rows are told apart by their spans
-    both = one.join(wanted, F.col("_mix_own") == F.col("_mix_mark"))
+    own = [m.alias(f"_mix_{i}") for i, m in enumerate(_marks(id_col, text_col, _told(docs)))]
+    one = docs.select("*", *own).dropDuplicates(["_mix_0", "_mix_1"])  # equal rows are told apart by their spans
+    both = one.join(wanted, (F.col("_mix_0") == F.col("_mix_mark")) & (F.col("_mix_1") == F.col("_mix_mark2")))
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"{WORD}[ \\x09-\\x0D]*"), F.lit(0))
     whole = F.aggregate("_mix_spans", F.lit(0).cast("long"), lambda a, s: a + s["n"]) == F.col("_mix_size")
     # Each word brings the white space behind it, so stretches need nothing between them.

@@ -110,3 +110,28 @@ def test_empty(spark):
     assert mx.counts(df).count() == 0 and mx.mixed_documents(df).count() == 0
     none = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
     assert [r.taken for r in mx.counts(none).collect()] == [0, 0]
+
+
+def test_one_text_in_two_sources(spark):
+    """Rows that share id and text but not the source, or another column, keep what is theirs; many copies go through runs."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "s1", "x"), (1, text, "s2", "x"), (1, text, "s2", "y"), (None, text, "s1", "x"), (None, text, None, "x"), *[(7, text + " tail", "s1", "x")] * 25, (8, None, "s1", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mark string").repartition(5)
+    copies, mx.COPIES = mx.COPIES, 4
+    try:
+        want, got = {}, {}
+        size = {}
+        for _, t, s, _ in rows:
+            size[s] = size.get(s, 0) + len(words(t))
+        for r in mx.counts(df, block=8, shards=3).collect():
+            want[r.source_size] = want.get(r.source_size, 0) + r.taken
+            assert r.taken <= 2 * r.size
+        for r in mx.mixed_documents(df, block=8, shards=3).collect():
+            got[size[r.source]] = got.get(size[r.source], 0) + len(words(r.text))
+            assert (r.doc_id, r.source, r.mark) in {(a, c, d) for a, _, c, d in rows}
+        assert got == want
+        target = {size[s.name]: s.target for s in mx.set_targets(list(size.items()))}
+        assert all(abs(got[k] - target[k]) <= 1 for k in target)
+        assert mx.counts(df, block=8, shards=3).count() == len(rows)
+    finally:
+        mx.COPIES = copies
