@@ -11,6 +11,8 @@ with the longest repeat.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,7 +46,7 @@ def suffix_ranks(first: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
     at = np.flatnonzero(new)
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(at, np.diff(np.append(at, n)))
-    levels, width = [rank], 1
+    levels, width = [rank.astype(np.int32)], 1  # a batch has fewer than 2^31 words
     while True:
         size = np.diff(np.append(at, n))
         busy = np.repeat(size > 1, size)  # along the order: suffixes with an equal
@@ -65,7 +67,7 @@ def suffix_ranks(first: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         new = new.copy()
         new[slot] = split
         at = np.flatnonzero(new)
-        levels.append(rank)
+        levels.append(rank.astype(np.int32))
         width *= 2
 
 
@@ -82,23 +84,36 @@ def common_prefixes(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray, ends
     return out
 
 
-def maximal_repeats(sa: np.ndarray, lcp: np.ndarray, left: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """The LCP intervals of ``least`` words or more that differ in the word before: (words, first, last) in ``sa``.
+def intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int, list[int]]]:
+    """The LCP intervals of ``least`` words or more: (words, first, last, the suffixes between that lie in none within it).
 
-    ``lcp[i]`` is what suffixes i and i + 1 share; ``left`` numbers the word
-    before each suffix (-1: none).
+    ``lcp[i]`` is what suffixes i and i + 1 share. An interval closes where the
+    shared words fall below its own; what then has no interval yet is its own.
     """
-    out, stack = [], []  # of (words, first)
-    change = np.concatenate([[0], np.cumsum((left[1:] != left[:-1]) | (left[1:] < 0))]) if len(left) else left
+    stack, loose = [], []  # stack: (words, first)
     for i, v in enumerate([*lcp.tolist(), 0]):
         first = i
+        loose.append(i)
         while stack and stack[-1][0] > v:
             words, first = stack.pop()
-            if change[i] != change[first]:
-                out.append((words, first, i))
+            own = []
+            while loose and loose[-1] >= first:
+                own.append(loose.pop())
+            yield words, first, i, own
         if v >= least and (not stack or stack[-1][0] < v):
             stack.append((v, first))
-    return out
+
+
+def maximal_repeats(lcp: np.ndarray, left: np.ndarray, least: int) -> Iterator[tuple[int, list[int]]]:
+    """The intervals whose suffixes differ in the word before, ``left`` (-1: none): (words, suffixes that this is the longest repeat of).
+
+    Where an interval's suffixes all have the same word before, the repeat that
+    begins there covers it, so these spans together cover all that repeats.
+    """
+    change = np.concatenate([[0], np.cumsum((left[1:] != left[:-1]) | (left[1:] < 0))])
+    for words, first, last, own in intervals(lcp, least):
+        if change[last] != change[first]:
+            yield words, own
 
 
 def repeats(words: list[list[bytes]], least: int = LEAST) -> dict[str, np.ndarray]:
@@ -123,29 +138,40 @@ def repeats(words: list[list[bytes]], least: int = LEAST) -> dict[str, np.ndarra
     reach = np.zeros(n, np.int64)  # longest prefix that occurs again
     np.maximum.at(reach, sa, lcp)
     np.maximum.at(reach, sa[1:], lcp[:-1])
-    np.maximum.at(out["longest"], text, np.where(reach >= least, reach, 0))
-    for key, least_, take in (("window", 3, lambda r: np.minimum(r, 3)), ("covered", least, lambda r: r)):
-        at = np.flatnonzero(reach >= least_)
-        diff = np.zeros(n + 1, np.int64)
-        np.add.at(diff, at, 1)
-        np.add.at(diff, at + take(reach[at]), -1)
-        out[key] = np.bincount(text[np.cumsum(diff[:-1]) > 0], minlength=len(words)).astype(np.int64)
+    again = np.flatnonzero(reach >= 3)
+    out["window"] = _union(again, np.full(len(again), 3), text, len(words))
     high = np.flatnonzero(lcp >= least)
     left = np.where(np.arange(n) > np.repeat(np.cumsum(size) - size, size), ids[np.arange(n) - 1], -1)
+    starts, lengths = [], []
     for run in np.split(high, np.flatnonzero(np.diff(high) > 1) + 1):
         if len(run):
             span = sa[run[0] : run[-1] + 2]
-            out["maximal"][text[span[0]]] += len(maximal_repeats(span, lcp[run], left[span], least))
+            at, of = span.tolist(), text[span[0]]
+            for length, own in maximal_repeats(lcp[run], left[span], least):
+                out["maximal"][of] += 1
+                out["longest"][of] = max(out["longest"][of], length)
+                starts += [at[i] for i in own]
+                lengths += [length] * len(own)
+    out["covered"] = _union(np.array(starts, np.int64), np.array(lengths, np.int64), text, len(words))
     return out
 
 
+def _union(start: np.ndarray, length: np.ndarray, text: np.ndarray, texts_: int) -> np.ndarray:
+    """Words of each text that lie in any of the spans."""
+    diff = np.zeros(len(text) + 1, np.int64)
+    np.add.at(diff, start, 1)
+    np.add.at(diff, start + length, -1)
+    return np.bincount(text[np.cumsum(diff[:-1]) > 0], minlength=texts_).astype(np.int64)
+
+
 def rules(df: DataFrame, least: int = LEAST, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and verdict of every text: doc_id and the columns of ``SCHEMA``.
 
     Null and empty texts have no words and fail. A text is kept if the base
     rules pass and repeats of ``least`` words or more cover at most
     ``max_covered`` of its words and none is longer than ``max_longest``.
-    Repeated rows give a row each.
+    Repeated rows give a row each; very long texts are taken whole; other
+    columns play no part.
     """
 
     def run(batches):
