@@ -49,3 +49,38 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert warc.through_archives(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_lawful_foreign_archives():
+    """Records that other writers make: chunks, digests in hex, none at all, no lengths, odd lines, other schemes."""
+    body = b"<p>one</p>" * 9
+    sha = hashlib.sha1(body).hexdigest()
+    chunks = b"5\r\n" + body[:5] + b"\r\n" + f"{len(body) - 5:x};x=y\r\n".encode() + body[5:] + b"\r\n0\r\n\r\n"
+    make = lambda extra, block, kind="response": warc.record([("WARC-Type", kind), ("WARC-Record-ID", "<urn:uuid:1>"), *extra], block)
+    http = ("Content-Type", "application/http; msgtype=response")
+    some = [
+        (make([http], b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunks), body, True),
+        (make([http, ("WARC-Payload-Digest", f"sha1:{sha}")], b"HTTP/1.1 200 OK\r\nno colon\r\nServer:x\r\n folded\r\n\r\n" + body), body, True),
+        (make([http, ("WARC-Payload-Digest", f"SHA-256:{hashlib.sha256(body).hexdigest()}")], b"HTTP/1.0 200\r\n\r\n" + body), body, True),
+        (make([http, ("WARC-Payload-Digest", f"sha1:{'0' * 40}")], b"HTTP/1.0 200\r\n\r\n" + body), body, False),
+        (make([http, ("WARC-Payload-Digest", "crc99:abc")], b"HTTP/1.0 200\r\n\r\n" + body), body, True),
+        (make([("Content-Type", "text/dns")], b"20200101\r\nx. 1 IN A 1.2.3.4\r\n"), b"20200101\r\nx. 1 IN A 1.2.3.4\r\n", True),
+        (make([http], b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz not chunks"), b"zz not chunks", True),
+    ]
+    got = [warc.page(*r) for r in warc.records(io.BytesIO(b"".join(s[0] for s in some)))]
+    assert [(g[5], g[6]) for g in got] == [s[1:] for s in some]
+    assert all(g[1] == len(g[5]) and g[2] == hashlib.sha1(g[5]).hexdigest() for g in got)
+    bare = next(warc.records(io.BytesIO(make([("WARC-Profile", warc.PROFILE)], b"", "revisit"))))
+    assert warc.page(*bare)[1:6] == (None, None, "revisit", None, None)
+
+
+def test_members_are_inflated_piece_by_piece():
+    """A member that inflates to far more than its length tells is never held whole."""
+    import tracemalloc
+
+    bomb = zlib.compress(b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n" + b"\0" * 200_000_000, wbits=31)
+    tracemalloc.start()
+    with pytest.raises(warc.WarcError):
+        list(warc.records(io.BytesIO(bomb)))
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
