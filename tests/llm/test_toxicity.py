@@ -41,3 +41,41 @@ def test_empty(spark):
     assert tx.learn_and_score(docs, labels).count() == 0
     one = tx.learn_and_score(spark.createDataFrame([(None, "x")], "doc_id long, text string"), labels).collect()
     assert one[0].predicted == 0 and not one[0].held_out
+
+
+def test_gradient():
+    """Against differences of the loss, term by term."""
+    rng = np.random.default_rng(3)
+    x = (rng.random((12, 5)) < 0.5).astype(np.float64)
+    label, cost = (rng.random(12) < 0.5).astype(float), rng.random(12) / 12
+    theta = {"b": np.array([0.2]), "w": rng.normal(size=5), "v": rng.normal(size=(5, 3))}
+
+    def loss(t):
+        z = [t["b"][0] + t["w"][f].sum() + sum(t["v"][i] @ t["v"][j] for i in f for j in f if i < j) for f in (np.flatnonzero(r) for r in x)]
+        fit = sum(c * np.log1p(np.exp(-q if y else q)) for c, q, y in zip(cost, z, label))
+        return fit + tx.SMALL_W / 2 * (t["w"] ** 2).sum() + tx.SMALL_V / 2 * (t["v"] ** 2).sum()
+
+    got = tx.gradient(theta, x, label, cost)
+    for k, t in theta.items():
+        for at in np.ndindex(t.shape):
+            up, down = ({**theta, k: t.copy()} for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - got[k][at]) < 1e-6
+
+
+def test_copies_of_a_sampled_id(spark):
+    """Features against plain counts; an id that thousands of rows repeat teaches once."""
+    rng = random.Random(2)
+    rows = [(i, f"{'vile' if i % 2 else 'kind'} w{rng.randrange(50)}") for i in range(400)] + [(1, "vile w1")] * 5000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] * 2, "doc_id long, toxic int")
+    m = tx.fit(docs, labels)
+    terms, total, pos = tx.Terms(), {}, {}
+    for i, t in rows[:400]:
+        for b in terms.of((t if i != 1 else "vile w1").encode()).tolist():
+            total[b] = total.get(b, 0) + 1
+            pos[b] = pos.get(b, 0) + i % 2
+    z = {b: abs(pos[b] - n / 2) / np.sqrt(max(n / 4 * (1 - n / 400), 1e-9) + 1) for b, n in total.items() if n >= 4}
+    assert abs(sum(x > 3 for x in z.values()) - (m.number >= 0).sum()) <= 2
+    assert m.score(terms.of(b"vile")) > 0.9 and m.score(terms.of(b"kind")) < 0.1
