@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, texts
 
 OPEN, SHUT = "\x01", "\x02"
-#: Base forms, in Java's dialect: possessive and anchored at the ends of runs, so that none needs quadratic time or deep recursion; each finds what the plain pattern finds.
+#: Base forms, in Java's dialect: possessive and anchored at the ends of runs, so that none needs quadratic time or deep recursion; each finds what the plain pattern finds, of cards only the runs of 16 to 19 digits, which alone can count.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Proposals beyond the base forms.
@@ -44,6 +44,8 @@ HINT = {"email": "@", "phone": "\\+", "ip": "[0-9]\\.[0-9]", "card": "[0-9][\\x2
 DIGITS = {"ip", "card", "phone", "ssn", "iban"}
 KINDS = ("email", "ip", "card", "phone", "iban", "name", "ssn")
 NEAR = 40
+#: Characters in which marks are placed together; spans that are replaced in one stretch of a text.
+PIECE, SPANS = 512, 512
 #: Words before a span that speak for its kind.
 WORDS = {
     "email": "mail|contact|write|reach", "ip": "(?i:ip|address|host|server|login)", "card": "card|visa|master|amex|credit|debit|pay",
@@ -67,16 +69,33 @@ def _once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def mark_places(marked: Column) -> Column:
+    """Where the marks of a text stand, in code points of the text without them, in order.
+
+    An array that an aggregate adds to is copied at every step, so the text is
+    taken in pieces of ``PIECE`` characters: sums within pieces are short, and
+    so are those over pieces.
+    """
+    sums = lambda lengths, first: F.aggregate(lengths, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    marks = f"[{OPEN}{SHUT}]"
+    parts = F.regexp_extract_all(marked, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def each(pieces: Column) -> Column:
+        before = sums(F.transform(pieces, lambda p: F.length(F.regexp_replace(p, marks, "")).cast("long")), F.lit(0).cast("long"))
+        inner = lambda z: _once(F.split(z["p"], marks, -1), lambda q: F.slice(sums(F.transform(q, lambda x: F.length(x).cast("long")), z["b"]), 2, F.size(q) - 1))
+        return F.flatten(F.transform(F.slice(F.arrays_zip(pieces.alias("p"), before.alias("b")), 1, F.size(pieces)), inner))
+
+    return _once(parts, each)
+
+
 def find(text: Column, kind: str, pattern: str, possible: Column) -> Column:
     """Leftmost spans of ``pattern``, which do not overlap: their kind, code-point offsets, text and surroundings; none where not ``possible``."""
 
-    def spans(pieces: Column) -> Column:
-        # Pieces stand alternately outside and inside of spans; their starts are sums of lengths.
-        start = F.aggregate(
-            F.slice(pieces, 1, F.size(pieces) - 1),
-            F.array(F.lit(0).cast("long")),
-            lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x))),
-        )
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{SHUT}"))
+
+    def spans(both: Column) -> Column:
+        # Pieces stand alternately outside and inside of spans; each begins at a mark.
+        pieces, start = both["pieces"], F.concat(F.array(F.lit(0).cast("long")), both["places"])
         rows = F.arrays_zip(pieces.alias("p"), start.alias("s"), F.slice(pieces, 2, F.size(pieces)).alias("nxt"), F.concat(F.array(F.lit("")), pieces).alias("last"))
         inside = F.filter(F.slice(rows, 1, F.size(pieces)), lambda a, i: i % 2 == 1)
         return F.transform(
@@ -84,8 +103,32 @@ def find(text: Column, kind: str, pattern: str, possible: Column) -> Column:
             lambda a: F.struct(F.lit(kind).alias("kind"), a["s"].alias("start"), (a["s"] + F.length(a["p"])).alias("end"), a["p"].alias("match"), F.right(a["last"], F.lit(NEAR)).alias("before"), F.left(a["nxt"], F.lit(1)).alias("after")),
         )
 
-    pieces = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{SHUT}")), f"[{OPEN}{SHUT}]", -1)
-    return F.when(possible & text.rlike(HINT[kind]), _once(pieces, spans).cast(SPAN)).otherwise(F.array().cast(SPAN))
+    split = lambda m: _once(F.struct(F.split(m, f"[{OPEN}{SHUT}]", -1).alias("pieces"), mark_places(m).alias("places")), spans)
+    return F.when(possible & text.rlike(HINT[kind]), _once(marked, split).cast(SPAN)).otherwise(F.array().cast(SPAN))
+
+
+def passed(values: Column, asked: Column, equal: bool) -> Column:
+    """How many of ``values`` (longs) are less than each of ``asked`` (longs), or not more (``equal``); by sorting both together.
+
+    In the order of both, as many of the values stand before one that is asked
+    for as its place there is beyond its place among those asked for.
+    """
+    own = F.sort_array(F.transform(asked, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+    placed = F.transform(own, lambda x, j: F.struct(x["v"].alias("v"), F.lit(1 if equal else 0).alias("side"), j.alias("j"), x["i"].alias("i")))
+    other = F.transform(values, lambda v: F.struct(v.alias("v"), F.lit(0 if equal else 1).alias("side"), F.lit(-1).alias("j"), F.lit(-1).alias("i")))
+    ranked = F.transform(F.sort_array(F.concat(placed, other)), lambda x, place: F.struct(x["i"].alias("i"), (place - x["j"]).alias("n")))
+    return F.transform(F.sort_array(F.filter(ranked, lambda x: x["i"] >= 0)), lambda x: x["n"])
+
+
+def apart(more: Column, base: Column) -> Column:
+    """The spans of ``more`` that overlap none of ``base``, whose own spans of a kind do not overlap each other.
+
+    As many base spans overlap one as begin before its end and have not ended at its start.
+    """
+    begun = passed(F.transform(base, lambda b: b["start"]), F.transform(more, lambda c: c["end"]), False)
+    ended = passed(F.transform(base, lambda b: b["end"]), F.transform(more, lambda c: c["start"]), True)
+    free = F.filter(F.arrays_zip(more.alias("c"), begun.alias("b"), ended.alias("e")), lambda z: z["b"] == z["e"])
+    return F.when((F.size(more) == 0) | (F.size(base) == 0), more).otherwise(F.transform(free, lambda z: z["c"]))
 
 
 def digits(text: Column) -> Column:
@@ -161,10 +204,10 @@ def candidates(df: DataFrame) -> DataFrame:
         df = df.withColumn(f"_m_{k}", find(F.col("_t"), k, p, possible[k]))
     df = df.withColumn("base", F.concat(*[F.col(f"_b_{k}") for k in BASE]))
     more = F.concat(*[F.col(f"_m_{k}") for k in MORE])
-    df = df.withColumn("_more", F.filter(more, lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
+    df = df.withColumn("_all", more).withColumn("_more", apart(F.col("_all"), F.col("base")))
     told = lambda base: lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.lit(base).alias("base"), F.array(*votes(c)).alias("v"))
     df = df.withColumn("spans", F.concat(F.transform("base", told(True)), F.transform("_more", told(False))))
-    return df.withColumn("base", F.transform("base", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))).drop("_t", "_digit", "_more", *[f"_b_{k}" for k in BASE], *[f"_m_{k}" for k in MORE])
+    return df.withColumn("base", F.transform("base", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))).drop("_t", "_digit", "_more", "_all", *[f"_b_{k}" for k in BASE], *[f"_m_{k}" for k in MORE])
 
 
 def _holds(kind: str):
@@ -242,7 +285,7 @@ def decide(found: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     keep = F.filter("spans", lambda c: c["base"] | (model.score(c) >= threshold))
     rank = F.array(*map(F.lit, KINDS))
     put = F.transform(keep, lambda c: F.struct(F.array_position(rank, c["kind"]).alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))
-    return found.withColumn("spans", F.array_sort(put))
+    return found.withColumn("spans", F.sort_array(put))
 
 
 def written(spans: Column) -> Column:
@@ -281,16 +324,24 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_c
     cols = df.columns
     rows = df.select(F.struct(*cols).alias("_row"), F.col(text_col).alias("text"))
     found = decide(candidates(rows), model)
-    spans = F.array_sort(F.transform("spans", lambda c: F.struct(c["start"], (-c["end"]).alias("back"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    spans = F.sort_array(F.transform("spans", lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("back"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    found = found.withColumn("_cuts", spans).withColumn("_ends", F.sort_array(F.transform("_cuts", lambda c: c["end"])))
+    # A span goes if one before it reaches beyond its start, that is if not all before it have ended there.
+    ended = passed(F.col("_ends"), F.transform("_cuts", lambda c: c["start"]), True)
+    fresh = F.filter(F.transform(F.arrays_zip(F.col("_cuts").alias("c"), ended.alias("n")), lambda z, i: F.struct(z["c"].alias("c"), (z["n"] == i).alias("fresh"), F.coalesce(F.get(F.col("_ends"), i - 1), F.lit(0).cast("long")).alias("at"))), lambda z: z["fresh"])
+    found = found.withColumn("_fresh", fresh)
     text = F.col("text")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
-    def step(acc, c):
-        part = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (c["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(c["kind"]), F.lit("]"))
-        fresh = c["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), F.when(fresh, part).otherwise(acc["out"]).alias("out"))
+    # In stretches, as each look into a text walks to its place: a stretch of the text is cut out once.
+    def stretch(some: Column) -> Column:
+        base, upto = some[0]["at"], F.element_at(some, -1)["c"]["start"]
+        part = F.substring(text, (base + 1).cast("int"), (upto - base).cast("int"))
+        one = lambda p: F.array_join(F.transform(some, lambda z: F.concat(F.substring(p, (z["at"] - base + 1).cast("int"), (z["c"]["start"] - z["at"]).cast("int")), F.lit("["), F.upper(z["c"]["kind"]), F.lit("]"))), "")
+        return _once(part, one)
 
-    new = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    starts = F.sequence(F.lit(0), F.floor((F.size("_fresh") - 1) / SPANS).cast("int"))
+    parts = F.transform(starts, lambda i: _once(F.slice("_fresh", i * SPANS + 1, F.lit(SPANS)), stretch))
+    new = F.concat(F.array_join(parts, ""), F.substring(text, (F.array_max("_ends") + 1).cast("int"), F.length(text)))
     found = found.withColumn("_new", F.when(F.size("spans") > 0, new).otherwise(text))
     fresh = [F.col("_new").alias(c) if c == text_col else F.length("_new").cast(df.schema[c].dataType).alias(c) if c == size_col else F.col("_row")[c].alias(c) for c in cols]
     return found.select(*fresh)

@@ -90,3 +90,46 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.digest(df).count() == 0 and pii.redact(df).count() == 0
     assert pii.detect(spark.createDataFrame([(None, "nothing")], "doc_id long, text string")).select(F.size("spans")).first()[0] == 0
+
+
+def test_many_matches(spark):
+    """A megabyte of digits in pairs and hundreds of kilobytes of cards and addresses: as plain search finds, in time that grows with the text."""
+    import time
+
+    rng = random.Random(11)
+    good, bad = card(rng), card(rng, False)
+    some = ["12a" * 350_000, f"{good}," * 20_000, f"1.2.3.4 {bad};" * 10_000, "a@b.cc " * 40_000, f"4{bad} z 123-45-6789 " * 10_000]
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").repartition(5)
+    began = time.time()
+    got = {r.doc_id: r for r in pii.digest(df).collect()}
+    assert time.time() - began < 120
+    for i, t in enumerate(some):
+        want = brute(t) if i else []  # the plain patterns need quadratic time for the first, which has none
+        assert [got[i][f"n_{k}"] for k in PLAIN] == [sum(k == x for k, *_ in want) for x in PLAIN]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+    out = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert out[1] == "[CARD]," * 20_000 and out[3] == "[EMAIL] " * 40_000 and out[0] == some[0]
+
+
+def test_places_and_overlaps(spark):
+    """Marks in pieces of any length as in one; overlaps against all pairs."""
+    rng = random.Random(5)
+
+    def spans(n):
+        cuts = sorted(rng.sample(range(300), 2 * n))
+        return [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+
+    rows = [(i, spans(rng.choice([0, 1, 5, 40])), sorted(spans(rng.choice([0, 1, 5])) + spans(rng.choice([0, 9])))) for i in range(60)]
+    df = spark.createDataFrame(rows, "i int, base array<struct<start:bigint,end:bigint>>, more array<struct<start:bigint,end:bigint>>")
+    for r in df.select("i", pii.apart(F.col("more"), F.col("base")).alias("a")).collect():
+        _, base, more = rows[r.i]
+        assert [tuple(x) for x in r.a] == [c for c in more if not any(b[0] < c[1] and c[0] < b[1] for b in base)]
+    some = ["".join(rng.choice("aé😀\n\x01\x02") for _ in range(rng.choice([0, 1, 5, 600]))) for _ in range(40)]
+    piece = pii.PIECE
+    try:
+        for pii.PIECE in (1, 3, 512):
+            got = spark.createDataFrame(list(enumerate(some)), "i int, t string").select("i", pii.mark_places(F.col("t")).alias("p")).collect()
+            for r in got:
+                assert r.p == [k - sum(c in "\x01\x02" for c in some[r.i][:k]) for k, c in enumerate(some[r.i]) if c in "\x01\x02"]
+    finally:
+        pii.PIECE = piece
