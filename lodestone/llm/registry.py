@@ -98,7 +98,7 @@ def op8_warc(spark, d):
 @query()
 def op4_url_filter(spark, d):
     """Verdict on every page's URL."""
-    return url_filter.judge(table(spark, d, "pages"))
+    return url_filter.judge(table(spark, d, "pages"), coverage=url_filter.COVERAGE)
 
 
 @query()

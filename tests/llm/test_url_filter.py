@@ -71,3 +71,38 @@ def test_brute_force(spark):
 def test_without_labels(spark, rows):
     got = uf.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
     assert [r.verdict for r in got] == ["allow"] * len(rows)
+
+
+def test_coverage_at_the_settings_of_the_query(spark):
+    """Rules of labelled URLs alone, against all combinations counted one by one; tokens that always come together; hosts that only some rules know."""
+    import random
+
+    rng = random.Random(3)
+    long = "/".join(f"seg{'abcdefghijklmnopqrstuvwx'[i]}" for i in range(24))  # 2^24 subsets
+    urls = [f"https://{rng.choice(['shop', 'spam', 'news', 'wiki'])}.example.{rng.choice(['com', 'com', 'net', 'org'])}/{rng.choice(['en', 'es', 'fr', 'de'])}/{rng.choice(['', 'a.html', '?page=2&ref=x'])}" for _ in range(900)]
+    urls += [f"https://bad.example.com/en/{long}"] * 30 + [f"https://bad.example.org/en/{long}"] * 20
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(3)
+    got = {r.page_id: r for r in uf.judge(df, coverage=uf.COVERAGE).collect()}
+    said = [(toks(u), rule(*parts(u))[1]) for u in urls]
+    n = len(said)
+    every = {x for x in set().union(*(t for t, _ in said)) if sum(x in t for t, _ in said) > uf.MOST * n}
+    short = frozenset(x for x in toks(urls[-1]) if x.startswith("p:seg"))
+    one = lambda t: frozenset(t - every - short) | ({"LONG"} if short <= t else set())
+    count, known, both = {}, {}, {}
+    for t, v in said:
+        use = sorted(one(t))
+        for k in range(1, len(use) + 1):
+            for c in combinations(use, k):
+                count[c] = count.get(c, 0) + 1
+                if v:
+                    known[c] = known.get(c, 0) + 1
+                    both[c, v] = both.get((c, v), 0) + 1
+    rules = {(c, v): b / known[c] for (c, v), b in both.items() if b / n >= uf.SUPPORT and b / known[c] >= uf.CONFIDENCE and known[c] / count[c] >= uf.COVERAGE}
+    by_rule = 0
+    for i, (t, v) in enumerate(said):
+        wide = lambda c: sorted(set(c) - {"LONG"} | (short if "LONG" in c else set()))
+        fits = [(-conf, -len(wide(c)), 0 if w == "block" else 1, " ".join(wide(c)), w) for (c, w), conf in rules.items() if set(c) <= one(t)]
+        assert got[i].verdict == (v or (min(fits)[-1] if fits else "allow")), urls[i]
+        by_rule += v is None and bool(fits)
+        assert (got[i].mined is not None) == (v is None and bool(fits))
+    assert by_rule >= 20 and got[n - 1].verdict == "block"
