@@ -12,6 +12,8 @@ of their smallest ids as an answer can hold.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,6 +23,8 @@ from lodestone.llm.common import cut
 
 #: Nearest returned, vectors a shard, edges a node, beam when building and when searching, and slack of pruning.
 K, SHARD, EDGES, BUILD_BEAM, BEAM, ALPHA = 20, 12_000, 48, 96, 144, 1.15
+#: As every query goes to every shard, shards grow by the root of the vectors from SHARD on, up to what fits a worker: copies of queries then grow as the vectors to the power 1.5.
+GROWTH, SHARD_BYTES = 12.0, 256 << 20
 #: Vectors that enter a graph together, and nodes that each search opens at a time.
 GROUP, OPEN = 512, 4
 
@@ -29,7 +33,8 @@ class Graph:
     """A graph over the rows of ``vectors``; ``edges`` holds -1 where a node has fewer."""
 
     def __init__(self, vectors: np.ndarray, edges: int = EDGES, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 11):
-        x = np.ascontiguousarray(vectors, np.float32)
+        # Scaled to components of 1 at most, whose squares no large or small number can spoil.
+        x = (vectors / (np.abs(vectors).max() if len(vectors) else 1.0)).astype(np.float32)
         square = (x.astype(np.float64) ** 2).sum(1)
         self.radius = float(square.max()) if len(x) else 0.0
         self.x = np.concatenate([x, np.sqrt(np.maximum(self.radius - square, 0))[:, None].astype(np.float32)], 1)
@@ -51,10 +56,22 @@ class Graph:
             self._back(new)
             at += len(new)
             size = min(GROUP, 2 * size)
-        # Nodes that no edge leads to would never be found: the start leads to them.
-        seen = np.zeros(n, bool)
-        seen[self.edges[self.edges >= 0]] = True
-        self.entry = np.concatenate([self.entry, np.setdiff1d(np.flatnonzero(~seen), self.entry)])
+        # Nodes that no path from the start leads to would never be found: searches start from them, too.
+        led = np.zeros(n, bool)
+        led[self.edges[self.edges >= 0]] = True
+        self.entry = np.concatenate([self.entry, np.setdiff1d(np.flatnonzero(~led), self.entry)])
+        reached = np.zeros(n, bool)
+        self._spread(self.entry, reached)
+        while len(left := np.flatnonzero(~reached)):  # circles of nodes that are cut off
+            self.entry = np.append(self.entry, left[0])
+            self._spread(left[:1], reached)
+
+    def _spread(self, nodes: np.ndarray, reached: np.ndarray) -> None:
+        """Marks all that edges lead to from ``nodes``."""
+        while len(nodes):
+            reached[nodes] = True
+            nodes = np.unique(self.edges[nodes])
+            nodes = nodes[(nodes >= 0) & ~reached[nodes]]
 
     def beam(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """For each row of ``q`` up to ``width`` nodes, the best that a greedy search with a beam meets, and their inner products; -1 where fewer."""
@@ -169,7 +186,8 @@ def answers(graph: Graph, x: np.ndarray, ids: list[list[int]], q: np.ndarray, ow
     out_r, out_i, out_s = [], [], []
     for a in range(0, len(q), 256):
         part = q[a : a + 256]
-        near, _ = graph.beam(np.concatenate([part, np.zeros((len(part), 1))], 1).astype(np.float32), beam)
+        scaled = part / np.abs(part).max(1, keepdims=True)
+        near, _ = graph.beam(np.concatenate([scaled, np.zeros((len(part), 1))], 1).astype(np.float32), beam)
         near = near[:, : max(k + 1, beam // 2)]
         exact = np.einsum("ijk,ik->ij", x[np.maximum(near, 0)], part)
         exact[near < 0] = -np.inf
@@ -192,7 +210,8 @@ def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "em
     Nearness is the inner product; ties go to the smaller id. Rows whose vector
     is null, empty, zero or holds a null or non-finite component take no part,
     nor do rows without an id; a repeated row counts once. Vectors are compared
-    with those of their own length only.
+    with those of their own length only. ``shard`` is the size of a shard while
+    vectors are few (see ``GROWTH``); other columns play no part.
     """
     v = F.col("v")
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists(v, lambda e: e != 0)
@@ -206,7 +225,8 @@ def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "em
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     base, starts = 0, {}
     for d in sorted(sizes):
-        starts[d] = (base, -(-sizes[d] // shard))
+        size = max(shard, min(int(GROWTH * math.sqrt(sizes[d])), SHARD_BYTES // (4 * d)))
+        starts[d] = (base, -(-sizes[d] // size))
         base += starts[d][1]
     of = F.create_map(*[F.lit(z) for d, s in starts.items() for z in (d, s[0])])
     many = F.create_map(*[F.lit(z) for d, s in starts.items() for z in (d, s[1])])
@@ -238,7 +258,8 @@ def search(df: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "em
                 r, i, sc = answers(*ready, _matrix(part.column(3)), own_ids, k, beam)
                 yield pa.RecordBatch.from_arrays([pa.array(own_ids[r]), pa.array(i), pa.array(sc)], ["query_id", "vec_id", "score"])
 
-    found = index.unionByName(asked).repartition(max(2, base), "shard").sortWithinPartitions("shard", "ask", "v", "id").mapInArrow(run, "query_id long, vec_id long, score double")
+    # Each shard is a task of its own.
+    found = index.unionByName(asked).repartitionById(base, F.col("shard")).sortWithinPartitions("shard", "ask", "v", "id").mapInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -46,3 +46,22 @@ def test_recall(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.search(df, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_circles_that_are_cut_off_and_large_numbers(spark):
+    g = ann.Graph(np.random.default_rng(5).normal(size=(40, 4)))
+    g.edges[:] = -1
+    g.edges[:36, 0] = (np.arange(36) + 1) % 36
+    g.edges[36:, 0] = [37, 38, 39, 36]
+    reached = np.zeros(40, bool)
+    g._spread(np.array([0]), reached)
+    assert reached.tolist() == [True] * 36 + [False] * 4
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 8)) * 1e30
+    x[::7] *= 1e-55
+    rows = [(i, [float(np.float32(z)) for z in v]) for i, v in enumerate(x)]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = brute(rows, 20)
+    assert sum(len({j for _, j in got[q]} & {j for j, _ in near}) for q, near in want.items()) >= 0.97 * 20 * len(want)
