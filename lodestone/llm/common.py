@@ -12,8 +12,8 @@ from lodestone.session import cut, shared_dir, table
 
 __all__ = ["WORD", "cut", "held_out", "shared_dir", "slices", "table", "texts"]
 
-#: Spark's bound on the bytes of an Arrow batch.
-BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+#: Spark's bound on the bytes of an Arrow batch, and of a Parquet row group, which a task holds while it writes texts.
+BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "parquet.block.size": str(32 << 20)}
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,14 +26,16 @@ def held_out(key: Column) -> Column:
 def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the named columns, so that others cannot clash with what an operator adds.
 
-    What goes to a Python worker at a time is bound by bytes, for texts can be long.
+    What goes to a Python worker at a time, and what is held for writing, is bound by bytes, for texts can be long.
     """
-    if df.sparkSession.conf.get(BATCH) != BATCH_BYTES:
-        df.sparkSession.conf.set(BATCH, BATCH_BYTES)
+    conf = df.sparkSession.conf
+    for name, value in BOUNDS.items():
+        if conf.get(name, None) != value:
+            conf.set(name, value)
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Each batch in pieces of about ``most`` bytes of the string ``column``; one long text stays whole."""
     for batch in batches:
         n = batch.num_rows

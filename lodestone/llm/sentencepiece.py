@@ -6,7 +6,12 @@ as a double array, and the arrays broadcast; their size is bound by
 character, so that the best path of a text is the best paths of its chunks
 ``markers + word`` one after another. Each worker keeps the paths of the chunks
 that it has met (bounded) and finds those of new chunks together, with array
-operations over all their positions.
+operations over all their positions; a very long chunk is walked in windows, for
+which a few bytes a character are kept.
+
+Scores are those of the model file, as they are: tokenizers are not trained
+here. A file whose scores are ranks of merges gives, of all ways to spell a
+text, the one with the largest sum of these.
 """
 
 from __future__ import annotations
@@ -28,8 +33,10 @@ MAX_MODEL_BYTES = 64 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What an unknown character costs beyond the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: Chunks whose paths a worker keeps.
-KEEP = 150_000
+#: Chunks whose paths a worker keeps, and their characters; characters of chunks that are solved together.
+KEEP, KEEP_CHARS, ROOM = 100_000, 3_000_000, 60_000
+#: Chunks of more characters than LONG (texts without white space) are solved alone, in windows.
+LONG, WINDOW = 20_000, 1 << 16
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -159,10 +166,10 @@ class Unigram:
     def forget(self) -> None:
         self.known: dict[str, int] = _Numbered()
         self.ids, self.lens = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        self.done = 0
+        self.done = self.held = 0
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "ids", "lens", "done", "codes")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "ids", "lens", "done", "held", "codes")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -230,15 +237,73 @@ class Unigram:
             ids[ids < 0] = self.bytes[np.frombuffer(b"".join(chars), np.uint8)]
         return ids.astype(np.int32), count.astype(np.int64)
 
+    def _long(self, chunk: str) -> np.ndarray:
+        """The ids of the best path of one long chunk: window by window, keeping a piece and its length for each character."""
+        if not hasattr(self, "codes"):
+            self.codes = np.zeros(0x110000, np.int32)
+            self.codes[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
+        n, width = len(chunk), self.longest
+        cells = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32)
+        took, piece = np.zeros(n + 1, np.uint16), np.zeros(n + 1, np.int32)
+        best = [0.0]  # of the nodes up to the window's first, the last ``width`` of them
+        for a in range(0, n, WINDOW):
+            b = min(a + WINDOW, n)
+            # Pieces that end in the window begin in it or up to ``width`` characters before.
+            low = max(0, a - width + 1)
+            code = np.append(self.codes[cells[low:b]], np.zeros(width, np.int32))
+            at = np.flatnonzero(code)
+            state, ends, sizes, ids = np.zeros(len(at), np.int32), [], [], []
+            for k in range(width):
+                c = code[at + k]
+                to = self.base[state] + c
+                ok = (c > 0) & (self.check[to] == state)
+                at, state = at[ok], to[ok]
+                hit = (self.value[state] >= 0) & (at + low + k >= a)
+                ends.append(at[hit] + low + k + 1)
+                sizes.append(np.full(int(hit.sum()), k + 1))
+                ids.append(self.value[state[hit]])
+            ends, sizes, ids = map(np.concatenate, (ends, sizes, ids))
+            order = np.lexsort((-sizes, ends))
+            cuts = np.searchsorted(ends[order], np.arange(a + 1, b + 2)).tolist()
+            sizes, ids = sizes[order], ids[order]
+            size, number, score = sizes.tolist(), ids.tolist(), self.scores[ids].tolist()
+            some_took, some_piece = [0] * (b - a), [0] * (b - a)
+            for j in range(b - a):
+                top, long, which = -np.inf, 1, -1
+                for h in range(cuts[j], cuts[j + 1]):  # the longest first, which wins among equals
+                    if (z := best[-size[h]] + score[h]) > top:
+                        top, long, which = z, size[h], number[h]
+                if cuts[j] == cuts[j + 1] or size[cuts[j + 1] - 1] > 1:
+                    if (z := best[-1] + self.unknown_score) > top:
+                        top, long, which = z, 1, -1
+                best.append(top)
+                some_took[j], some_piece[j] = long, which
+            best = best[-width:]
+            took[a + 1 : b + 1], piece[a + 1 : b + 1] = some_took, some_piece
+        out, at = [], n
+        while at:
+            if piece[at] >= 0:
+                out.append(int(piece[at]))
+            else:
+                out += self.bytes[np.frombuffer(chr(cells[at - 1]).encode("utf-8", "replace"), np.uint8)[::-1]].tolist()
+            at -= int(took[at])
+        return np.array(out[::-1], np.int32)
+
     def _learn(self) -> None:
         new = list(self.known)[self.done :]
         self.done = len(self.known)
+        self.held += sum(map(len, new))
         order = sorted(range(len(new)), key=lambda i: len(new[i]))
         at = 0
         lens, flat = np.zeros(len(new), np.int64), [None] * len(new)
         while at < len(order):
-            room, end = 150_000, at
-            while end < len(order) and (end == at or room > 0):
+            room, end = ROOM, at
+            if len(new[order[at]]) > LONG:
+                flat[order[at]] = self._long(new[order[at]])
+                lens[order[at]] = len(flat[order[at]])
+                at += 1
+                continue
+            while end < len(order) and (end == at or room > 0) and len(new[order[end]]) <= LONG:
                 room -= len(new[order[end]]) + 1
                 end += 1
             some = order[at:end]
@@ -253,7 +318,7 @@ class Unigram:
 
     def encode(self, batch: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the offsets between texts; null and empty texts have none."""
-        if len(self.known) > KEEP:
+        if len(self.known) > KEEP or self.held > KEEP_CHARS:
             self.forget()
         split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if self.newline else f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+").findall
         number, seen, cuts = self.known.__getitem__, [], [0]

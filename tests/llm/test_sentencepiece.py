@@ -87,3 +87,28 @@ def test_round_trip(spark, raw):
     assert back == {i: t for i, t, _ in rows}
     assert sp.round_trip(df.limit(0), m).count() == 0
     assert m.value.decode(np.array([m.value.bytes[255], m.value.bytes[65]]), np.array([0, 2])) == ["�A"]
+
+
+def test_long_texts_without_white_space(model):
+    """Windows against plain Viterbi, whatever the window; and a large text in few bytes a character."""
+    rng = random.Random(4)
+    some = ["".join(rng.choice("thean漢é01=/+") for _ in range(n)) for n in (1, 17, 200, 900)]
+    long, window = sp.LONG, sp.WINDOW
+    try:
+        sp.LONG = 0
+        for sp.WINDOW in (1, 5, 64, 1 << 16):
+            for t in some:
+                model.forget()
+                assert model.encode([t])[0].tolist() == brute(model, t)
+        sp.LONG, sp.WINDOW = long, window
+        import tracemalloc
+
+        text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/", k=100_000)) + "漢" * 1000
+        model.forget()
+        tracemalloc.start()
+        ids, cuts = model.encode([text])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert model.decode(ids, cuts) == [text] and peak < 200 * len(text)
+    finally:
+        sp.LONG, sp.WINDOW = long, window
