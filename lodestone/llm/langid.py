@@ -12,6 +12,7 @@ sample of like size reaches at least.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import held_out, slices, texts
 
-#: Buckets of n-grams; centroids per language; training documents per language that are clustered, about.
+#: Characters hashed at a time.
+PIECE = 1 << 18
+#: Buckets of n-grams (16 bits at most); centroids per language; training documents per language that are clustered, about.
 BUCKETS, CENTROIDS, SAMPLE = 1 << 14, 4, 256
 #: Languages at most, so that what is broadcast stays small (64 KB a centroid).
 MAX_LANGUAGES = 200
@@ -35,32 +38,45 @@ _LETTERS: list[np.ndarray] = []
 
 
 def letters() -> np.ndarray:
-    """Per code point the lower-case letter's code point, or 32 for what is no letter; built once a process."""
+    """Per code point the lower-case letter's code point, a mark's own, or 32 for what is neither; built once a process."""
     if not _LETTERS:
-        table = np.full(0x110000, 32, np.uint32)
+        table, mark = np.full(0x110000, 32, np.uint32), np.zeros(0x110000, bool)
         for i in range(0x110000):
-            if unicodedata.category(c := chr(i))[0] in "LM":
+            if (kind := unicodedata.category(c := chr(i))[0]) in "LM":
                 low = c.lower()
-                table[i] = ord(low) if len(low) == 1 else i
-        _LETTERS.append(table)
+                table[i], mark[i] = ord(low) if len(low) == 1 else i, kind == "M"
+        _LETTERS.extend([table, mark])
     return _LETTERS[0]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; marks alone (accents, vowel signs) are none."""
+    table, cp = letters(), np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return bool(((table[cp] != 32) & ~_LETTERS[1][cp]).any())
+
+
 def grams(text: str) -> np.ndarray:
-    """The buckets of a text's n-grams, repeats included; none if it has no letter."""
+    """The buckets of a text's n-grams, repeats included; none if it has no letter. Long texts are hashed ``PIECE`` characters at a time."""
     cp = letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    if not len(cp) or not (cp != 32).any():
-        return np.zeros(0, np.int64)
+    if not (cp != 32).any() or not has_letter(text):
+        return np.zeros(0, np.uint16)
     cp = np.concatenate([[32], cp, [32]]).astype(np.uint32)
     cp = cp[np.concatenate([[True], (cp[1:] != 32) | (cp[:-1] != 32)])]
+    # A piece has two characters of the next one, in which its last n-grams end but none begins.
+    return np.concatenate([_hashed(cp[i : i + PIECE + 2], i + PIECE + 2 >= len(cp)) for i in range(0, max(1, len(cp) - 2), PIECE)])
+
+
+def _hashed(cp: np.ndarray, last: bool) -> np.ndarray:
+    """Buckets of the n-grams that begin in a piece; of the last piece also those in its final two characters."""
+    n = len(cp) if last else len(cp) - 2
     with np.errstate(over="ignore"):
         one = cp * np.uint32(0x9E3779B1)
         two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + one[1:]
         three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * np.uint32(0xC2B2AE3D) + one[2:]
-        h = np.concatenate([one[cp != 32], two, three])
+        h = np.concatenate([one[:n][cp[:n] != 32], two[:n], three[:n]])
         h ^= h >> np.uint32(16)
         h *= np.uint32(0x7FEB352D)
-    return (h >> np.uint32(18)).astype(np.int64)
+    return (h >> np.uint32(18)).astype(np.uint16)
 
 
 def vector(buckets: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +116,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, cosine, rejected)."""
-        b = grams(text) if text else np.zeros(0, np.int64)
+        b = grams(text) if text else np.zeros(0, np.uint16)
         if not len(b) or not self.langs:
             return UNKNOWN, 0.0, True
         at, w = vector(b, self.idf)
@@ -119,8 +135,9 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     """Learns from rows with a language; null texts and languages teach nothing.
 
     Document frequencies come from all rows. Centroids come from about
-    ``sample`` rows per language, picked by a hash of the id. No rows give a
-    model that knows no language.
+    ``sample`` distinct texts per language, picked by a hash of the text. No
+    rows give a model that knows no language; more than ``MAX_LANGUAGES``
+    languages raise.
     """
     rows = texts(train, id_col, text_col, F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
 
@@ -144,13 +161,15 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         else:
             df[r.bucket] = r.df
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
+    # Texts count once in the sample, however many rows have them.
+    sizes = {r.lang: max(1, r.n) for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return Model(idf, [], np.zeros((BUCKETS, 0), np.float32), {})
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(sample / n))])
-    some = rows.filter(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    picked = F.pmod(F.xxhash64("lang", "text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
+    some = rows.filter(picked).select("lang", "text").dropDuplicates()
 
     def centres(table: pa.Table) -> pa.Table:
         lang = table.column("lang")[0].as_py()
@@ -171,7 +190,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
                     least[i] = min(least)
         return pa.table({"lang": pa.array([lang] * len(got), pa.string()), "centre": pa.array(got, pa.binary()), "least": pa.array([least] * len(got), pa.list_(pa.float64()))})
 
-    rest = some.select("lang", "text").groupBy("lang").applyInArrow(centres, "lang string, centre binary, least array<double>").collect()
+    rest = some.groupBy("lang").applyInArrow(centres, "lang string, centre binary, least array<double>").collect()
     rest = sorted(rest, key=lambda r: (r.lang, bytes(r.centre)))
     matrix = np.stack([np.frombuffer(bytes(r.centre), np.float32) for r in rest], 1) if rest else np.zeros((BUCKETS, 0), np.float32)
     return Model(idf, [r.lang for r in rest], np.ascontiguousarray(matrix), {r.lang: np.array(r.least) for r in rest})
@@ -182,21 +201,23 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     Texts that are null or have no letter are ``und``, score 0 and rejected;
     so is all if the model knows no language. Of equal cosines the first by
-    language counts. Repeated rows give a row each. ``keep``: columns of
-    ``df`` that the result takes over after these, none named as these are.
+    language counts. Repeated rows give a row each; very long texts are read
+    whole, ``PIECE`` characters at a time. ``keep``: columns of ``df`` that the
+    result takes over after these, none named as these are; other columns play
+    no part. Only texts go to the Python workers, and only verdicts come back.
     """
     known = df.sparkSession.sparkContext.broadcast(model)
-    source = texts(df, id_col, text_col, *(c for c in keep if c != text_col))
-    at = [1 if c == text_col else source.columns.index(c, 2) for c in keep]
+    kinds = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
-    def run(batches):
-        for b in slices(batches):
-            got = [known.value.predict(t) for t in b.column(1).to_pylist()]
-            cols = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, *(b.column(i) for i in at)], ["doc_id", "lang_pred", "score", "rejected", *keep])
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def judged(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            got = [known.value.predict(t.as_py()) for t in column]  # one text at a time as a Python string
+            yield pa.StructArray.from_arrays([pa.array([g[i] for g in got], k.type) for i, k in enumerate(kinds)], fields=list(kinds))
 
-    kinds = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(run, f"doc_id {df.schema[id_col].dataType.simpleString()}, lang_pred string, score double, rejected boolean{kinds}")
+    rows = texts(df, id_col, text_col, *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)))
+    got = rows.withColumn("_judged", judged("text"))
+    return got.select("doc_id", "_judged.*", *(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)))
 
 
 def learn_and_identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -49,3 +49,20 @@ def test_empty(spark):
     assert li.learn_and_identify(df).count() == 0
     one = spark.createDataFrame([(0, "abc", None), (None, "abc", None)], "doc_id long, text string, lang string")
     assert {(r.lang_pred, r.held_out) for r in li.learn_and_identify(one).collect()} == {("und", False)}
+
+
+def test_marks_and_copies(spark):
+    """Marks alone are no letters; long texts are hashed in pieces alike; copies of one row are in the sample once."""
+    rows = [(0, "\u0300\u0301", None), (1, "e\u0301", "aa"), (None, "kato miru", "aa"), *[(5, "schlich ungber", "bb")] * 3000]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.fit(df, sample=4)
+    got = {r.doc_id: r for r in li.identify(df, model).filter("doc_id is null or doc_id < 9").dropDuplicates(["doc_id"]).collect()}
+    assert got[0].lang_pred == "und" and got[0].rejected and got[0].score == 0
+    assert got[5].lang_pred == "bb" and got[None].lang_pred == "aa"
+    text, piece = make("aa", random.Random(1), 900) + " ß漢", li.PIECE
+    whole = np.sort(li.grams(text))
+    try:
+        for li.PIECE in (1, 7, 1000):
+            assert (np.sort(li.grams(text)) == whole).all()
+    finally:
+        li.PIECE = piece
