@@ -37,12 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where that setting is absent (tests, a single machine) a temporary folder is
-    made once and set as the checkpoint folder of the session.
+    Where that setting is absent and the session is local (tests, a single
+    machine) a temporary folder is made once and set as the checkpoint folder of
+    the session. A cluster has to name one: a folder of one machine is no use there.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
