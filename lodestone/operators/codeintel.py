@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import paths
 from lodestone.functions import scores as sc
 from lodestone.functions import text as tx
+from lodestone.operators.intervals import containing
 from lodestone.operators.windows import first_n
 
 #: Behaviours, their patterns with weights, and the score from which a text shows them.
@@ -26,7 +27,7 @@ BEHAVIORS = {
 
 def coverage(ranges: DataFrame, lines: DataFrame, key: str, range_id: str) -> DataFrame:
     """(range_id, covered, total, percent): executed lines (key, line, executed) in each range; 100 % where a range has no line that counts."""
-    hit = ranges.join(lines, key, "left").filter(F.col("line").isNull() | F.col("line").between(F.col("start"), F.col("end")))
+    hit = containing(lines, ranges, key, "line", "start", "end")
     got = hit.groupBy(range_id).agg(F.count_if("executed").alias("covered"), F.count("line").alias("total"))
     out = ranges.select(range_id).join(got, range_id, "left").fillna(0, ["covered", "total"])
     return out.withColumn("percent", F.when(F.col("total") > 0, F.round(100.0 * F.col("covered") / F.col("total"), 2)).otherwise(100.0))
@@ -96,7 +97,7 @@ def blueprint(symbols: DataFrame, texts: DataFrame, calls: DataFrame | None = No
     rows = rows.withColumn("level", sc.complexity_level(F.col("branches"), F.col("lines")))
     if calls is None:
         return rows.withColumn("deps", F.lit(None).cast("long"))
-    inside = symbols.join(calls.select("path", "line", "callee"), "path").filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    inside = containing(calls.select("path", "line", "callee"), symbols, "path", "line", "start_line", "end_line")
     deps = inside.groupBy("path", "name", "start_line").agg(F.count_distinct("callee").alias("deps"))
     return rows.join(deps, ["path", "name", "start_line"], "left").fillna(0, ["deps"])
 

@@ -1,14 +1,41 @@
-"""Joins on intervals and on time: containment, overlap, as-of."""
+"""Joins on intervals and on time: containment, overlap, as-of.
+
+Ranges are cut into dyadic intervals (at most two of each size), points are
+asked for in the one interval of each size that holds them, and both meet by
+equality. So no task holds all points and ranges of a key, a wide range costs
+two rows a size, and every pair that meets is one of the result.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def containing(points: DataFrame, ranges: DataFrame, key: str, at: str = "at", start: str = "start", end: str = "end") -> DataFrame:
-    """Each point with every range of its key that holds it (ends included)."""
-    return points.join(ranges, key).filter(F.col(at).between(F.col(start), F.col(end)))
+def _levels(ranges: DataFrame, start: str, end: str) -> int:
+    """Sizes of dyadic intervals that the longest range needs."""
+    longest = ranges.agg(F.max(F.col(end).cast("long") - F.col(start).cast("long") + 1)).first()[0]
+    return max(1, int(longest or 1).bit_length())
+
+
+def containing(points: DataFrame, ranges: DataFrame, key: str | list[str], at: str = "at", start: str = "start", end: str = "end") -> DataFrame:
+    """Each point with every range of its key that holds it (ends included); whole numbers.
+
+    Nulls in a key, a point or a range meet nothing, nor do ranges that end
+    before they start. Repeated rows meet as often as they repeat.
+    """
+    keys = [key] if isinstance(key, str) else key
+    levels = _levels(ranges, start, end)
+    nodes = []
+    for k in range(levels):
+        a = -F.shiftright(-F.col(start).cast("long"), k)
+        b = F.shiftright(F.col(end).cast("long") + 1, k)
+        for odd, node in ((a, a), (b, b - 1)):
+            nodes.append(F.when((a < b) & (odd.bitwiseAND(F.lit(1)) == 1), F.struct(F.lit(k).alias("k"), node.alias("n"))))
+    r = ranges.withColumn("_n", F.explode(F.array_compact(F.array(*nodes))))
+    where = [F.struct(F.lit(k).alias("k"), F.shiftright(F.col(at).cast("long"), k).alias("n")) for k in range(levels)]
+    p = points.filter(F.col(at).isNotNull()).withColumn("_n", F.explode(F.array(*where)))
+    return p.join(r, [*keys, "_n"]).drop("_n")
 
 
 def innermost(points: DataFrame, ranges: DataFrame, key: str, point_id: str, range_id: str, at: str = "at", start: str = "start", end: str = "end") -> DataFrame:
@@ -24,28 +51,52 @@ def latest_start(points: DataFrame, ranges: DataFrame, key: str, point_id: str,
 
 
 def bucketed(points: DataFrame, ranges: DataFrame, width: int, at: str = "at", start: str = "start", end: str = "end") -> DataFrame:
-    """Containment without a key: ranges are dealt to the buckets that they touch, so that the join has a key."""
-    r = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    p = points.withColumn("_b", F.floor(F.col(at) / width))
-    return p.join(r, "_b").filter(F.col(at).between(F.col(start), F.col(end))).drop("_b")
+    """Containment without a key; ``width`` is of no account any more, as ranges of all widths are cut alike."""
+    out = containing(points.withColumn("_one", F.lit(0)), ranges.withColumn("_one", F.lit(0)), "_one", at, start, end)
+    return out.drop("_one")
 
 
 def overlaps(a: DataFrame, b: DataFrame, key: str, a_range: tuple[str, str], b_range: tuple[str, str]) -> DataFrame:
-    """Pairs of ranges of a key that share a point, with ``shared``: how many."""
-    low, high = F.greatest(F.col(a_range[0]), F.col(b_range[0])), F.least(F.col(a_range[1]), F.col(b_range[1]))
-    return a.join(b, key).filter(low <= high).withColumn("shared", high - low + 1)
+    """Pairs of ranges of a key that share a point, with ``shared``: how many. One of the two holds the start of the other."""
+    (a0, a1), (b0, b1) = a_range, b_range
+    left, right = a.filter(F.col(a0) <= F.col(a1)), b.filter(F.col(b0) <= F.col(b1))
+    first = containing(left, right, key, a0, b0, b1)
+    second = containing(right, left, key, b0, a0, a1).filter(F.col(b0) > F.col(a0))
+    both = first.unionByName(second)
+    low, high = F.greatest(F.col(a0), F.col(b0)), F.least(F.col(a1), F.col(b1))
+    return both.withColumn("shared", high - low + 1)
+
+
+def _merged(left: DataFrame, right: DataFrame, key: str, left_id: str, at: str, then: str, found: Column) -> DataFrame:
+    """Both sides in one table (k, t, id, found): ``found`` only on the right, whose rows without a key or time are left out."""
+    kind = left.schema[left_id].dataType
+    a = left.select(F.col(key).alias("k"), F.col(at).alias("t"), F.lit(1).alias("side"), F.col(left_id).alias("id"))
+    b = right.filter(F.col(key).isNotNull() & F.col(then).isNotNull()).select(F.col(key).alias("k"), F.col(then).alias("t"), F.lit(0).alias("side"), F.lit(None).cast(kind).alias("id"), found.alias("found"))
+    return a.unionByName(b, allowMissingColumns=True)
 
 
 def last_before(left: DataFrame, right: DataFrame, key: str, left_id: str, at: str, then: str, value: Column, name: str, tie: str) -> DataFrame:
-    """Backward as-of join: (left_id, name), the value of the latest right row of the key with ``then <= at``; null without one."""
-    hit = left.join(right, key).filter(F.col(then) <= F.col(at))
-    best = hit.groupBy(left_id).agg(F.max_by(value, F.struct(then, tie)).alias(name))
-    return left.select(left_id).join(best, left_id, "left")
+    """Backward as-of join: (left_id, name), the value of the latest right row of the key with ``then <= at``, of equally late ones that with the largest ``tie``; null without one.
+
+    A row per left row. Both sides are sorted together and the last value is
+    carried along, so that a key's rows are never paired.
+    """
+    rows = _merged(left, right, key, left_id, at, then, F.struct(F.col(tie).alias("tie"), value.alias("value")))
+    w = Window.partitionBy("k").orderBy("t", "side", "found.tie").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn("last", F.last("found", ignorenulls=True).over(w)).filter("side = 1")
+    return seen.select(F.col("id").alias(left_id), F.when(F.col("t").isNotNull(), F.col("last.value")).alias(name))
 
 
 def first_within(left: DataFrame, right: DataFrame, key: str, left_id: str, at: str, then: str, seconds: int, tie: str) -> DataFrame:
-    """Forward as-of join: (left_id, delay, tie), the first right row after ``at`` and at most ``seconds`` later; nulls without one."""
-    gap = F.unix_micros(F.col(then).cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))
-    hit = left.join(right, key).withColumn("_gap", gap).filter((F.col("_gap") > 0) & (F.col("_gap") <= seconds * 1_000_000))
-    best = hit.groupBy(left_id).agg(F.min(F.struct("_gap", tie)).alias("_m"))
-    return left.select(left_id).join(best, left_id, "left").select(left_id, (F.col("_m._gap") / 1e6).alias("delay"), F.col(f"_m.{tie}").alias(tie))
+    """Forward as-of join: (left_id, delay, tie), the first right row after ``at`` and at most ``seconds`` later; nulls without one.
+
+    A row per left row. Both sides are sorted together, latest first, and the
+    last right row is carried along; of equally early ones the smallest ``tie`` counts.
+    """
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    rows = _merged(left, right, key, left_id, at, then, F.struct(F.col(then).alias("then"), F.col(tie).alias("tie")))
+    w = Window.partitionBy("k").orderBy(F.desc("t"), F.desc("side"), F.desc("found.tie")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn("last", F.last("found", ignorenulls=True).over(w)).filter("side = 1")
+    gap = micros(F.col("last.then")) - micros(F.col("t"))
+    hit = (gap > 0) & (gap <= seconds * 1_000_000)
+    return seen.select(F.col("id").alias(left_id), F.when(hit, gap / 1e6).alias("delay"), F.when(hit, F.col("last.tie")).alias(tie))

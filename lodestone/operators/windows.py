@@ -62,9 +62,10 @@ def turn_pairs(turns: DataFrame, key: str = "conv_id", order: str = "turn", role
     """Each user turn that begins a run, with the next assistant turn: (key, user_turn, assistant_turn, user_text, assistant_text). Other roles are passed over."""
     rows = turns.filter(F.col(role).isin("user", "assistant"))
     w = Window.partitionBy(key).orderBy(order)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
+    # Latest first, so that the next answer is carried along and not searched for.
+    after = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
     answer = F.when(F.col(role) == "assistant", F.struct(F.col(order).alias("t"), F.col(text).alias("x")))
-    rows = rows.withColumn("_first", (F.col(role) == "user") & (F.coalesce(F.lag(role).over(w), F.lit("")) != "user")).withColumn("_a", F.first(answer, ignorenulls=True).over(after))
+    rows = rows.withColumn("_first", (F.col(role) == "user") & (F.coalesce(F.lag(role).over(w), F.lit("")) != "user")).withColumn("_a", F.last(answer, ignorenulls=True).over(after))
     rows = rows.filter(F.col("_first") & F.col("_a").isNotNull())
     return rows.select(key, F.col(order).alias("user_turn"), F.col("_a.t").alias("assistant_turn"), F.col(text).alias("user_text"), F.col("_a.x").alias("assistant_text"))
 
