@@ -51,12 +51,17 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, z: s + z)
 
 
-def cosine_topk(vectors: DataFrame, query: list[float], k: int = 10, floor: float = -1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, score): the ``k`` vectors of largest cosine with ``query``, at least ``floor``; ties by id. Zero and null vectors score null and drop out."""
+def cosine_scores(vectors: DataFrame, query: list[float], floor: float = -1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, score): cosines with ``query``, at least ``floor``, in no order. Zero and null vectors score null and drop out."""
     q = F.array(*[F.lit(float(x)) for x in query])
     v = F.col(vector_col)
     score = dot(v, q) / (F.sqrt(dot(v, v)) * F.sqrt(dot(q, q)))
-    return vectors.select(id_col, score.alias("score")).filter(F.col("score") >= floor).orderBy(F.desc("score"), id_col).limit(k)
+    return vectors.select(id_col, score.alias("score")).filter(F.col("score") >= floor)
+
+
+def cosine_topk(vectors: DataFrame, query: list[float], k: int = 10, floor: float = -1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, score): the ``k`` vectors of largest cosine with ``query``, at least ``floor``; ties by id."""
+    return cosine_scores(vectors, query, floor, id_col, vector_col).orderBy(F.desc("score"), id_col).limit(k)
 
 
 def ranked(df: DataFrame, k: int, id_col: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import search
+from lodestone.operators.index import TermIndex
 from lodestone.plans.base import query
 from lodestone.session import table
 
@@ -25,30 +26,31 @@ j AS (SELECT coalesce(k.doc_id, m.doc_id) AS doc_id, k.s ks, k.rk kr, m.s ms, m.
 KIND = "CASE WHEN kr IS NULL THEN 'semantic' WHEN mr IS NULL THEN 'keyword' ELSE 'both' END AS match_type"
 
 
+def _index(spark, d):
+    return TermIndex.of(table(spark, d, "documents"), f"{d}/documents.parquet")
+
+
 def _keyword(spark, d):
-    return search.bm25_scores(table(spark, d, "documents"), "the and ion").withColumn("score", F.round("score", 9))
+    return _index(spark, d).bm25("the and ion").withColumn("score", F.round("score", 9))
 
 
 def _vector(spark, d):
     e = table(spark, d, "embeddings")
     first = e.orderBy("vec_id").select("embedding").first()[0]
-    return search.cosine_topk(e, first, 1 << 30).select(F.col("vec_id").alias("doc_id"), F.round("score", 9).alias("score"))
+    return search.cosine_scores(e, first).select(F.col("vec_id").alias("doc_id"), F.round("score", 9).alias("score"))
 
 
 @query(f"WITH {BM25} SELECT doc_id, round(s, 6) AS score FROM r ORDER BY round(s,6) DESC, doc_id LIMIT 20")
 def bm25_topk(spark, d):
     """[R1, T2, A19, M1-M3] Ranked keyword search."""
-    s = search.bm25_scores(table(spark, d, "documents"), "the and ion")
+    s = _index(spark, d).bm25("the and ion")
     return s.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query(f"WITH {BM25} SELECT doc_id, round(s, 6) AS score FROM r WHERE a > 0 AND b > 0")
 def bm25_all_terms(spark, d):
     """[R2, T1] Keyword search for documents that hold all terms; scores as in the any-term search."""
-    docs = table(spark, d, "documents")
-    w = tx.tokens(F.col("text"))
-    both = docs.filter(F.array_contains(w, "the") & F.array_contains(w, "and")).select("doc_id")
-    return search.bm25_scores(docs, "the and ion").join(both, "doc_id", "left_semi").select("doc_id", F.round("score", 6).alias("score"))
+    return _index(spark, d).bm25("the and ion", all_of=("the", "and")).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {COSINE} SELECT vec_id, round(s, 5) AS score FROM v WHERE s >= 2e-1 ORDER BY s DESC, vec_id LIMIT 10")
@@ -89,7 +91,7 @@ def hybrid_fallback(spark, d):
 SELECT doc_id, round(len(list_intersect(w, ['the','and','of']))::DOUBLE/len(w), 9) AS score FROM t WHERE len(w) > 0 AND len(list_intersect(w, ['the','and','of']))::DOUBLE/len(w) >= 2e-2""")
 def token_overlap(spark, d):
     """[R10] Share of a document's tokens that a query has."""
-    return search.token_overlap(table(spark, d, "documents"), "the and of", 0.02).select("doc_id", F.round("score", 9).alias("score"))
+    return _index(spark, d).overlap("the and of", 0.02).select("doc_id", F.round("score", 9).alias("score"))
 
 
 @query("""WITH q AS (SELECT DISTINCT p_name AS q FROM part UNION SELECT DISTINCT p_brand FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT * FROM (VALUES ('getUser'), ('HttpServer'), ('read_file'), ('MAX_SIZE'), ('how do I read a file'), ('find users'), ('one two three four')) t(q)),
