@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,25 +25,83 @@ def running_counts(events: DataFrame, *keys: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def merge_batches(target: str, key: str, order: str):
-    """For foreachBatch: keeps at ``target`` the latest row of each key, as of all batches; a batch that comes again changes nothing.
+class Merged:
+    """A table at ``target`` that holds the latest row of each key, kept by ``foreachBatch``.
 
-    Each batch writes a version of its own and only then names it the current one.
+    Keys are dealt into ``buckets`` by hash (one, unless told: then each batch
+    writes the whole table; large tables want about one per 100 MB). A batch reads and writes anew only
+    the buckets that it touches, into a folder of its own, and then puts a
+    manifest in place that names each bucket's folder: until then readers see
+    the table as of the batch before. A batch that comes again changes nothing.
+    Without a manifest the table is empty, which only batch ``first`` may find;
+    a folder that the manifest names and that is gone raises.
     """
 
-    def run(batch: DataFrame, number: int) -> None:
+    def __init__(self, target: str, key: str, order: str, buckets: int = 1, first: int = 0):
+        self.target, self.key, self.order, self.buckets, self.first = target.rstrip("/"), key, order, buckets, first
+
+    def _files(self, spark):
+        jvm = spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.target}/_manifest.json")
+        return jvm, path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def manifest(self, spark) -> dict | None:
+        jvm, path, fs = self._files(spark)
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _put(self, spark, manifest: dict) -> None:
+        """Writes a manifest beside the old one and renames it into its place."""
+        jvm, path, fs = self._files(spark)
+        new = jvm.org.apache.hadoop.fs.Path(f"{self.target}/_manifest-{manifest['batch']}.json")
+        out = fs.create(new, True)
+        out.write(json.dumps(manifest, sort_keys=True).encode())
+        out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(fs.makeQualified(new), fs.makeQualified(path), options)
+
+    def _read(self, spark, manifest: dict, buckets) -> DataFrame | None:
+        folders = [f"{self.target}/batch={manifest['buckets'][str(b)]}/_bucket={b}" for b in sorted(buckets) if str(b) in manifest["buckets"]]
+        return spark.read.parquet(*folders) if folders else None
+
+    def read(self, spark) -> DataFrame | None:
+        """The table as of the last batch that ended; None before any."""
+        manifest = self.manifest(spark)
+        return self._read(spark, manifest, range(self.buckets)) if manifest else None
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
         from lodestone.operators.windows import latest_wins
 
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{target}/batch={number - 1}")
-            batch = old.unionByName(batch)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        cut(latest_wins(batch, [key], F.desc(order))).write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    return run
+        manifest = self.manifest(spark)
+        if manifest is None:
+            if number > self.first:
+                raise ValueError(f"batch {number} finds no table at {self.target}; an empty one is only there at batch {self.first}")
+            manifest = {"batch": number - 1, "buckets": {}, "count": self.buckets}
+        if manifest["count"] != self.buckets:
+            raise ValueError(f"the table has {manifest['count']} buckets")
+        if number <= manifest["batch"]:
+            return
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        rows = cut(batch)
+        touched = [r[0] for r in rows.select(bucket.alias("b")).distinct().collect()]
+        old = self._read(spark, manifest, touched)
+        rows = rows if old is None else old.unionByName(rows)
+        if touched:
+            latest_wins(rows, [self.key], F.desc(self.order)).withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.target}/batch={number}")
+        self._put(spark, {"batch": number, "count": self.buckets, "buckets": {**manifest["buckets"], **{str(b): number for b in touched}}})
+
+
+def merge_batches(target: str, key: str, order: str, buckets: int = 1, first: int = 0) -> Merged:
+    """For foreachBatch: see :class:`Merged`."""
+    return Merged(target, key, order, buckets, first)
 
 
 def stateful_turns(turns: DataFrame, keep: int = 3) -> DataFrame:
