@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,20 +83,41 @@ def rationale(frequency: Column, confidence: Column) -> Column:
     )
 
 
-def mode_scores(prompt: Column) -> Column:
-    """Mode to score: 0.3 per indicator, up to 0.3 for scope and 0.2 for urgency, at most 1."""
+def context_share(mode_: str, files: Column, tools: Column) -> Column:
+    """What the files changed and tools used so far tell of a mode: 0.3 or nothing."""
+    used = lambda *names: reduce(lambda a, b: a | b, [F.array_contains(tools, n) for n in names])
+    speaks = {
+        "prototype": lambda: used("Write"),
+        "refactor": lambda: F.size(F.filter(tools, lambda t: t == "Edit")) > 3,
+        "production": lambda: F.exists(files, lambda f: f.contains("test")),
+        "audit": lambda: used("Read") & ~used("Edit", "Write"),
+        "exploration": lambda: used("Grep", "Glob"),
+    }
+    return F.when(speaks[mode_](), 0.3).otherwise(0.0) if mode_ in speaks else F.lit(0.0)
+
+
+def mode_scores(prompt: Column, files: Column | None = None, tools: Column | None = None) -> Column:
+    """Mode to score: 0.3 per indicator, up to 0.3 for scope, 0.2 for urgency and, where ``files`` changed and ``tools`` used are told, 0.2 for these; at most 1."""
     low = F.lower(prompt)
-    share = lambda words, each: F.least(F.lit(1.0), sum((low.contains(w).cast("double") * each for w in words), F.lit(0.0)))
+    share = lambda words, each, more=None: F.least(F.lit(1.0), sum((low.contains(w).cast("double") * each for w in words), F.lit(0.0) if more is None else more))
+    told = files is not None and tools is not None
+
+    def scoped(scopes):
+        few = [w for w in ("single file", "specific function") if w in scopes]
+        many = [w for w in ("multiple files", "system") if w in scopes]
+        more = F.when((F.size(files) == 1) & F.lit(bool(few)) | (F.size(files) > 5) & F.lit(bool(many)), 0.3).otherwise(0.0) if told else None
+        return share(scopes, 0.5, more)
+
     parts = []
     for mode, (own, scopes, times) in MODES.items():
         own_score = sum((low.contains(w).cast("double") * 0.3 for w in own), F.lit(0.0))
-        parts += [F.lit(mode), F.least(F.lit(1.0), own_score + 0.3 * share(scopes, 0.5) + 0.2 * share(times, 0.5))]
+        parts += [F.lit(mode), F.least(F.lit(1.0), own_score + 0.3 * scoped(scopes) + 0.2 * share(times, 0.5) + (0.2 * context_share(mode, files, tools) if told else F.lit(0.0)))]
     return F.create_map(*parts)
 
 
-def mode(prompt: Column) -> Column:
+def mode(prompt: Column, files: Column | None = None, tools: Column | None = None) -> Column:
     """The mode with the highest score; of equals the one that is defined first."""
-    scores = mode_scores(prompt)
+    scores = mode_scores(prompt, files, tools)
     order = F.array(*[F.struct((-scores[m]).alias("s"), F.lit(i).alias("i"), F.lit(m).alias("m")) for i, m in enumerate(MODES)])
     return F.array_min(order)["m"]
 

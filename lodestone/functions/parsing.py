@@ -6,8 +6,9 @@ import ast
 import hashlib
 import re
 
-#: Suffix to language.
+#: Suffix to language; of those in PLAIN only the file itself is a symbol.
 LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust", "md": "markdown"}
+PLAIN = {"rst": "rst", "txt": "text", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "ini": "ini", "sh": "shell", "bash": "shell"}
 #: Per language the definitions that one line shows: (kind, pattern with the name in group 1).
 PATTERNS = {
     "javascript": [("class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+(\w+)")],
@@ -26,9 +27,15 @@ SYMBOL = "name string, type string, start_line int, end_line int, signature stri
 
 
 def language(path: str) -> str | None:
+    """The language of a path's suffix; None for those without symbols."""
     return LANGUAGES.get(path.rpartition(".")[2].lower())
 
 
+def known(path: str) -> bool:
+    """Whether a path's suffix is one that an index holds."""
+    return path.rpartition(".")[2].lower() in LANGUAGES | PLAIN
+
+
 def symbols(path: str, text: str) -> list[tuple]:
     """(name, type, first line, last line, signature, parent) of a file: itself first, then what it defines."""
     lines = text.count("\n") + 1
@@ -79,7 +86,7 @@ def _by_line(kind: str, text: str) -> list[tuple]:
 
 
 def block(rows: list[str]) -> int:
-    """How many lines after the first the block that opens there closes; strings and comments hold no braces."""
+    """How many lines after the first the block that opens there closes; strings and comments hold no braces. A declaration ends with its semicolon."""
     depth, quote, comment = 0, "", False
     for n, row in enumerate(rows):
         i = 0
@@ -101,6 +108,8 @@ def block(rows: list[str]) -> int:
                 i += 1
             elif c in "\"'`":
                 quote = c
+            elif c == ";" and not depth:
+                return n
             elif c in "{}":
                 depth += 1 if c == "{" else -1
                 if depth <= 0 and c == "}":
@@ -142,12 +151,12 @@ def imports(path: str, text: str) -> list[tuple[str, list[str], int]]:
                 out.append((m[1], [], i))
         elif kind == "go" and (m := re.match(r'\s*(?:import\s+)?(?:\w+\s+)?"([^"]+)"\s*$', row)):
             out.append((m[1], [m[1].rpartition("/")[2]], i))
-        elif kind == "rust" and (m := re.match(r"\s*(?:pub\s+)?use\s+([\w:]+)(?:::\{([^}]*)\})?", row)):
+        elif kind == "rust" and (m := re.match(r"\s*(?:pub\s+)?use\s+(\w+(?:::\w+)*)(?:::\{([^}]*)\})?", row)):
             out.append((m[1], names(m[2]) if m[2] else [m[1].rpartition("::")[2]], i))
     return out
 
 
-_DEFINES = re.compile(r"^\s*(?:(?:def|class|func|fn|function|async def|import|from)\b|#|//)")
+_DEFINES = re.compile(r"^\s*(?:(?:(?:export|default|async|pub|public|static)\s+)*(?:def|class|func|fn|function)\b|(?:import|from)\b|#|//)")
 _KEYWORDS = {"if", "for", "while", "return", "elif", "switch", "catch", "and", "or", "not", "in", "with", "print", "lambda", "assert", "yield", "except"}
 
 
@@ -161,12 +170,12 @@ def calls(text: str) -> list[tuple[str | None, str, int]]:
 
 
 def types(path: str, text: str) -> list[tuple[str, str, str, int]]:
-    """(name, annotation, how, line): return and variable annotations, and what is made by calling a class."""
+    """(name, annotation, how, line): return and variable annotations, what is made by calling a class, and in Python what a function gives."""
     out = []
     kind = language(path)
     for i, row in enumerate(text.split("\n"), 1):
         if kind == "python":
-            rules = ((r"\s*(?:async\s+)?def\s+(\w+)\s*\(.*\)\s*->\s*([^:]+):", "return"), (r"\s*(\w+)\s*:\s*([\w\[\]., |]+?)\s*(?:=|$)", "annotation"), (r"\s*(\w+)\s*=\s*([A-Z]\w*)\s*\(", "instance"))
+            rules = ((r"\s*(?:async\s+)?def\s+(\w+)\s*\(.*\)\s*->\s*([^:]+):", "return"), (r"\s*(\w+)\s*:\s*([\w\[\]., |]+?)\s*(?:=|$)", "annotation"), (r"\s*(\w+)\s*=\s*([A-Z]\w*)\s*\(", "instance"), (r"\s*(\w+)\s*=\s*([a-z_]\w*)\s*\(", "call"))
         elif kind == "typescript":
             rules = ((r".*?\bfunction\s+(\w+)\s*\(.*\)\s*:\s*([^{]+?)\s*\{", "return"), (r"\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*:\s*([^=;]+?)\s*[=;]", "annotation"), (r"\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*new\s+(\w+)", "instance"))
         elif kind == "go":
@@ -254,3 +263,54 @@ def porter_like(word: str) -> str:
         if word.endswith(end) and len(word) - len(end) >= least and not word.endswith("ss"):
             return word[: -len(end)] + ("y" if end == "ies" else "")
     return word
+
+
+def blame(porcelain: str) -> list[tuple[int, str | None, str | None, str | None]]:
+    """(line, commit, author, seconds since 1970 as text) of ``git blame --porcelain``; a commit's head is only told once."""
+    out, about, commit, line = [], {}, None, 0
+    for row in porcelain.split("\n"):
+        if m := re.match(r"([0-9a-f]{7,40}) \d+ (\d+)", row):
+            commit, line = m[1], int(m[2])
+            about.setdefault(commit, {})
+        elif row.startswith("author "):
+            about[commit]["author"] = row[7:]
+        elif row.startswith("author-time "):
+            about[commit]["time"] = row[12:]
+        elif row.startswith("\t") and commit:
+            out.append((line, commit, about[commit].get("author"), about[commit].get("time")))
+    return out
+
+
+def name_status(text: str) -> list[tuple[str, str, str | None]]:
+    """(status letter, path, old path of renames) of ``git diff --name-status``."""
+    out = []
+    for row in text.split("\n"):
+        parts = row.split("\t")
+        if len(parts) >= 2 and parts[0][:1] in "AMDR" and parts[0]:
+            out.append((parts[0][0], parts[-1], parts[1] if parts[0][0] == "R" and len(parts) > 2 else None))
+    return out
+
+
+def script_skeleton(text: str, least: int = 3) -> str:
+    """A JavaScript or TypeScript text with the bodies of functions and methods of ``least`` lines or more as ``...``."""
+    rows, out, i = text.split("\n"), [], 0
+    opens = re.compile(r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\b|(?!(?:if|for|while|switch|catch|class)\b)\w+\s*\([^)]*\)\s*(?::\s*[^{]+)?\{\s*$)")
+    while i < len(rows):
+        out.append(rows[i])
+        if opens.match(rows[i]) and rows[i].rstrip().endswith("{"):
+            n = block(rows[i:])
+            if n - 1 >= least:
+                out.append(" " * (len(rows[i]) - len(rows[i].lstrip()) + 2) + "...")
+                i += n
+                continue
+        i += 1
+    return "\n".join(out)
+
+
+def summary(text: str, within: int = 20) -> str:
+    """The first comment line of a source text's first lines, else how long it is."""
+    rows = text.split("\n")
+    for row in rows[:within]:
+        if m := re.match(r"\s*(?:#+(?!!)|//+|/\*+|\"\"\")\s*(.*?\w.*?)\s*(?:\*/|\"\"\")?\s*$", row):
+            return m[1]
+    return f"Code file with {len(rows)} lines"

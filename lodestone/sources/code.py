@@ -6,7 +6,7 @@ import subprocess
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import parsing
@@ -17,14 +17,28 @@ MAX_BYTES = 1 << 20
 FACTS = ("symbols", "imports", "calls", "types", "bases")
 
 
-def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = tuple(parsing.LANGUAGES), max_bytes: int = MAX_BYTES, newer_than: str | None = None) -> DataFrame:
-    """(path, modified, size, text) of the source files below ``folder``; ``newer_than`` leaves out older ones before they are read."""
+def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = tuple(parsing.LANGUAGES), max_bytes: int | None = MAX_BYTES, newer_than: str | None = None) -> DataFrame:
+    """(path, modified, size, text) of the source files below ``folder``; ``newer_than`` leaves out older ones before they are read.
+
+    ``max_bytes`` leaves out larger files, which :func:`too_large` lists; with
+    None all are read.
+    """
+    files = _files(spark, folder, suffixes, newer_than)
+    files = files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
+    return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
+
+
+def too_large(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = tuple(parsing.LANGUAGES), max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, size) of the files that :func:`scan` leaves out at that bound."""
+    return _files(spark, folder, suffixes, None).filter(F.col("length") > max_bytes).select("path", F.col("length").alias("size"))
+
+
+def _files(spark: SparkSession, folder: str, suffixes: tuple[str, ...], newer_than: str | None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}")
     if newer_than:
         reader = reader.option("modifiedAfter", newer_than)
-    files = reader.load(folder).filter(F.col("length") <= max_bytes)
     skip = "/(?:" + "|".join(d.replace(".", "\\.") for d in IGNORED) + ")/"
-    return files.filter(~F.col("path").rlike(skip)).select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
+    return reader.load(folder).filter(~F.col("path").rlike(skip))
 
 
 def _rows(files: DataFrame, schema: str, make: Callable[[str, str], list[tuple]]) -> DataFrame:
@@ -43,13 +57,26 @@ def _rows(files: DataFrame, schema: str, make: Callable[[str, str], list[tuple]]
     return files.select("path", "text").mapInArrow(run, frame.schema)
 
 
-def symbols(files: DataFrame, per_file: int = 500) -> DataFrame:
-    """Symbols of files, at most ``per_file`` each, in the order of their lines."""
+#: Symbols a file and in all, from which share of these a warning is due.
+PER_FILE, IN_ALL, WARN = 500, 100_000, 0.8
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """All symbols of files; :func:`limited` bounds them where that is wanted."""
+    return _rows(files, parsing.SYMBOL, parsing.symbols)
 
-    def make(path, text):
-        return parsing.symbols(path, text)[:per_file]
 
-    return _rows(files, parsing.SYMBOL, make)
+def limited(found: DataFrame, per_file: int = PER_FILE) -> tuple[DataFrame, DataFrame]:
+    """(the first ``per_file`` symbols of each file by line and name, (path, total, dropped, warning) of the files near or over that)."""
+    w = Window.partitionBy("path").orderBy("start_line", "type", "name")
+    kept = found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= per_file).drop("_n")
+    return kept, over_limit(found, per_file)
+
+
+def over_limit(found: DataFrame, per_file: int = PER_FILE) -> DataFrame:
+    """(path, total, dropped, warning) of the files that have at least ``WARN`` of the symbols that a file may have."""
+    n = found.groupBy("path").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") >= WARN * per_file)
+    return n.select("path", "total", F.greatest(F.lit(0), F.col("total") - per_file).cast("long").alias("dropped"), F.when(F.col("total") > per_file, "truncated").otherwise("near the limit").alias("warning"))
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -80,6 +107,50 @@ def skeletons(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return _rows(files, "skeleton string, shape string", make)
 
 
+def script_skeletons(files: DataFrame) -> DataFrame:
+    """(path, skeleton, summary) of JavaScript and TypeScript files."""
+
+    def make(path, text):
+        return [(parsing.script_skeleton(text), parsing.summary(text))] if parsing.language(path) in ("javascript", "typescript") else []
+
+    return _rows(files, "skeleton string, summary string", make)
+
+
+def documented(files: DataFrame) -> DataFrame:
+    """(path, name, documented, hinted) of the functions of Python files that parse."""
+
+    def make(path, text):
+        return parsing.documented(text) if parsing.language(path) == "python" else []
+
+    return _rows(files, "name string, documented boolean, hinted boolean", make)
+
+
+def same_shape(df: DataFrame, before: str, after: str) -> DataFrame:
+    """``df`` with ``same``: whether two Python texts differ in comments, layout and docstrings at most; null where one does not parse."""
+
+    @F.arrow_udf("string")
+    def shape(text: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else parsing.shape(t) for t in text.to_pylist()], pa.string())
+
+    return df.withColumns({"_a": shape(before), "_b": shape(after)}).withColumn("same", F.col("_a") == F.col("_b")).drop("_a", "_b")
+
+
+def diffs(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, path, status, start, end, change) of a table of unified diffs: a row per hunk."""
+    return _rows(rows.select(F.col(id_col).cast("string").alias("path"), F.col(text_col).alias("text")), "file string, status string, start int, end int, change string", lambda _, text: parsing.diff_ranges(text)).withColumnsRenamed({"path": "id", "file": "path"})
+
+
+def blames(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line, commit, author, at) of a table of blame outputs."""
+    got = _rows(rows.select(F.col(id_col).cast("string").alias("path"), F.col(text_col).alias("text")), "line int, commit string, author string, seconds string", lambda _, text: parsing.blame(text))
+    return got.select(F.col("path").alias("id"), "line", "commit", "author", F.col("seconds").cast("long").alias("at"))
+
+
+def statuses(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, status, path, old) of a table of name-status outputs."""
+    return _rows(rows.select(F.col(id_col).cast("string").alias("path"), F.col(text_col).alias("text")), "status string, file string, old string", lambda _, text: parsing.name_status(text)).withColumnsRenamed({"path": "id", "file": "path"})
+
+
 def write_index(files: DataFrame, folder: str) -> None:
     """All fact tables of ``files`` as Parquet below ``folder``."""
     for name in FACTS:
@@ -104,6 +175,8 @@ def commits(spark: SparkSession, folder: str, most: int = 100, since: str | None
 
 def call_edges(calls_: DataFrame, symbols_: DataFrame) -> DataFrame:
     """(src, dst, path, line): each call within the innermost function that holds it."""
+    from lodestone.operators.intervals import containing
+
     inner = symbols_.filter(F.col("type").isin("function", "method")).select("path", F.col("name").alias("src"), "start_line", "end_line")
-    hit = calls_.join(inner, "path").filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    hit = containing(calls_, inner, "path", "line", "start_line", "end_line")
     return hit.groupBy("path", "line", F.col("callee").alias("dst")).agg(F.min_by("src", F.struct(F.col("end_line") - F.col("start_line"), "src")).alias("src"))
