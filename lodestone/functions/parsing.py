@@ -314,3 +314,24 @@ def summary(text: str, within: int = 20) -> str:
         if m := re.match(r"\s*(?:#+(?!!)|//+|/\*+|\"\"\")\s*(.*?\w.*?)\s*(?:\*/|\"\"\")?\s*$", row):
             return m[1]
     return f"Code file with {len(rows)} lines"
+
+
+def valid(path: str, text: str) -> bool | None:
+    """Whether a Python text parses, or the brackets of a script are balanced outside of strings and comments; None for other files."""
+    kind = language(path)
+    if kind == "python":
+        try:
+            ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError):
+            return False
+        return True
+    if kind not in ("javascript", "typescript"):
+        return None
+    plain = re.sub(r"//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`", "", text, flags=re.S)
+    open_, pairs = [], {")": "(", "]": "[", "}": "{"}
+    for c in plain:
+        if c in "([{":
+            open_.append(c)
+        elif c in pairs and (not open_ or open_.pop() != pairs[c]):
+            return False
+    return not open_

@@ -96,6 +96,12 @@ def line_range(text: Column, start: Column, end: Column, padding: int = 0) -> Co
     return F.array_join(F.slice(lines, first, F.greatest(F.lit(0), last - first + 1)), "\n")
 
 
+def fixed(text: Column) -> Column:
+    """A text without blanks and tabs at the ends of lines, with two blank lines in a row at most and one line end behind."""
+    plain = F.regexp_replace(text, "[ \t]+(\n|\\z)", "$1")
+    return F.concat(F.regexp_replace(F.regexp_replace(plain, "\n{4,}", "\n\n\n"), "\n+\\z", ""), F.lit("\n"))
+
+
 def base_type(annotation: Column) -> Column:
     """``Optional[X]`` gives X's base, ``List[X]`` gives List, a dotted name its last part; three levels deep."""
     out = F.trim(annotation)

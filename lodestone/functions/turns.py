@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import jaccard
 
 COMMANDS = ("don't", "dont", "never", "stop", "avoid", "not", "no", "always", "must", "should", "make sure", "ensure")
 STARTERS = ("don't", "dont", "never", "always", "stop", "keep", "make sure", "ensure", "avoid", "please don't", "please")
@@ -53,15 +52,22 @@ def classify(pairs: DataFrame, key: str = "conv_id", order: str = "user_turn", u
 
     In order: after an action of the assistant, over several turns, by
     repetition (two earlier texts of a similarity of over 0.5), by preference,
-    by command. A conversation's turns stay in one group of a window.
+    by command. Turns of a conversation are told by their order. Earlier texts
+    meet a turn by the words that so similar ones must share, so no turn holds
+    all that came before it.
     """
+    from lodestone.operators.relational import similar_pairs
+
     w = Window.partitionBy(key).orderBy(order)
     text, low = F.col(user), F.lower(F.col(user))
     words = F.array_distinct(F.split(F.trim(low), "\\s+"))
     strong = any_of(low, ("never", "always", "must", "should"))
     rows = pairs.withColumns({"_n": F.row_number().over(w), "_before": F.lag(assistant).over(w), "_no": low.contains("no") | low.contains("not"), "_w": words})
-    rows = rows.withColumn("_prev", F.collect_list("_w").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_nos", F.max("_no").over(w.rowsBetween(-2, 0)))
-    alike = F.size(F.filter("_prev", lambda p: jaccard(p, F.col("_w")) > 0.5))
+    rows = rows.withColumn("_nos", F.max("_no").over(w.rowsBetween(-2, 0)))
+    ids = pairs.select(F.struct(F.col(key).alias("k"), F.col(order).alias("o")).alias("_id"), F.col(key), words.alias("_w"))
+    earlier = similar_pairs(ids, "_id", F.col("_w"), 0.5, key).groupBy(F.col("b.k").alias(key), F.col("b.o").alias(order)).agg(F.count(F.lit(1)).alias("_alike"))
+    rows = rows.join(earlier, [key, order], "left")
+    alike = F.coalesce("_alike", F.lit(0))
     after = (F.col("_n") >= 2) & F.coalesce(took_action(F.col("_before")), F.lit(False)) & (any_of(low, CORRECTIONS) | (strong & is_command(text)))
     multi = (F.col("_n") >= 3) & any_of(low, ("yes", "correct", "right", "exactly")) & strong & F.col("_nos")
     direct = any_of(low, COMMANDS) & is_command(text)
@@ -69,4 +75,4 @@ def classify(pairs: DataFrame, key: str = "conv_id", order: str = "user_turn", u
     for hit, name, c in ((multi, "rule", 0.95), (alike >= 2, "style", 0.8), (is_preference(text), "preference", 0.85), (direct, "behavior", 0.9)):
         kind = kind.when(hit, F.struct(F.lit(name).alias("kind"), F.lit(c).alias("confidence")))
     rows = rows.withColumn("_k", kind)
-    return rows.withColumns({"kind": F.col("_k.kind"), "confidence": F.col("_k.confidence")}).drop("_n", "_before", "_no", "_w", "_prev", "_nos", "_k")
+    return rows.withColumns({"kind": F.col("_k.kind"), "confidence": F.col("_k.confidence")}).drop("_n", "_before", "_no", "_w", "_alike", "_nos", "_k")

@@ -109,3 +109,47 @@ def context(target: DataFrame, bases: DataFrame, imports: DataFrame, max_tokens:
     i = imports.groupBy("name").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("line", "code"))), lambda x: x["code"]), 1, 20), "\n").alias("imports"))
     rows = target.join(b, "name", "left").join(i, "name", "left").fillna("", ["bases", "imports"])
     return rows.select("name", cut(F.col("code"), 0.4).alias("code"), cut(F.col("bases"), 0.3).alias("bases"), cut(F.col("imports"), 0.3).alias("imports"))
+
+
+#: Rules and how much a violation of each weighs.
+SEVERITY = {"layer_separation": "high", "type_coverage": "medium", "docstring_coverage": "medium", "async_boundaries": "high", "import_restrictions": "high"}
+
+
+def architecture(files: DataFrame, functions: DataFrame, imports: DataFrame, forbidden: dict[str, tuple[str, ...]], layers: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """(path, rule, severity, what): functions (path, name, documented, hinted) without hints or docstrings, modules that the files below a folder may not import, modules of a layer that another may not use, and waiting calls in async functions.
+
+    ``forbidden``: folder to modules; ``layers``: (folder, module prefix) that do not go together.
+    """
+    put = lambda df, rule, what: df.select("path", F.lit(rule).alias("rule"), F.lit(SEVERITY[rule]).alias("severity"), what.alias("what"))
+    nowhere = F.lit(False)
+    banned = reduce(lambda a, b: a | b, [F.col("path").startswith(f) & F.col("module").isin(*m) for f, m in forbidden.items()], nowhere)
+    crossed = reduce(lambda a, b: a | b, [F.col("path").startswith(f) & F.col("module").startswith(m) for f, m in layers], nowhere)
+    # An async function's body: the lines below it that are indented further.
+    waits = F.regexp_extract_all("text", F.lit("(?m)^([ \t]*)async def (\\w+)[^\n]*(?:\n(?:\\1[ \t]+[^\n]*|[ \t]*))*?\n\\1[ \t]+[^\n]*\\b(?:time\\.sleep|requests\\.\\w+|open)\\("), F.lit(2))
+    parts = [
+        put(functions.filter("not hinted"), "type_coverage", F.col("name")),
+        put(functions.filter("not documented"), "docstring_coverage", F.col("name")),
+        put(imports.filter(banned), "import_restrictions", F.col("module")),
+        put(imports.filter(crossed), "layer_separation", F.col("module")),
+        put(files.withColumn("_w", F.explode(waits)), "async_boundaries", F.col("_w")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def severities(violations_: DataFrame, key: str) -> DataFrame:
+    """(key, status, summary): fail with a high or critical violation, warnings with any; the counts from the worst severity on."""
+    names = ("critical", "high", "medium", "low")
+    n = violations_.groupBy(key).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in names])
+    status = F.when((F.col("critical") > 0) | (F.col("high") > 0), "fail").when((F.col("medium") > 0) | (F.col("low") > 0), "warnings").otherwise("pass")
+    some = F.array_compact(F.array(*[F.when(F.col(s) > 0, F.concat(F.col(s).cast("string"), F.lit(f" {s}"))) for s in names]))
+    return n.select(key, status.alias("status"), F.array_join(some, ", ").alias("summary"))
+
+
+def examples(files: DataFrame, pattern: str, most: int) -> DataFrame:
+    """(path, line, snippet): of the first ``most`` files that have a line with the pattern the first such line, with the line before and three behind."""
+    lines = F.split("text", "\n")
+    hits = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(pattern), i + 1)), lambda i: i.isNotNull())
+    rows = files.filter(F.col("text").rlike(pattern)).select("path", lines.alias("_l"), hits[0].alias("line")).orderBy("path").limit(most)
+    first = F.greatest(F.lit(1), F.col("line") - 1)
+    around = F.array_join(F.slice("_l", first, F.col("line") + 3 - first + 1), "\n")
+    return rows.select("path", "line", F.regexp_replace(around, "^\\s+|\\s+$", "").alias("snippet"))

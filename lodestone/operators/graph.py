@@ -24,6 +24,25 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int, max_nodes: int | N
     return seen if max_nodes is None else seen.orderBy("depth", "node").limit(max_nodes)
 
 
+def import_edges(links: DataFrame) -> DataFrame:
+    """(src, dst): which file imports from which, by resolved imports (importer, name, path); distinct, none to itself."""
+    return links.filter("path is not null and path != importer").select(F.col("importer").alias("src"), F.col("path").alias("dst")).distinct()
+
+
+def caller_tree(edges: DataFrame, max_depth: int = 3) -> DataFrame:
+    """(root, name, depth): for every called node who calls it (1), who calls those (2) and so on; each name once a root and depth.
+
+    ``edges`` (src, dst): src calls dst. Circles end at the depth.
+    """
+    step = cut(edges.select("src", "dst").distinct())
+    out = level = step.select(F.col("dst").alias("root"), F.col("src").alias("name"), F.lit(1).alias("depth"))
+    for depth in range(2, max_depth + 1):
+        nxt = level.join(step.select(F.col("dst").alias("name"), F.col("src").alias("up")), "name").select("root", F.col("up").alias("name")).distinct()
+        level = cut(nxt.withColumn("depth", F.lit(depth)))
+        out = out.unionByName(level)
+    return out
+
+
 def descendants(edges: DataFrame, max_depth: int) -> DataFrame:
     """(root, node, depth) for every node with children: all below it, at the least depth."""
     step = cut(edges.select(F.col("src").alias("root"), F.col("dst").alias("node")).distinct())

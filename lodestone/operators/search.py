@@ -41,6 +41,19 @@ def bm25_scores(docs: DataFrame, query: str, k1: float = 1.5, b: float = 0.75, i
     return counted.filter(hit).crossJoin(F.broadcast(stats)).select(F.col("_id").alias(id_col), score.alias("score"))
 
 
+def bm25_terms(rows: DataFrame, terms: list[str], id_col: str, terms_col: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(id, score): BM25 of rows that hold arrays of terms (stems, grams), where they hold one of ``terms``; a null array holds none."""
+    words = sorted(set(terms))
+    counted = rows.select(id_col, F.coalesce(F.size(terms_col), F.lit(0)).cast("double").alias("_dl"), *[F.coalesce(_times(terms_col, w), F.lit(0.0)).alias(f"_tf{i}") for i, w in enumerate(words)])
+    stats = counted.agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_dl").alias("_avg"), *[F.sum((F.col(f"_tf{i}") > 0).cast("double")).alias(f"_df{i}") for i in range(len(words))])
+    score = F.lit(0.0)
+    for i in range(len(words)):
+        tf, df = F.col(f"_tf{i}"), F.col(f"_df{i}")
+        score = score + F.ln((F.col("_n") - df + 0.5) / (df + 0.5) + 1.0) * tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * F.col("_dl") / F.col("_avg")))
+    hit = sum((F.col(f"_tf{i}") for i in range(len(words))), F.lit(0.0)) > 0
+    return counted.filter(hit).crossJoin(F.broadcast(stats)).select(id_col, score.alias("score"))  # one row of statistics
+
+
 def _times(col: str, word: str) -> Column:
     """How often ``word`` is in an array column."""
     return F.size(F.filter(col, lambda x: x == word)).cast("double")
@@ -144,7 +157,7 @@ def kind_of_query(q: str) -> str:
 
 
 def token_overlap(docs: DataFrame, query: str, floor: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): the share of a document's distinct tokens that the query has, where it is at least ``floor``."""
+    """(id, score): the share of a document's distinct tokens that the query has, where it is at least ``floor``; texts without tokens have none."""
     q = F.array(*[F.lit(w) for w in sorted({w.lower() for w in re.findall("[A-Za-z0-9_]+", query)})])
     t = F.array_distinct(tokens(F.col(text_col)))
-    return docs.select(id_col, (F.size(F.array_intersect(t, q)) / F.size(t)).alias("score")).filter(F.col("score") >= floor)
+    return docs.select(id_col, F.try_divide(F.size(F.array_intersect(t, q)), F.size(t)).alias("score")).filter(F.col("score") >= floor)

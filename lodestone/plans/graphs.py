@@ -65,7 +65,7 @@ def cycle_severity(spark, d):
 @query("SELECT r_name, string_agg(n_name, ',' ORDER BY n_name) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def hierarchy_lists(spark, d):
     """[G11, A21, Q50] Children of each parent as a list."""
-    n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return gr.children(n, "r_name", F.col("n_name")).select("r_name", F.array_join("children", ",").alias("nations"))
 
 

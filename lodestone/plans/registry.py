@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import code, conversations, facts, graphs, joins, memory, scores, searches, tables, telemetry  # noqa: F401
+from lodestone.plans import changes, checks, code, conversations, facts, graphs, joins, memory, scores, searches, sources, tables, telemetry  # noqa: F401
 from lodestone.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -125,6 +125,16 @@ def documented(files: DataFrame) -> DataFrame:
     return _rows(files, "name string, documented boolean, hinted boolean", make)
 
 
+def valid(files: DataFrame) -> DataFrame:
+    """(path, valid) of the files whose syntax can be told."""
+
+    def make(path, text):
+        ok = parsing.valid(path, text)
+        return [] if ok is None else [(ok,)]
+
+    return _rows(files, "valid boolean", make)
+
+
 def same_shape(df: DataFrame, before: str, after: str) -> DataFrame:
     """``df`` with ``same``: whether two Python texts differ in comments, layout and docstrings at most; null where one does not parse."""
 
