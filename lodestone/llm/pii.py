@@ -297,7 +297,9 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(doc_id, base, spans): ``base`` the base spans by kind and start, ``spans`` all, with kind, start and end in code points.
 
     Null texts are empty. Characters U+0001 and U+0002 count as any other
-    control character. Repeated rows give a row each.
+    control character. Repeated rows give a row each; texts are taken whole, in
+    time that grows with them; other columns play no part. Without a proposed
+    span in any text there is nothing to learn, and none is added.
     """
     found = cut(candidates(texts(df, id_col, text_col)).select("doc_id", "base", "spans"))
     return decide(found, learn(found))

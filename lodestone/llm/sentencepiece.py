@@ -373,7 +373,8 @@ def encode(df: DataFrame, model: Broadcast, id_col: str = "doc_id", text_col: st
 
     Null text: null ids. Empty text: no ids. A literal U+2581 is taken for a
     space. Between equal paths the one with the longer last piece wins. Rows
-    keep their number and repeat as they repeat.
+    keep their number and repeat as they repeat; texts are taken whole, those
+    without white space in windows; other columns play no part.
     """
 
     def run(batches):

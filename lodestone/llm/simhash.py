@@ -29,6 +29,8 @@ ERRORS, SHINGLE, SEED = 4, 4, 42
 BLOCK = 21
 #: Node pairs expanded at a time, and leaf pairs below which two nodes are compared leaf by leaf.
 CHUNK, LEAVES = 200_000, 256
+#: Rows beyond which a slot is dealt on, and by how many bits.
+FULL, DEEPER = 2_000_000, 5
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -50,15 +52,19 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long, mark long) of every row; null and empty texts have 0, repeated rows repeat. ``mark`` is a hash of the text."""
+    """(doc_id, fp long, mark long, mark2 long) of every row; null and empty texts have 0, repeated rows repeat. The marks are two hashes of the text, which together tell it by 128 bits."""
 
     def run(batches):
         for b in slices(batches):
             got = np.array([fingerprint(x, shingle) for x in b.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64)), b.column(2)], ["doc_id", "fp", "mark"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64)), b.column(2), b.column(3)], ["doc_id", "fp", "mark", "mark2"])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
-    return texts(df, id_col, text_col, F.xxhash64(text_col).alias("mark")).mapInArrow(run, f"doc_id {kind}, fp long, mark long")
+    return texts(df, id_col, text_col, *_marks(text_col)).mapInArrow(run, f"doc_id {kind}, fp long, mark long, mark2 long")
+
+
+def _marks(text_col: str) -> list[F.Column]:
+    return [F.xxhash64(text_col).alias("mark"), F.xxhash64(F.lit(1), text_col).alias("mark2")]
 
 
 class _Sets:
@@ -182,7 +188,29 @@ def links(fps: DataFrame, distinct: int, errors: int = ERRORS) -> DataFrame:
     rows = F.explode(F.array(*[F.struct(F.lit(i << prefix).alias("of"), v.alias("value")) for i, v in enumerate(turned)]))
     dealt = fps.select(rows.alias("r")).select("r.*").withColumn("lead", F.shiftrightunsigned("value", 64 - prefix).bitwiseAND(low).cast("int"))
     flips = F.filter(F.transform(F.array(*[F.lit(1 << i) for i in range(prefix)]), lambda m: F.when(F.col("lead").bitwiseAND(m) != 0, F.col("lead") - m)), lambda x: x.isNotNull())
-    dealt = dealt.select("value", F.explode(F.concat(F.array(F.col("lead")), flips)).alias("to"), "of").select((F.col("of") + F.col("to")).alias("slot"), "value")
+    dealt = dealt.select("value", F.explode(F.concat(F.array(F.col("lead")), flips)).alias("to"), "of").select((F.col("of") + F.col("to")).cast("long").alias("slot"), "value")
+    found = None
+    while True:
+        # What one slot holds goes to one task: those that are full are dealt on by their next bits.
+        full = cut(dealt.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FULL).select("slot")) if prefix + DEEPER <= BLOCK else None
+        deeper = full is not None and not full.isEmpty()
+        part = dealt.join(full, "slot", "left_anti") if deeper else dealt
+        part = _linked(part, prefix, errors)
+        found = part if found is None else found.unionByName(part)
+        if not deeper:
+            return found
+        low = (1 << DEEPER) - 1
+        own = F.shiftrightunsigned("value", 64 - prefix - DEEPER).bitwiseAND(low).cast("int")
+        home = F.shiftrightunsigned("value", 64 - prefix).bitwiseAND((1 << prefix) - 1) == F.col("slot").bitwiseAND((1 << prefix) - 1)
+        rows = dealt.join(full, "slot", "left_semi").withColumns({"own": own, "home": home})
+        # A guest has spent its error before these bits; one at home may spend it on one of them.
+        cleared = F.filter(F.transform(F.array(*[F.lit(1 << i) for i in range(DEEPER)]), lambda m: F.when(F.col("home") & (F.col("own").bitwiseAND(m) != 0), F.col("own") - m)), lambda x: x.isNotNull())
+        dealt = rows.select("value", F.explode(F.concat(F.array("own"), cleared)).alias("to"), "slot").select((F.shiftleft(F.col("slot").cast("long"), DEEPER) + F.col("to")).alias("slot"), "value")
+        prefix += DEEPER
+
+
+def _linked(dealt: DataFrame, prefix: int, errors: int) -> DataFrame:
+    """(fp, to) of rows (slot, value), whose slots are a turn and ``prefix`` bits."""
 
     def run(batches):
         slot, value = [], []
@@ -224,31 +252,33 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = ERRORS) -> DataFrame:
-    """(doc_id, fp long, root long, component_id, mark long): ``component_id`` is the smallest doc_id that links reach.
+    """(doc_id, fp long, root long, component_id, mark long, mark2 long): ``component_id`` is the smallest doc_id that links reach.
 
     ``root`` names the component by a fingerprint, also where ids are null.
     Texts without words have fingerprint 0 and are linked like any other.
-    Repeated rows give a row each.
+    Repeated rows give a row each; texts are taken whole; other columns play no
+    part. A component of null ids alone has a null ``component_id``.
     """
     docs = cut(fingerprints(df, id_col, text_col))
     fps = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(fps.select("fp"), fps.count(), errors).select(F.col("fp").alias("a"), F.col("to").alias("b")))
     rooted = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return docs.join(rooted.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "fp", "root", "component_id", "mark")
+    return docs.join(rooted.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "fp", "root", "component_id", "mark", "mark2")
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = ERRORS) -> DataFrame:
     """The rows of ``df`` of which each component keeps one: that with the smallest id (null ids only where there is no other), of equal ids that with the least hash of its text."""
     got = classes(df, id_col, text_col, errors)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark"))
-    keep = got.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias(id_col), F.col("k.mark").alias("_mark"))
-    rows = df.withColumn("_mark", F.xxhash64(text_col))
-    named = rows.filter(F.col(id_col).isNotNull()).join(keep.filter(F.col(id_col).isNotNull()), [id_col, "_mark"], "left_semi").dropDuplicates([id_col, "_mark"])
+    marks = ["_mark", "_mark2"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "mark2"))
+    keep = got.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias(id_col), F.col("k.mark").alias("_mark"), F.col("k.mark2").alias("_mark2"))
+    rows = df.withColumns(dict(zip(marks, _marks(text_col), strict=True)))
+    named = rows.filter(F.col(id_col).isNotNull()).join(keep.filter(F.col(id_col).isNotNull()), [id_col, *marks], "left_semi").dropDuplicates([id_col, *marks])
     if _has_nulls(df, id_col):
-        unnamed = rows.filter(F.col(id_col).isNull()).join(keep.filter(F.col(id_col).isNull()).select("_mark"), "_mark", "left_semi").dropDuplicates(["_mark"])
+        unnamed = rows.filter(F.col(id_col).isNull()).join(keep.filter(F.col(id_col).isNull()).select(*marks), marks, "left_semi").dropDuplicates(marks)
         named = named.unionByName(unnamed)
-    return named.drop("_mark")
+    return named.drop(*marks)
 
 
 def _has_nulls(df: DataFrame, col: str) -> bool:

@@ -99,3 +99,27 @@ def test_one_row_of_each_component(spark):
     kept = sh.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 5, 5]
     assert {r.text for r in kept} - {words[0], near[0]} == set(words[1:])
+
+
+def test_full_slots(spark):
+    """Slots that are dealt on by more bits link as the others do, also where most values share their leading bits."""
+    rng = np.random.default_rng(7)
+    values = [int(x) for x in rng.integers(0, 2**40, 250)] + [int(x) for x in rng.integers(0, 2**63, 100)]
+    for _ in range(8):
+        c = int(rng.integers(0, 2**44))
+        values += [c ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False)) for _ in range(40)]
+    values = sorted(set(values))
+    df = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in values], "fp long")
+    root, full = brute_classes(values), sh.FULL
+    try:
+        for sh.FULL in (10, 100):
+            got = sh.components(sh.links(df, len(values)).selectExpr("fp a", "to b")).collect()
+            ours = {}
+            for r in got:
+                ours.setdefault(r.root % 2**64, {r.root % 2**64}).add(r.node % 2**64)
+            parts = {}
+            for v, r in root.items():
+                parts.setdefault(r, set()).add(v)
+            assert sorted(map(sorted, ours.values())) == sorted(sorted(p) for p in parts.values() if len(p) > 1)
+    finally:
+        sh.FULL = full
