@@ -216,7 +216,8 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.StructArray.from_arrays([pa.array([g[i] for g in got], k.type) for i, k in enumerate(kinds)], fields=list(kinds))
 
     rows = texts(df, id_col, text_col, *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)))
-    got = rows.withColumn("_judged", judged("text"))
+    # A filter on a verdict would otherwise be planned below, with a second judgement of its own.
+    got = rows.withColumn("_judged", judged.asNondeterministic()("text"))
     return got.select("doc_id", "_judged.*", *(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)))
 
 
