@@ -111,3 +111,41 @@ def op3_mixing(spark, d):
 def op6_pii(spark, d):
     """Personal data in every document."""
     return pii.digest(table(spark, d, "documents"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS i FROM d GROUP BY 1),
+w AS (SELECT *, 2e0 * size AS cap, list_extract([3e0, 1e0, 2e0], ((i - 1) % 3 + 1)::INTEGER)::DOUBLE AS weight FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, i) AS n FROM w),
+l AS (SELECT *, ((SELECT 15e-1 * sum(size) FROM w) - coalesce(sum(cap) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0)) / sum(weight) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM o),
+f AS (SELECT arg_min(share, n) FILTER (share * weight <= cap) AS share FROM l)
+SELECT doc_id, d.size, l.size AS source_size, round(least(cap, coalesce(f.share, 1e300) * weight), 6) AS target FROM d JOIN l ON d.source IS NOT DISTINCT FROM l.source, f""")
+def mixing_targets(spark, d):
+    """Of op3: every document's words, its source's, and what the mix is to take of that."""
+    got = mixing.counts(table(spark, d, "documents"))
+    return got.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) t(rh, rp, rv)),
+m AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(rv, length(rh || rp)) AS verdict FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1)
+SELECT h.page_id, host, path, rule, verdict FROM h LEFT JOIN m USING (page_id)""")
+def url_rules(spark, d):
+    """Of op4: every page's host and path and the verdict of the explicit rules; null where the mined ones decide."""
+    got = url_filter.judge(table(spark, d, "pages"), coverage=url_filter.COVERAGE)
+    return got.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+@query("""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+c AS (SELECT rid, regexp_replace(unnest(regexp_extract_all(t, '[0-9](?:[\\x20-]?[0-9])+')), '[^0-9]', '', 'g') AS n FROM d),
+k AS (SELECT rid, count(*) AS cards FROM c WHERE length(n) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(n) + 1), lambda i: CASE WHEN (length(n) - i) % 2 = 0 THEN substr(n, i, 1)::INT ELSE (2 * substr(n, i, 1)::INT) // 10 + (2 * substr(n, i, 1)::INT) % 10 END)) % 10 = 0 GROUP BY 1)
+SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+'))::BIGINT AS n_email,
+len(list_filter(regexp_extract_all(t, '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+'), lambda x: list_max(list_transform(string_split(x, '.'), lambda y: y::HUGEINT)) <= 255))::BIGINT AS n_ip, coalesce(cards, 0)::BIGINT AS n_card,
+len(list_filter(regexp_extract_all(t, '\\+[0-9][\\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 8 AND 15))::BIGINT AS n_phone FROM d LEFT JOIN k USING (rid)""")
+def pii_counts(spark, d):
+    """Of op6: every document's spans of the base forms, by kind."""
+    return pii.digest(table(spark, d, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
