@@ -124,7 +124,7 @@ def _tested(spark, d):
 
 @query(f"WITH {PY} SELECT path, 'make' || k AS name, 'tests/test_m' || k || '.py::test_make' || k AS test FROM p WHERE k % 3 = 0")
 def affected_tests(spark, d):
-    """[Q1, J29, C2] The tests that speak of a function."""
+    """[Q1, J29] The tests that speak of a function."""
     files, symbols, asked = _tested(spark, d)
     return im.affected_tests(asked, im.test_functions(files, symbols), 10)
 
@@ -142,7 +142,7 @@ SELECT path, 'make' || k AS name, callers::BIGINT AS callers, tests::BIGINT AS t
 array_to_string(list_filter([CASE WHEN callers > 0 THEN 'a new signature breaks ' || callers || ' callers' END, CASE WHEN coverage < 5e-1 AND callers > 0 THEN 'only 0% covered' END], lambda x: x IS NOT NULL), '; ') AS breaking,
 CASE WHEN risk = 'high' THEN 'deprecate before changing the signature; add tests first; cover more' WHEN tests > 0 THEN 'update the tests' ELSE 'safe to modify' END AS advice FROM r""")
 def impact_report(spark, d):
-    """[C1, Q3, Q4, Q6, M11] What changing a function would break, and what to do first."""
+    """[C1, Q3, Q4] What changing a function would break, and what to do first."""
     files, symbols, asked = _tested(spark, d)
     found = rs.callers(code.calls(files), symbols).select(F.col("callee").alias("name"), "path", "caller").distinct()
     direct = found.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
@@ -178,7 +178,7 @@ def project_stack(spark, d):
 
 @query(f"""WITH {PY} SELECT path, unnest(['step' || j, 'make' || p, 'C' || p, 'C' || k, 'getcwd', 'run']) AS callee, unnest([1, 2, 1, 1, 1, 1])::BIGINT AS calls FROM p""")
 def own_calls(spark, d):
-    """[F15, Q24, A22] Calls of each file by name, those of the languages' own left out."""
+    """Calls of each file by name, those of the languages' own left out."""
     calls = code.calls(pj.python_files(spark, d)).filter(~ru.is_builtin(F.col("callee")))
     return calls.groupBy("path", "callee").agg(F.count(F.lit(1)).alias("calls"))
 

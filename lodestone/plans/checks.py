@@ -82,6 +82,6 @@ def style_fixes(spark, d):
 
 @query(f"WITH {PY}, {LINKS} SELECT i.importer, count(*)::BIGINT AS names, count(i.path)::BIGINT AS resolved, count(DISTINCT i.path)::BIGINT AS files FROM i GROUP BY 1")
 def import_report(spark, d):
-    """[A3, C9] How many names a file imports, how many of them are found, and in how many files."""
+    """[A3] How many names a file imports, how many of them are found, and in how many files."""
     _, symbols, imports, _, _ = _facts(spark, d)
     return _links(imports, symbols).groupBy("importer").agg(F.count(F.lit(1)).alias("names"), F.count("path").alias("resolved"), F.count_distinct("path").alias("files"))

@@ -34,7 +34,7 @@ def dependency_class(spark, d):
 @query(f"""WITH {PATHS}, s AS (SELECT page_id, p, string_split(p, '/')[2] AS lang, CASE WHEN p LIKE 'www.%' THEN 100 ELSE 0 END + greatest(0, 50 - len(string_split(p, '/'))) + CASE WHEN lower(regexp_extract(p, '([^/]*?)(?:\\.[^./]*)?$', 1)) = 'example' THEN 30 ELSE 0 END + CASE WHEN regexp_matches(p, '(?:^|/)(?:src|lib|pkg|internal)/') THEN 20 ELSE 0 END AS score FROM f)
 SELECT DISTINCT ON (lang) lang, page_id, score FROM s ORDER BY lang, score DESC, page_id""")
 def homonym_ranking(spark, d):
-    """[T9, Q55] The likeliest of the files that have a name."""
+    """[T9] The likeliest of the files that have a name."""
     s = _paths(spark, d).withColumn("lang", F.split("p", "/")[1]).withColumn("score", ph.homonym_score(F.col("p"), F.lit("example"), F.lit("www.")))
     best = s.groupBy("lang").agg(F.max_by(F.struct("page_id", "score"), F.struct("score", -F.col("page_id"))).alias("b"))
     return best.select("lang", "b.page_id", "b.score")
@@ -81,7 +81,7 @@ def hydration(spark, d):
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS r, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), w AS (SELECT doc_id, n, r, concat_ws(chr(10), lag(r) OVER o, r, lead(r) OVER o) AS snippet FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY n)),
 h AS (SELECT doc_id, 'long' AS rule, n, snippet FROM w WHERE regexp_matches(r, '^.{400}') UNION ALL SELECT doc_id, 'mark', n, snippet FROM w WHERE regexp_matches(r, '[#%]')) SELECT doc_id, rule, n::INT AS line, snippet FROM h ORDER BY doc_id, n, rule LIMIT 30""")
 def pattern_violations(spark, d):
-    """[C3, Q8, Q9, P4-P6, P13] Lines that break a rule, with the lines around; a report of the first thirty."""
+    """[C3, Q8, P4-P6, P13] Lines that break a rule, with the lines around; a report of the first thirty."""
     return ci.violations(table(spark, d, "documents"), {"long": "^.{400}", "mark": "[#%]"}, "doc_id", "text", 30)
 
 
@@ -89,7 +89,7 @@ def pattern_violations(spark, d):
 CASE WHEN CASE WHEN regexp_matches(html, '(?i)\\bselect\\b.+\\bfrom\\b|\\binsert into\\b') THEN 4e-1 ELSE 0 END + CASE WHEN regexp_matches(html, '(?i)cursor|session|connection') THEN 3e-1 ELSE 0 END > 4e-1 THEN 'database' END, CASE WHEN CASE WHEN regexp_matches(html, '\\bopen\\(|Path\\(') THEN 4e-1 ELSE 0 END + CASE WHEN regexp_matches(html, '\\.(?:read|write)\\(') THEN 2e-1 ELSE 0 END > 3e-1 THEN 'files' END,
 CASE WHEN regexp_matches(html, '\\basync\\b|\\bawait\\b') THEN 'async' END, CASE WHEN regexp_matches(html, '(?i)\\blog(?:ger|ging)?\\.') THEN 'logging' END, CASE WHEN regexp_matches(html, '(?i)valid|assert\\b|isinstance\\(') THEN 'validation' END], lambda x: x IS NOT NULL), ',') AS behaviors FROM pages""")
 def behavior_search(spark, d):
-    """[C7, C8, Q19] What sources do, by patterns."""
+    """[C7, C8] What sources do, by patterns."""
     return table(spark, d, "pages").select("page_id", F.array_join(ci.behaviors(F.col("html")), ",").alias("behaviors"))
 
 
@@ -106,6 +106,6 @@ def tfidf_similarity(spark, d):
 
 @query("SELECT lang, count(*)::BIGINT AS files, count(*) FILTER (regexp_matches(text, '(?i)license'))::BIGINT AS licensed, CASE WHEN count(*) FILTER (regexp_matches(text, '(?i)token')) * 100 > count(*) THEN 'service' ELSE 'library' END AS kind FROM documents GROUP BY 1")
 def project_summary(spark, d):
-    """[C9, Q16-Q18, A30, L14, Q31] Languages, and what their texts mention."""
+    """[C9, Q18, A30, L14, Q31] Languages, and what their texts mention."""
     t = F.col("text")
     return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.count_if(t.rlike("(?i)license")).alias("licensed"), F.when(F.count_if(t.rlike("(?i)token")) * 100 > F.count(F.lit(1)), "service").otherwise("library").alias("kind"))

@@ -114,7 +114,7 @@ def base_facts(spark, d):
 
 @query(f"""WITH {PY} SELECT path, CASE WHEN b THEN txt ELSE array_to_string(list_concat(ln[1:11], ['        ...'], ln[15:16], ['        ...'], ln[21:23], ['    ...']), chr(10)) END AS skeleton FROM p""")
 def python_skeletons(spark, d):
-    """[P21, Q63, S5] Python files with bodies of three lines or more left out; those that do not parse as they are."""
+    """[P21, Q63] Python files with bodies of three lines or more left out; those that do not parse as they are."""
     return code.skeletons(pj.python_files(spark, d)).select("path", "skeleton")
 
 
@@ -142,7 +142,7 @@ def documentation(spark, d):
 
 @query(f"""WITH {PY} SELECT path, CASE WHEN NOT b THEN k % 3 <> 0 END AS same FROM p""")
 def same_shape(spark, d):
-    """[C12, P28, Q26] Whether a file means the same after comments and docstrings changed; null where it does not parse."""
+    """[C12] Whether a file means the same after comments and docstrings changed; null where it does not parse."""
     files = pj.python_files(spark, d).withColumn("after", F.concat(F.replace("text", F.lit('"""Runs."""'), F.lit('"""Runs it."""')), F.lit("\n# end")))
     k = F.regexp_extract("path", "m(\\d+)\\.py$", 1).cast("long")
     files = files.withColumn("after", F.when(k % 3 == 0, F.replace("after", F.lit("total += i"), F.lit("total -= i"))).otherwise(F.col("after")))

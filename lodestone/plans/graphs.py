@@ -57,7 +57,7 @@ c AS (SELECT list_transform(path, lambda x: CASE WHEN x % 8 = 0 THEN 'core' || x
 s AS (SELECT CASE WHEN len(path) <= 3 THEN CASE WHEN len(list_filter(path, lambda x: x LIKE '%core%')) > 0 THEN 'high' ELSE 'medium' END WHEN len(list_filter(path, lambda x: x LIKE '%core%')) > 0 THEN 'critical' ELSE 'high' END AS severity FROM c)
 SELECT severity, count(*)::BIGINT AS n FROM s GROUP BY 1""")
 def cycle_severity(spark, d):
-    """[M15, T8, Q11] Cycles by severity."""
+    """[M15, T8] Cycles by severity."""
     c = gr.cycles(_ring(spark, d), 4).select(F.transform("path", lambda x: F.when(x % 8 == 0, F.concat(F.lit("core"), x)).otherwise(F.concat(F.lit("m"), x))).alias("path"))
     return c.groupBy(sc.cycle_severity(F.col("path")).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -74,7 +74,7 @@ u AS (SELECT o.s, one, coalesce(two, 0) AS two, (o.s % 10) / 1e1 AS cov FROM o L
 r AS (SELECT s, one, two, cov, CASE WHEN use = 0 THEN 'low' WHEN use < 5 THEN CASE WHEN cov >= 7e-1 THEN 'low' WHEN cov >= 4e-1 THEN 'medium' ELSE 'high' END WHEN use < 15 THEN CASE WHEN cov >= 8e-1 THEN 'medium' WHEN cov >= 5e-1 THEN 'high' ELSE 'critical' END ELSE CASE WHEN cov >= 8e-1 THEN 'high' ELSE 'critical' END END AS risk FROM k)
 SELECT s AS suppkey, one::BIGINT AS direct, two::BIGINT AS transitive, risk, risk = 'low' OR (risk = 'medium' AND cov >= 7e-1) OR (risk = 'high' AND cov >= 9e-1) AS safe FROM r""")
 def impact_risk(spark, d):
-    """[C1, M10, G5, Q1-Q4] Direct and indirect use, and the risk of a change."""
+    """[C1, M10, G5, Q2] Direct and indirect use, and the risk of a change."""
     e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
     two = e.join(e.select(F.col("s").alias("t"), "p"), "p").groupBy("s").agg((F.count_distinct("t") - 1).alias("two"))
     u = e.groupBy("s").agg(F.count(F.lit(1)).alias("one")).join(two, "s", "left").withColumn("two", F.coalesce("two", F.lit(0))).withColumn("cov", (F.col("s") % 10) / 10.0)

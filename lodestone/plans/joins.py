@@ -149,7 +149,7 @@ def pairwise_contradiction(spark, d):
 @query("""WITH a AS (SELECT l_orderkey k, 0 AS s, l_suppkey AS v FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT l_orderkey k, 1 AS s, l_suppkey AS v FROM lineitem WHERE l_returnflag = 'A'), c AS (SELECT o_orderkey k, 2 AS s, -1 AS v FROM orders)
 SELECT DISTINCT ON (k) k, s AS strategy, v FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) ORDER BY k, s, v""")
 def priority_resolution(spark, d):
-    """[J16-J23, Q49, Q57-Q61] The answer of the first strategy that has one."""
+    """[J19] The answer of the first strategy that has one."""
     li = table(spark, d, "lineitem")
     part = lambda f: li.filter(f"l_returnflag = '{f}'").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("v"))
     rest = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(-1).cast("long").alias("v"))

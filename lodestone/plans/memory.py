@@ -170,7 +170,7 @@ SEEN = [
 
 @query(f"""WITH {expected([r[2:] for r in SEEN], "kind, confidence, keep_on, leave, praise")} SELECT * FROM x""")
 def observations(spark, d):
-    """[X29, X30, Q29, Q30, A26] What a response says of what was done: kind, how sure, and what to go on doing or not."""
+    """[X29, X30, Q29, Q30] What a response says of what was done: kind, how sure, and what to go on doing or not."""
     rows = parts(spark, d, a=[r[0] for r in SEEN], r=[r[1] for r in SEEN])
     a, r = F.col("a"), F.col("r")
     return rows.select("k", ru.observation_type(r).alias("kind"), ru.observation_confidence(r).alias("confidence"), ru.learned_rule(a).alias("keep_on"), ru.anti_pattern(a).alias("leave"), ru.praised(a, r).alias("praise"))
@@ -273,7 +273,7 @@ def _store(spark, d):
 
 @query(f"WITH {STORE} SELECT id, CASE WHEN id % 3 = 0 THEN 'quick note ' || id ELSE content END AS content, CASE WHEN id % 3 = 0 THEN 'prototype,hotfix,exploration' ELSE 'production,refactor' END AS modes FROM m UNION ALL SELECT -id - 1, 'new ' || id, 'prototype,production,hotfix,refactor' FROM m WHERE id % 10 = 0")
 def memory_store(spark, d):
-    """[S20, S14, Q39, S22] Memories with new ones stored over them, and the modes that they hold for."""
+    """[S20, S22] Memories with new ones stored over them, and the modes that they hold for."""
     old = _store(spark, d).withColumn("created", F.lit(1)).drop("age")
     again = old.filter("id % 3 = 0").withColumn("content", F.concat(F.lit("quick note "), F.col("id").cast("string"))).withColumn("created", F.lit(2))
     fresh = old.filter("id % 10 = 0").withColumn("content", F.concat(F.lit("new "), F.col("id").cast("string"))).withColumn("id", -F.col("id") - 1)
@@ -303,7 +303,7 @@ def memory_retrieval(spark, d):
 
 @query(f"""WITH {STORE}, {RELEVANT} SELECT string_agg(CASE category WHEN 'preference' THEN 'pref' ELSE category END || ':' || content || CASE scope WHEN 'language:python' THEN '[python]' WHEN 'project:p' THEN '[p]' ELSE '' END, chr(10) ORDER BY CASE category WHEN 'preference' THEN 1 WHEN 'rule' THEN 2 WHEN 'decision' THEN 3 ELSE 4 END, relevance DESC, id) AS block, sum(tokens)::BIGINT AS tokens FROM b WHERE used <= 300""")
 def memory_injection(spark, d):
-    """[R14, R15, X34, S31] The lines that a session begins with."""
+    """[R14, R15, X34] The lines that a session begins with."""
     return ss.injected(_retrieved(spark, d))
 
 
@@ -351,7 +351,7 @@ def memory_anchors(spark, d):
 
 @query("""WITH u AS (SELECT user_id, max(ts) AS last, count(*)::BIGINT AS turns, user_id % 3 AS m FROM events GROUP BY ALL) SELECT user_id AS session, CASE WHEN m = 0 THEN 'closed' WHEN last < TIMESTAMP '2024-01-30' - INTERVAL 7 DAY THEN 'archived' ELSE 'active' END AS status, turns + 5 AS turns FROM u""")
 def session_upkeep(spark, d):
-    """[X-6, Q42, L19] Sessions brought up to date with their turns, idle ones archived."""
+    """[X-6, Q42] Sessions brought up to date with their turns, idle ones archived."""
     e = table(spark, d, "events")
     old = e.select(F.col("user_id").alias("session")).distinct().select("session", F.lit(5).cast("long").alias("turns"), F.expr("timestamp_ntz'2023-01-01'").alias("last"))
     now = ss.synced(old, e.select(F.col("user_id").alias("session"), F.col("ts").alias("at")))
@@ -370,7 +370,7 @@ def access_counts(spark, d):
 @query("""WITH t AS (SELECT user_id, count(*) FILTER (event_type = 'view')::BIGINT AS reads, count(*) FILTER (event_type = 'click')::BIGINT AS snippets, count(*)::BIGINT AS sessions, count(*) FILTER (value > 50)::BIGINT AS mem, count(*) FILTER (event_type = 'signup')::BIGINT AS outlines FROM events GROUP BY 1)
 SELECT user_id, array_to_string(list_filter([CASE WHEN reads > 0 AND snippets < 5e-1 * reads THEN (reads - snippets) || ' symbol reads could be snippets' END, CASE WHEN sessions > 0 AND mem < 5e-1 * sessions THEN (sessions - mem) || ' sessions had no memory' END, CASE WHEN outlines = 0 AND reads > 5 THEN 'read the outline before symbols' END], lambda x: x IS NOT NULL), '; ') AS suggestions FROM t""")
 def usage_suggestions(spark, d):
-    """[Q46, A14, A18] What usage could do better."""
+    """[Q46] What usage could do better."""
     kind = lambda t: F.count_if(F.col("event_type") == t)
     t = table(spark, d, "events").groupBy("user_id").agg(kind("view").alias("reads"), kind("click").alias("snippets"), F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("value") > 50).alias("with_memory"), kind("signup").alias("outlines"))
     return ss.suggestions(t).select("user_id", F.array_join("suggestions", "; ").alias("suggestions"))

@@ -24,7 +24,7 @@ def stability_score(spark, d):
 
 @query("SELECT p_partkey, CASE WHEN p_size <= 10 AND p_partkey % 200 <= 50 THEN 'low' WHEN p_size <= 20 AND p_partkey % 200 <= 150 THEN 'medium' ELSE 'high' END AS complexity, greatest(0, least(100, 20 * (p_size % 8)) - 10 * (p_partkey % 6))::BIGINT AS coverage, round(least((p_size % 3) / 2e0, 4e-1) + 3e-1 * (1e0 - (p_partkey % 11) / 1e1), 9) AS risk, round(6e-1 * (p_size / 5e1) + 2e-1 * (p_partkey % 2) + 2e-1 * (p_partkey % 3), 9) AS quality FROM part")
 def part_scores(spark, d):
-    """[M9, M11, M12, M20, Q6, Q22, Q23] Levels and scores of code measures."""
+    """[M9, M11, M12, M20, Q6, Q23] Levels and scores of code measures."""
     s, k = F.col("p_size"), F.col("p_partkey")
     return table(spark, d, "part").select(
         "p_partkey",
@@ -39,7 +39,7 @@ def part_scores(spark, d):
 f AS (SELECT doc_id, conf, CASE WHEN scope = 'universal' THEN 1e0 WHEN scope = 'language:en' THEN 8e-1 WHEN scope LIKE 'language:%' THEN 0e0 WHEN scope = 'project:src0' THEN 1e0 WHEN scope LIKE 'project:%' THEN 0e0 ELSE 5e-1 END AS f, CASE WHEN days < 7 THEN 1e0 WHEN days < 30 THEN 8e-1 WHEN days < 90 THEN 6e-1 WHEN days < 180 THEN 4e-1 ELSE 2e-1 END AS r FROM m)
 SELECT doc_id, round(f * r * conf, 9) AS relevance, CASE WHEN conf >= 9e-1 THEN 'auto' WHEN conf < 5e-1 THEN 'skip' ELSE 'review' END AS approval FROM f WHERE f * r * conf > 0""")
 def memory_relevance(spark, d):
-    """[M5, R13-R15, L8, T5, Q33, F8] Relevance of memories by scope, age and confidence."""
+    """[M5, R13, L8, T5, Q33, F8] Relevance of memories by scope, age and confidence."""
     k = F.col("doc_id")
     scope = F.when(k % 4 == 0, "universal").when(k % 4 == 1, F.concat(F.lit("language:"), "lang")).when(k % 4 == 2, F.concat(F.lit("project:"), "source")).otherwise("else")
     m = table(spark, d, "documents").select("doc_id", sc.memory_relevance(scope, "en", "src0", sc.recency_step(k % 200), (k % 11) / 10.0).alias("relevance"), sc.approval((k % 11) / 10.0).alias("approval"))
@@ -58,7 +58,7 @@ def conflict_severity(spark, d):
 @query("""SELECT p_partkey, CASE WHEN p_size > 50 OR (c AND p_size > 20) THEN 'critical' WHEN p_size > 20 OR c THEN 'high' WHEN p_size > 5 THEN 'medium' ELSE 'low' END AS branch, CASE WHEN c THEN least(1e0, b + 1e-1) WHEN p_size % 2 = 0 THEN greatest(3e-1, b - 2e-1) ELSE b END AS divergence
 FROM (SELECT *, p_name LIKE '%ring%' AS c, CASE p_type WHEN 'ECONOMY' THEN 9e-1 WHEN 'SMALL' THEN 7e-1 ELSE 5e-1 END AS b FROM part)""")
 def change_risk(spark, d):
-    """[M16, M17, C10, L11] Risk of a branch, confidence of a divergence."""
+    """[M16, M17, L11] Risk of a branch, confidence of a divergence."""
     c = F.col("p_name").contains("ring")
     size = F.when(F.col("p_type") == "ECONOMY", "major").when(F.col("p_type") == "SMALL", "moderate").otherwise("minor")
     return table(spark, d, "part").select("p_partkey", sc.branch_risk(F.col("p_size"), c).alias("branch"), sc.divergence_confidence(size, c, F.col("p_size") % 2 == 0).alias("divergence"))
@@ -66,7 +66,7 @@ def change_risk(spark, d):
 
 @query("SELECT source, round(greatest(0e0, 1e0 - sum(CASE quality WHEN 0 THEN 1 ELSE 0 END + toxic * 2) / (2e0 * count(*))), 2) AS conformance, round(avg(quality::DOUBLE), 2) AS consistency FROM labels JOIN documents USING (doc_id) GROUP BY 1")
 def conformance(spark, d):
-    """[A35, A36, C3, C4, Q7, Q10] Conformance of sources to rules."""
+    """[A35, A36, C3, Q7, Q10] Conformance of sources to rules."""
     x = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
     weight = F.when(F.col("quality") == 0, 1).otherwise(0) + F.col("toxic") * 2
     return x.groupBy("source").agg(sc.conformance(F.sum(weight), F.count(F.lit(1))).alias("conformance"), F.round(F.avg(F.col("quality").cast("double")), 2).alias("consistency"))

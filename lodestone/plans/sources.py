@@ -72,7 +72,7 @@ def _written(files, folder: str):
     """Each row's text as a file of its path below ``folder``."""
 
     def run(batches):
-        store, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, base = fs.FileSystem.from_uri(folder)
         for b in batches:
             for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 at = f"{base}/{path}"
@@ -87,7 +87,7 @@ def _written(files, folder: str):
 @query("""WITH n AS (SELECT n_nationkey::BIGINT + 1 AS k FROM nation) SELECT 'docs/n' || k || '.md' AS path, unnest(['Title ' || k, 'Part ' || k, 'n' || k]) AS name, unnest(['section', 'section', 'file']) AS type FROM n
 UNION ALL SELECT 'core/r' || k || '.rs', unnest(['r' || k, 'P' || k, 'K' || k, 'T' || k, 'go', 'P' || k, 'go']), unnest(['file', 'struct', 'enum', 'trait', 'function', 'impl', 'function']) FROM n""")
 def scanned_tree(spark, d):
-    """[S1-S3, S5, S8, S11, S15] A source tree on disk: scanned, folders that are never read left out, its facts written as an index and read again."""
+    """[S1-S3, S5, S15] A source tree on disk: scanned, folders that are never read left out, its facts written as an index and read again."""
     root = _folder(spark, "tree")
     files = pj.note_files(spark, d).union(pj.compiled_files(spark, d).filter("path like 'core/%'"))
     _written(files.union(files.select(F.concat(F.lit("node_modules/"), "path"), "text")), root)
@@ -107,7 +107,7 @@ t AS (SELECT *, list_transform(regexp_extract_all(content, '[A-Za-z0-9_]+'), lam
 c AS (SELECT *, len(w)::DOUBLE AS dl, len(list_filter(w, lambda x: x = 'error'))::DOUBLE AS a, len(list_filter(w, lambda x: x = 'test'))::DOUBLE AS b FROM s), g AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS av, sum((a > 0)::INT)::DOUBLE AS da, sum((b > 0)::INT)::DOUBLE AS db FROM c)
 SELECT id, round(ln((n-da+5e-1)/(da+5e-1)+1e0)*a*25e-1/(a+15e-1*(25e-2+75e-2*dl/av)) + ln((n-db+5e-1)/(db+5e-1)+1e0)*b*25e-1/(b+15e-1*(25e-2+75e-2*dl/av)), 6) AS score FROM c, g WHERE a + b > 0 AND confidence >= 5e-1""")
 def memory_search(spark, d):
-    """[R12, R2, J1, J2, F8] Memories by the stems of a query's words, with a filter on how sure they are."""
+    """[R12, J2, F8] Memories by the stems of a query's words, with a filter on how sure they are."""
     k = F.col("c_custkey").cast("long")
     m = table(spark, d, "customer").select(k.alias("id"), F.replace(pick(NOTES, k), F.lit("#"), k.cast("string")).alias("content"), ((k % 10) / 10.0).alias("confidence"))
     stems = m.select("id", F.transform(tx.tokens(F.col("content")), tx.stem).alias("terms"))

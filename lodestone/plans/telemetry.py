@@ -50,14 +50,14 @@ def idle_sessions(spark, d):
 
 @query("WITH x AS (SELECT event_type, user_id, count(*) c FROM events GROUP BY ALL) SELECT event_type, arg_max(user_id, (c, -user_id)) AS top_user, max(c)::BIGINT AS n FROM x GROUP BY 1")
 def most_frequent(spark, d):
-    """[A12, A23, A29, X32] The most frequent value of each group; ties to the smaller."""
+    """[A12, A23, A29] The most frequent value of each group; ties to the smaller."""
     c = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("c"))
     return c.groupBy("event_type").agg(F.max_by("user_id", F.struct("c", -F.col("user_id"))).alias("top_user"), F.max("c").alias("n"))
 
 
 @query("SELECT user_id, max(ts) AS last_ts, count(DISTINCT ts::DATE)::BIGINT AS days, arg_max(event_type, (ts, event_id)) AS last_type FROM events WHERE ts >= TIMESTAMP '2024-01-24' GROUP BY 1")
 def churn_stats(spark, d):
-    """[A20, B5, P25, Q21, Q22] Last edit, days of edits, by whom."""
+    """[A20, B5, Q21] Last edit, days of edits, by whom."""
     e = table(spark, d, "events").filter("ts >= timestamp_ntz'2024-01-24'")
     return e.groupBy("user_id").agg(F.max("ts").alias("last_ts"), F.count_distinct(F.to_date("ts")).alias("days"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
 
