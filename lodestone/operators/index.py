@@ -29,7 +29,9 @@ def query_terms(query: str) -> list[tuple[str, int]]:
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, id, times, words, terms): how often a document has a term, how many words and how many different ones it has. Ids are unique; null ids and texts without a term have none."""
     toks = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    rows = toks.select("id", F.size("t").alias("words"), F.size(F.array_distinct("t")).alias("terms"), F.explode("t").alias("term"))
+    # Counted before the terms become rows, not again for each of them.
+    sized = toks.select("id", "t", F.size("t").alias("words"), F.size(F.array_distinct("t")).alias("terms"))
+    rows = sized.select("id", "words", "terms", F.explode("t").alias("term"))
     return rows.groupBy("term", "id", "words", "terms").agg(F.count(F.lit(1)).alias("times"))
 
 
