@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, langid, mixing, negatives, pii, repetition, sentencepiece, simhash, toxicity, url_filter, warc
+from lodestone.llm import ann, langid, mixing, negatives, pii, repetition, sentencepiece, simhash, spelling, toxicity, url_filter, warc
 from lodestone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,27 @@ def op12_hard_negatives(spark, d):
     return negatives.mine(negatives.rows(table(spark, d, "embeddings"), label=label), F.col("vec_id") % 50 == 0)
 
 
+@query("""
+WITH RECURSIVE tbl AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{7,}')) AS w FROM documents),
+c AS (SELECT w, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM r GROUP BY doc_id, w),
+h AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(x), 2), lambda i: ((strpos('0123456789ABCDEF', substr(x, i, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(x, i + 1, 1)) - 1)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) AS h FROM c, tbl),
+d AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM d WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+k AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+e AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM k),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM e a JOIN e b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+  UNION SELECT e.word, v.word, v.n FROM e JOIN v ON e.s = v.word UNION SELECT v.word, e.word, e.n FROM e JOIN v ON e.s = v.word),
+b AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n FROM p GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n FROM v LEFT JOIN b USING (word)),
+g AS (SELECT word, coalesce(form, word) AS root, form IS NOT NULL AS more FROM f UNION ALL SELECT g.word, f.form, true FROM g JOIN f ON g.root = f.word WHERE g.more AND f.form IS NOT NULL),
+z AS (SELECT g.word, g.root FROM g JOIN f ON g.root = f.word WHERE f.form IS NULL)
+SELECT f.word, form, z.root, n, n_near, form_n FROM f JOIN z USING (word)""")
+def op13_spelling(spark, d):
+    """Spelling variants of every word of all documents, and the form that each leads to."""
+    return spelling.variants(spelling.words(table(spark, d, "documents")))
+
+
 @query("""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS i FROM d GROUP BY 1),

@@ -55,7 +55,7 @@ def test_many_passes_and_one_label_equal_one_pass(spark):
 
 
 def test_numbers_beyond_doubles_stay_exact(spark):
-    rows = [(0, [float(2**22), 1.0], 1), (1, [float(2**22), 2.0], 1), (2, [float(2**21), 1.0], 2), (3, [float(2**21), 2.0], 2), (4, [float(2**21), 2.0], 2)]
+    rows = [(0, [float(2**22), 1.0], 0), (1, [float(2**22), 2.0], 1), (2, [float(2**21), 1.0], 2), (3, [float(2**21), 2.0], 2), (4, [float(2**21), 2.0], 2)]
     assert run(spark, rows) == brute(rows) != []
 
 
