@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, langid, mixing, negatives, pii, repetition, sentencepiece, simhash, spelling, toxicity, url_filter, warc
+from lodestone.llm import ann, langid, mixing, negatives, packing, pii, repetition, sentencepiece, simhash, spelling, toxicity, url_filter, warc
 from lodestone.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,14 @@ def op6_pii(spark, d):
     return pii.digest(table(spark, d, "documents"))
 
 
+@query()
+def op11_best_fit_packing(spark, d):
+    """Every document's pieces and their places in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.packed(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("""
 WITH r AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
 FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
