@@ -24,6 +24,19 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int, max_nodes: int | N
     return seen if max_nodes is None else seen.orderBy("depth", "node").limit(max_nodes)
 
 
+def two_hops(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, n): of distinct edges (a, b), how many distinct a there are, itself included, that share a b with each a.
+
+    The a of a b are bits of words of 64, so that a b of many a makes a 64th of
+    the rows that pairs would; words of an a are or-ed before they are dealt out.
+    ``a`` is a whole number.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col(a), F.lit(64)).cast("int"))
+    words = edges.groupBy(b, F.floor(F.col(a) / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    met = edges.select(a, b).join(words, b).groupBy(a, "_word").agg(F.bit_or("_bits").alias("_bits"))
+    return met.groupBy(a).agg(F.sum(F.bit_count("_bits")).alias("n"))
+
+
 def import_edges(links: DataFrame) -> DataFrame:
     """(src, dst): which file imports from which, by resolved imports (importer, name, path); distinct, none to itself."""
     return links.filter("path is not null and path != importer").select(F.col("importer").alias("src"), F.col("path").alias("dst")).distinct()

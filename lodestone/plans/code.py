@@ -40,7 +40,7 @@ def homonym_ranking(spark, d):
     return best.select("lang", "b.page_id", "b.score")
 
 
-@query("""WITH r AS (SELECT s_suppkey AS k, s_suppkey * 3 AS s, s_suppkey * 3 + 40 AS e FROM supplier), l AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS line, l_returnflag = 'N' AS x FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'A'),
+@query("""WITH r AS (SELECT s_suppkey AS k, s_suppkey * 3 AS s, s_suppkey * 3 + 40 AS e FROM supplier), l AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS line, l_returnflag = 'N' AS x FROM lineitem WHERE l_returnflag <> 'A'),
 g AS (SELECT r.k, count(line) FILTER (x) AS c, count(line) AS t FROM r LEFT JOIN l ON r.k = l.k AND line BETWEEN s AND e GROUP BY 1)
 SELECT k AS s_suppkey, c::BIGINT AS covered, t::BIGINT AS total, CASE WHEN t > 0 THEN round(1e2 * c / t, 2) ELSE 1e2 END AS percent FROM g""")
 def coverage_overlay(spark, d):
@@ -51,7 +51,7 @@ def coverage_overlay(spark, d):
     return ci.coverage(r, lines, "s_suppkey", "s_suppkey")
 
 
-@query("""WITH s AS (SELECT p_partkey AS k, p_brand AS home, (p_size % 10) / 1e1 AS st FROM part), r AS (SELECT l_partkey AS k, 'Brand#' || (l_suppkey % 25 + 1) AS file FROM lineitem WHERE l_orderkey % 20 = 0), o AS (SELECT s.k, count(*) AS n FROM s JOIN r USING (k) WHERE file <> home GROUP BY 1)
+@query("""WITH s AS (SELECT p_partkey AS k, p_brand AS home, (p_size % 10) / 1e1 AS st FROM part), r AS (SELECT l_partkey AS k, 'Brand#' || (l_suppkey % 25 + 1) AS file FROM lineitem), o AS (SELECT s.k, count(*) AS n FROM s JOIN r USING (k) WHERE file <> home GROUP BY 1)
 SELECT s.k AS p_partkey, coalesce(n, 0)::BIGINT AS outside, CASE WHEN coalesce(n, 0) = 0 THEN 'allow' WHEN st >= 75e-2 THEN 'block' ELSE 'warn' END AS verdict FROM s LEFT JOIN o USING (k)""")
 def symbol_guard(spark, d):
     """[C17, J33] May a symbol be changed, by who else uses it."""
@@ -60,7 +60,7 @@ def symbol_guard(spark, d):
     return ci.guard(s, r, "p_partkey", "home", "st")
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey s, l_partkey p, l_returnflag f FROM lineitem WHERE l_orderkey % 40 = 0), u AS (SELECT s, p AS target, 'caller' AS reason, 1e0 AS c FROM e WHERE f = 'R' UNION ALL SELECT s, p, 'test', 95e-2 FROM e WHERE f = 'N' UNION ALL SELECT s, p, 'weak', 4e-1 FROM e WHERE f = 'A'),
+@query("""WITH e AS (SELECT DISTINCT l_suppkey s, l_partkey p, l_returnflag f FROM lineitem), u AS (SELECT s, p AS target, 'caller' AS reason, 1e0 AS c FROM e WHERE f = 'R' UNION ALL SELECT s, p, 'test', 95e-2 FROM e WHERE f = 'N' UNION ALL SELECT s, p, 'weak', 4e-1 FROM e WHERE f = 'A'),
 b AS (SELECT *, row_number() OVER (PARTITION BY s, target ORDER BY c DESC, reason) r FROM u WHERE c >= 5e-1), t AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY c DESC, target) n FROM b WHERE r = 1) SELECT s AS suppkey, target, reason, c AS confidence FROM t WHERE n <= 5""")
 def related_changes(spark, d):
     """[C15, W17, Q51] What else a change is likely to touch."""
@@ -93,7 +93,7 @@ def behavior_search(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(ci.behaviors(F.col("html")), ",").alias("behaviors"))
 
 
-@query("""WITH u AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM conversations WHERE role = 'user' AND conv_id < 40), t AS (SELECT conv_id, turn, w AS t, count(*) n FROM (SELECT conv_id, turn, unnest(w) AS w FROM u) GROUP BY ALL), f AS (SELECT conv_id, t, count(*) df FROM t GROUP BY ALL), d AS (SELECT conv_id, count(DISTINCT turn) docs FROM u GROUP BY 1),
+@query("""WITH u AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM conversations WHERE role = 'user'), t AS (SELECT conv_id, turn, w AS t, count(*) n FROM (SELECT conv_id, turn, unnest(w) AS w FROM u) GROUP BY ALL), f AS (SELECT conv_id, t, count(*) df FROM t GROUP BY ALL), d AS (SELECT conv_id, count(DISTINCT turn) docs FROM u GROUP BY 1),
 v AS (SELECT conv_id, turn, t, (1e0 + ln(n)) * (ln((1e0 + docs) / (1e0 + df)) + 1e0) AS x FROM t JOIN f USING (conv_id, t) JOIN d USING (conv_id)), m AS (SELECT conv_id, turn, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL), z AS (SELECT conv_id, turn, t, x / norm AS x FROM v JOIN m USING (conv_id, turn))
 SELECT a.conv_id, a.turn AS a, b.turn AS b, round(sum(a.x * b.x), 6) AS cosine FROM z a JOIN z b ON a.conv_id = b.conv_id AND a.t = b.t AND a.turn < b.turn GROUP BY ALL""")
 def tfidf_similarity(spark, d):

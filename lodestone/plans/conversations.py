@@ -8,6 +8,7 @@ from lodestone.functions import text as tx
 from lodestone.functions import turns as tn
 from lodestone.operators import windows as win
 from lodestone.plans.base import query
+from lodestone.plans.probes import pick, quoted
 from lodestone.session import table
 
 PAIRS = """r AS (SELECT * FROM conversations WHERE role IN ('user','assistant')), f AS (SELECT *, role = 'user' AND coalesce(lag(role) OVER w, '') <> 'user' AS first, first_value(CASE WHEN role = 'assistant' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
@@ -20,28 +21,58 @@ def turn_pairs(spark, d):
     return win.turn_pairs(table(spark, d, "conversations")).select("conv_id", "user_turn", "assistant_turn")
 
 
-#: The SQL's probes, which stand for the turns' texts; the query classifies the texts themselves.
-PROBE = "CASE user_turn % 5 WHEN 0 THEN 'Always add tests' WHEN 1 THEN 'I prefer short names' WHEN 2 THEN 'what is this?' WHEN 3 THEN 'please keep it short' ELSE 'yes, you should never do that, correct' END"
+def _any(text: str, parts: tuple[str, ...], how: str = "contains") -> str:
+    return "(" + " OR ".join(f"{how}({text}, {quoted(p)})" for p in parts) + ")"
 
 
-@query(f"""WITH {PAIRS}, u AS (SELECT conv_id, user_turn, {PROBE} AS t, CASE WHEN conv_id % 2 = 0 THEN 'Created a file' ELSE 'done' END AS a FROM p),
-l AS (SELECT *, lower(t) AS lo, list_distinct(regexp_split_to_array(lower(t), '\\s+')) AS ws, row_number() OVER w AS n, lag(a) OVER w AS before, list(list_distinct(regexp_split_to_array(lower(t), '\\s+'))) OVER (PARTITION BY conv_id ORDER BY user_turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev, max(lower(t) LIKE '%no%') OVER (PARTITION BY conv_id ORDER BY user_turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS nos FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY user_turn)),
-s AS (SELECT *, lo LIKE '%never%' OR lo LIKE '%always%' OR lo LIKE '%must%' OR lo LIKE '%should%' AS strong, NOT lo LIKE '%?' AND NOT regexp_matches(lo, '^(what|why|how|when|where|who|which|can|could|would|should i)') AND (regexp_matches(lo, '^(don''t|dont|never|always|stop|keep|make sure|ensure|avoid|please)') OR (len(regexp_split_to_array(lo, '\\s+')) <= 8 AND len(list_intersect(ws, ['never','always','must'])) > 0)) AS cmd, coalesce(len(list_filter(prev, lambda x: len(list_intersect(x, ws))::DOUBLE / len(list_distinct(list_concat(x, ws))) > 5e-1)), 0) AS alike FROM l),
-k AS (SELECT conv_id, user_turn, CASE WHEN lo LIKE '%?%' THEN NULL WHEN n >= 2 AND before LIKE '%Created%' AND (regexp_matches(lo, 'actually|instead|rather|wrong|incorrect|too|should be') OR (strong AND cmd)) THEN 1e0 WHEN n >= 3 AND regexp_matches(lo, 'yes|correct|right|exactly') AND strong AND nos THEN 95e-2 WHEN alike >= 2 THEN 8e-1 WHEN regexp_matches(lo, 'i prefer|i like|i want') THEN 85e-2 WHEN regexp_matches(lo, 'don''t|dont|never|stop|avoid|not|no|always|must|should|make sure|ensure') AND cmd THEN 9e-1 END AS confidence FROM s)
-SELECT conv_id, user_turn, CASE WHEN confidence IN (1e0, 95e-2) THEN 'rule' WHEN confidence = 8e-1 THEN 'style' WHEN confidence = 85e-2 THEN 'preference' WHEN confidence = 9e-1 THEN 'behavior' END AS kind, confidence FROM k""")
+def _classified(turns: str) -> str:
+    """SQL for the kinds of corrections in the pairs of the table ``turns``: every rule on every pair."""
+    strong = ("never", "always", "must", "should")
+    return f"""{PAIRS.replace("conversations", turns)},
+l AS (SELECT *, lower(user_text) AS lo, trim(lower(user_text)) AS tl, list_distinct(regexp_split_to_array(trim(lower(user_text)), '\\s+')) AS ws, row_number() OVER w AS n, lag(assistant_text) OVER w AS before, max(contains(lower(user_text), 'no')) OVER (PARTITION BY conv_id ORDER BY user_turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS nos FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY user_turn)),
+a AS (SELECT y.conv_id, y.user_turn, count(*) AS alike FROM l x JOIN l y ON x.conv_id = y.conv_id AND x.user_turn < y.user_turn WHERE len(list_intersect(x.ws, y.ws))::DOUBLE / len(list_distinct(list_concat(x.ws, y.ws))) > 5e-1 GROUP BY ALL),
+s AS (SELECT l.*, coalesce(alike, 0) AS alike, {_any("lo", strong)} AS strong,
+NOT ends_with(tl, '?') AND NOT {_any("tl", tn.QUESTIONS, "starts_with")} AND ({_any("tl", tn.STARTERS, "starts_with")} OR (len(regexp_split_to_array(trim(user_text), '\\s+')) <= 8 AND len(list_intersect(ws, ['never', 'always', 'must'])) > 0)) AS cmd,
+(contains(lo, '?') AND NOT {_any("lo", ("never", "always", "must", "ensure", "make sure"))}) OR {_any("lo", tn.CASUAL)} AS nothing,
+coalesce({_any("before", tn.ACTIONS)}, false) AS acted, {_any("lo", tn.PREFERENCES)} AND NOT ends_with(tl, '?') AND NOT {_any("lo", tn.HYPOTHETICAL)} AS likes FROM l LEFT JOIN a USING (conv_id, user_turn)),
+k AS (SELECT conv_id, user_turn, CASE WHEN nothing THEN NULL WHEN n >= 2 AND acted AND ({_any("lo", tn.CORRECTIONS)} OR (strong AND cmd)) THEN 1e0 WHEN n >= 3 AND {_any("lo", ("yes", "correct", "right", "exactly"))} AND strong AND nos THEN 95e-2 WHEN alike >= 2 THEN 8e-1 WHEN likes THEN 85e-2 WHEN {_any("lo", tn.COMMANDS)} AND cmd THEN 9e-1 END AS confidence FROM s)
+SELECT conv_id, user_turn, CASE WHEN confidence IN (1e0, 95e-2) THEN 'rule' WHEN confidence = 8e-1 THEN 'style' WHEN confidence = 85e-2 THEN 'preference' WHEN confidence = 9e-1 THEN 'behavior' END AS kind, confidence FROM k"""
+
+
+@query(f"WITH {_classified('conversations')}")
 def turn_classifier(spark, d):
-    """[L1-L4, W5-W7, X14, X15, F19] Kinds of corrections."""
+    """[L1-L4, W5-W7, X14, X15] Kinds of corrections in the texts as they are."""
     return tn.classify(win.turn_pairs(table(spark, d, "conversations"))).select("conv_id", "user_turn", "kind", "confidence")
 
 
-@query("""SELECT conv_id, turn, array_to_string(list(left(text, 10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), '|') AS context FROM conversations WHERE role = 'user'""")
+#: What users and assistants say before their own texts in :func:`turn_kinds`, by conversation and turn.
+SAID = ("Always add tests", "I prefer short names", "what is this?", "please never keep it long", "yes, you should never do that, correct", "actually use tabs", "don't worry about it", "if i want tabs, use them", "never use tabs", "make sure that it ends")
+DONE = ("Created a file. ", "done. ", "I've seen it. ")
+SPOKEN = f"""t AS (SELECT conv_id, turn, role, CASE role WHEN 'user' THEN list_extract([{", ".join(map(quoted, SAID))}], ((conv_id * 3 + turn) % {len(SAID)} + 1)::INTEGER) || CASE WHEN conv_id % 3 = 0 THEN '' ELSE ' ' || text END
+WHEN 'assistant' THEN list_extract([{", ".join(map(quoted, DONE))}], ((conv_id + turn // 2) % {len(DONE)} + 1)::INTEGER) || text ELSE text END AS text FROM conversations UNION ALL SELECT -1 - conv_id, turn, role, CASE WHEN role = 'user' THEN 'keep names short here, ' || turn ELSE text END FROM conversations)"""
+
+
+@query(f"WITH {SPOKEN}, {_classified('t')}")
+def turn_kinds(spark, d):
+    """[L1-L4, W5, W6, X14, X15, F19] Kinds of corrections in conversations of which each user text begins with an English sentence, or is one; and in twins that repeat one."""
+    c = table(spark, d, "conversations")
+    said = pick(list(SAID), F.col("conv_id") * 3 + F.col("turn"))
+    user = F.when(F.col("conv_id") % 3 == 0, said).otherwise(F.concat(said, F.lit(" "), "text"))
+    done = F.concat(pick(list(DONE), F.col("conv_id") + F.expr("turn div 2")), "text")
+    spoken = c.select("conv_id", "turn", "role", F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", done).otherwise(F.col("text")).alias("text"))
+    again = F.when(F.col("role") == "user", F.concat(F.lit("keep names short here, "), F.col("turn").cast("string"))).otherwise(F.col("text"))
+    twins = c.select((-1 - F.col("conv_id")).alias("conv_id"), "turn", "role", again.alias("text"))
+    return tn.classify(win.turn_pairs(spoken.unionByName(twins))).select("conv_id", "user_turn", "kind", "confidence")
+
+
+@query("""SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), '|') AS context FROM conversations WHERE role = 'user'""")
 def last_texts(spark, d):
     """[W7] The last three texts of a user."""
     u = table(spark, d, "conversations").filter("role = 'user'")
     return win.last_texts(u, 3).select("conv_id", "turn", F.array_join("context", "|").alias("context"))
 
 
-@query("""SELECT left(lower(text), 3) AS head, count(*)::BIGINT AS n FROM conversations GROUP BY 1 HAVING count(*) >= 2""")
+@query("""SELECT left(lower(text), 50) AS head, count(*)::BIGINT AS n FROM conversations GROUP BY 1 HAVING count(*) >= 2""")
 def repeated_heads(spark, d):
     """[A24, U7] Repeated beginnings."""
     return table(spark, d, "conversations").groupBy(F.left(F.lower("text"), F.lit(50)).alias("head")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")

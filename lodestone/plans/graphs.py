@@ -10,7 +10,7 @@ from lodestone.plans.base import query
 from lodestone.session import table
 
 #: Edges among a few numbers, made from keys: they hold cycles.
-RING = "e AS (SELECT DISTINCT (l_partkey % 17)::BIGINT AS src, (l_suppkey % 17)::BIGINT AS dst FROM lineitem WHERE l_orderkey % 97 = 0 AND l_partkey % 17 <> l_suppkey % 17)"
+RING = "e AS (SELECT DISTINCT (l_partkey % 17)::BIGINT AS src, (l_suppkey % 17)::BIGINT AS dst FROM lineitem WHERE l_partkey % 17 <> l_suppkey % 17)"
 
 
 def _ring(spark, d):
@@ -69,14 +69,14 @@ def hierarchy_lists(spark, d):
     return gr.children(n, "r_name", F.col("n_name")).select("r_name", F.array_join("children", ",").alias("nations"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey s, l_partkey p FROM lineitem WHERE l_orderkey % 50 = 0), h AS (SELECT a.s, count(DISTINCT b.s) - 1 AS two FROM e a JOIN e b USING (p) GROUP BY 1), o AS (SELECT s, count(*) AS one FROM e GROUP BY 1),
+@query("""WITH e AS (SELECT DISTINCT l_suppkey s, l_partkey p FROM lineitem), h AS (SELECT a.s, count(DISTINCT b.s) - 1 AS two FROM e a JOIN e b USING (p) GROUP BY 1), o AS (SELECT s, count(*) AS one FROM e GROUP BY 1),
 u AS (SELECT o.s, one, coalesce(two, 0) AS two, (o.s % 10) / 1e1 AS cov FROM o LEFT JOIN h USING (s)), k AS (SELECT *, one + 3e-1 * two AS use FROM u),
 r AS (SELECT s, one, two, cov, CASE WHEN use = 0 THEN 'low' WHEN use < 5 THEN CASE WHEN cov >= 7e-1 THEN 'low' WHEN cov >= 4e-1 THEN 'medium' ELSE 'high' END WHEN use < 15 THEN CASE WHEN cov >= 8e-1 THEN 'medium' WHEN cov >= 5e-1 THEN 'high' ELSE 'critical' END ELSE CASE WHEN cov >= 8e-1 THEN 'high' ELSE 'critical' END END AS risk FROM k)
 SELECT s AS suppkey, one::BIGINT AS direct, two::BIGINT AS transitive, risk, risk = 'low' OR (risk = 'medium' AND cov >= 7e-1) OR (risk = 'high' AND cov >= 9e-1) AS safe FROM r""")
 def impact_risk(spark, d):
     """[C1, M10, G5, Q2] Direct and indirect use, and the risk of a change."""
     e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
-    two = e.join(e.select(F.col("s").alias("t"), "p"), "p").groupBy("s").agg((F.count_distinct("t") - 1).alias("two"))
+    two = gr.two_hops(e, "s", "p").select("s", (F.col("n") - 1).alias("two"))
     u = e.groupBy("s").agg(F.count(F.lit(1)).alias("one")).join(two, "s", "left").withColumn("two", F.coalesce("two", F.lit(0))).withColumn("cov", (F.col("s") % 10) / 10.0)
     u = u.withColumn("risk", sc.impact_risk(F.col("one"), F.col("two"), F.col("cov")))
     return u.select(F.col("s").alias("suppkey"), F.col("one").alias("direct"), F.col("two").alias("transitive"), "risk", sc.safe_to_modify(F.col("risk"), F.col("cov")).alias("safe"))

@@ -68,7 +68,7 @@ def success_patterns(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("value") < 150).alias("all")).filter("n >= 3 and all").select("user_id", "event_type")
 
 
-@query("SELECT user_id, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) WHEN count(DISTINCT value > 50) = 1 THEN 'value' ELSE 'universal' END AS scope FROM events WHERE event_id % 40 = 0 GROUP BY 1")
+@query("SELECT user_id, CASE WHEN count(DISTINCT event_type) = 1 THEN min(event_type) WHEN count(DISTINCT value > 50) = 1 THEN 'value' ELSE 'universal' END AS scope FROM events GROUP BY 1")
 def scope_inference(spark, d):
     """[A28] The narrowest scope that all rows of a key share."""
     kinds, values = F.collect_set("event_type"), F.collect_set(F.col("value") > 50)
