@@ -75,28 +75,53 @@ def _merged(left: DataFrame, right: DataFrame, key: str, left_id: str, at: str,
     return a.unionByName(b, allowMissingColumns=True)
 
 
-def last_before(left: DataFrame, right: DataFrame, key: str, left_id: str, at: str, then: str, value: Column, name: str, tie: str) -> DataFrame:
+#: Seconds (or units of the order, if that is a number) in a slice of a key's rows.
+SLICE = 86_400
+
+
+def _carried(rows: DataFrame, width: float, latest_first: bool) -> DataFrame:
+    """Adds ``last``: of the rows (k, t, side, id, found) of a key up to a row, the last ``found``, in order of t, side and tie; or backwards.
+
+    A key's rows are cut into slices of ``width``; a task orders one slice, and
+    what a slice leaves goes on to those after it by a row a key and slice, so a
+    hot key is never in one task.
+    """
+    kind = rows.schema["t"].dataType.typeName()
+    t = F.col("t").cast("timestamp").cast("double") if kind in ("timestamp", "timestamp_ntz", "date") else F.col("t").cast("double")
+    rows = rows.withColumn("_slice", F.floor(t / width))
+    turned = (lambda c: F.desc(c)) if latest_first else (lambda c: F.asc(c))
+    left = F.min_by if latest_first else F.max_by
+    ends = rows.filter("found is not null").groupBy("k", "_slice").agg(left("found", F.struct("t", "found.tie")).alias("_end"))
+    # Each slice that has rows at all looks back to the last one with an end.
+    there = rows.groupBy("k", "_slice").agg(F.lit(1).alias("_")).join(ends, ["k", "_slice"], "left")
+    w = Window.partitionBy("k").orderBy(turned("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    before = there.select("k", "_slice", F.last("_end", ignorenulls=True).over(w).alias("_before"))
+    inside = Window.partitionBy("k", "_slice").orderBy(turned("t"), turned("side"), turned("found.tie")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn("last", F.last("found", ignorenulls=True).over(inside)).filter("side = 1")
+    return seen.join(before, ["k", "_slice"], "left").withColumn("last", F.coalesce("last", "_before")).drop("_slice", "_before")
+
+
+def last_before(left: DataFrame, right: DataFrame, key: str, left_id: str, at: str, then: str, value: Column, name: str, tie: str, width: float = SLICE) -> DataFrame:
     """Backward as-of join: (left_id, name), the value of the latest right row of the key with ``then <= at``, of equally late ones that with the largest ``tie``; null without one.
 
-    A row per left row. Both sides are sorted together and the last value is
-    carried along, so that a key's rows are never paired.
+    A row per left row. Both sides are sorted together, a slice of ``width`` at a
+    time, and the last value is carried along, so that a key's rows are never paired.
     """
     rows = _merged(left, right, key, left_id, at, then, F.struct(F.col(tie).alias("tie"), value.alias("value")))
-    w = Window.partitionBy("k").orderBy("t", "side", "found.tie").rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumn("last", F.last("found", ignorenulls=True).over(w)).filter("side = 1")
+    seen = _carried(rows, width, False)
     return seen.select(F.col("id").alias(left_id), F.when(F.col("t").isNotNull(), F.col("last.value")).alias(name))
 
 
-def first_within(left: DataFrame, right: DataFrame, key: str, left_id: str, at: str, then: str, seconds: int, tie: str) -> DataFrame:
+def first_within(left: DataFrame, right: DataFrame, key: str, left_id: str, at: str, then: str, seconds: int, tie: str, width: float = SLICE) -> DataFrame:
     """Forward as-of join: (left_id, delay, tie), the first right row after ``at`` and at most ``seconds`` later; nulls without one.
 
-    A row per left row. Both sides are sorted together, latest first, and the
-    last right row is carried along; of equally early ones the smallest ``tie`` counts.
+    A row per left row. Both sides are sorted together, latest first and a slice
+    of ``width`` at a time, and the last right row is carried along; of equally
+    early ones the smallest ``tie`` counts.
     """
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     rows = _merged(left, right, key, left_id, at, then, F.struct(F.col(then).alias("then"), F.col(tie).alias("tie")))
-    w = Window.partitionBy("k").orderBy(F.desc("t"), F.desc("side"), F.desc("found.tie")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumn("last", F.last("found", ignorenulls=True).over(w)).filter("side = 1")
+    seen = _carried(rows, width, True)
     gap = micros(F.col("last.then")) - micros(F.col("t"))
     hit = (gap > 0) & (gap <= seconds * 1_000_000)
     return seen.select(F.col("id").alias(left_id), F.when(hit, gap / 1e6).alias("delay"), F.when(hit, F.col("last.tie")).alias(tie))

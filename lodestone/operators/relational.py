@@ -57,13 +57,13 @@ def similar_pairs(df: DataFrame, id_col: str, terms: Column, floor: float, withi
     return pairs.select("a", "b", sim.alias("similarity")).filter(F.col("similarity") > floor)
 
 
-def contradictions(df: DataFrame, id_col: str, text_col: str, words: Column, positive: list[str], negative: list[str]) -> DataFrame:
-    """(a, b) of texts that share a word, one with a positive and the other with a negative marker (substrings, lower-cased)."""
+def contradictions(df: DataFrame, id_col: str, text_col: str, words: Column, positive: list[str], negative: list[str], within: str) -> DataFrame:
+    """(a, b) of texts of one ``within`` that share a word, one with a positive and the other with a negative marker (substrings, lower-cased)."""
     low = F.lower(text_col)
     has = lambda marks: reduce(lambda x, y: x | y, [low.contains(m) for m in marks])
-    rows = df.select(F.col(id_col).alias("id"), has(positive).alias("p"), has(negative).alias("n"), F.explode(words).alias("w"))
-    a, b = (rows.select(F.col("id").alias(x), F.col("p").alias(f"p{x}"), F.col("n").alias(f"n{x}"), "w") for x in "ab")
-    return a.join(b, "w").filter("a < b and ((pa and nb) or (na and pb))").select("a", "b").distinct()
+    rows = df.select(F.col(id_col).alias("id"), has(positive).alias("p"), has(negative).alias("n"), F.col(within).alias("k"), F.explode(words).alias("w")).filter("p or n")
+    a, b = (rows.select(F.col("id").alias(x), F.col("p").alias(f"p{x}"), F.col("n").alias(f"n{x}"), "k", "w") for x in "ab")
+    return a.join(b, ["k", "w"]).filter("a < b and ((pa and nb) or (na and pb))").select("a", "b").distinct()
 
 
 def priority_first(parts: list[DataFrame], keys: list[str], order: str) -> DataFrame:

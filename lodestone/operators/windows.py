@@ -20,35 +20,49 @@ def first_n(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
+def sliced(df: DataFrame, keys: list[str], size: Column, *order: Column) -> DataFrame:
+    """``df`` with ``_size``, its ``_slice`` and ``_start``: what the rows of the key in the slices before add up to.
+
+    Rows are dealt into ranges of key and order, so that the rows of a hot key
+    lie in many slices and no task has them all; a slice's sum tells what is used
+    up before the next.
+    """
+    rows = cut(df.withColumn("_size", size).repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a key and slice
+    sums = rows.groupBy(*keys, "_slice").agg(F.sum("_size").alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+    starts = sums.select(F.struct(*keys, F.lit(0).alias("_")).alias("_key"), F.col("_slice").alias("_at"), "_start")
+    same = F.struct(*keys, F.lit(0).alias("_")).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_at"))
+    return rows.join(starts, same).drop("_key", "_at")
+
+
 def budget_prefix(df: DataFrame, keys: list[str], cost: Column, budget: float, *order: Column) -> DataFrame:
-    """Per key the rows before the first whose running cost is over ``budget``; costs are not negative. Adds ``used``."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("used", F.sum(cost).over(w)).filter(F.col("used") <= budget)
+    """Per key the rows before the first whose running cost is over ``budget``; costs are not negative, ``order`` is total. Adds ``used``."""
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = sliced(df, keys, cost, *order).filter(F.col("_start") <= budget)
+    return rows.withColumn("used", F.col("_start") + F.sum("_size").over(w)).filter(F.col("used") <= budget).drop("_size", "_slice", "_start")
 
 
 def budget_prefix_floored(df: DataFrame, keys: list[str], cost: Column, budget: float, *order: Column) -> DataFrame:
     """As :func:`budget_prefix`, but costs are compared in full and added up rounded down. Adds ``used`` (before the row)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    before = F.coalesce(F.sum(F.floor(cost)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    over = df.withColumn("used", before).withColumn("_over", F.col("used") + cost > budget)
-    over = over.withColumn("_any", F.max("_over").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return over.filter("not _any").drop("_over", "_any")
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    rows = sliced(df.withColumn("_cost", cost), keys, F.floor("_cost"), *order).filter(F.col("_start") <= budget)
+    used = F.col("_start") + F.coalesce(F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumns({"used": used, "_n": F.row_number().over(w)}).withColumn("_over", F.col("used") + F.col("_cost") > budget)
+    # The first row of a key that is over ends it, in whatever slice that is.
+    ends = rows.filter("_over").groupBy(*keys).agg(F.min(F.struct("_slice", "_n")).alias("_end"))
+    ends = ends.select(F.struct(*keys, F.lit(0).alias("_")).alias("_key"), "_end")
+    kept = rows.join(ends, F.struct(*keys, F.lit(0).alias("_")).eqNullSafe(F.col("_key")), "left")
+    kept = kept.filter(F.col("_end").isNull() | (F.struct("_slice", "_n") < F.col("_end")))
+    return kept.drop("_size", "_slice", "_start", "_cost", "_n", "_over", "_key", "_end")
 
 
 def greedy_cut(df: DataFrame, size: Column, limit: int, *order: Column, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``kept``: how much of each row's size fits into ``limit``, the last row in part; rows of which nothing fits go, empty rows stay.
-
-    Without ``keys`` the rows are dealt into ranges of ``order``: each range's sum tells what is used up before the next, so that no task has all rows.
-    """
-    if not keys:
-        rows = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-        sums = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-        start = rows.groupBy("_range").agg(F.sum(size).alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(sums), F.lit(0))).drop("_sum")
-        df = rows.join(F.broadcast(start), "_range").filter((F.col("_start") < limit) | (size == 0))
-    w = Window.partitionBy(*(keys or ["_range"])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size).over(w), F.lit(0)) + (F.lit(0) if keys else F.col("_start"))
-    kept = F.greatest(F.lit(0), F.least(size, F.lit(limit) - before))
-    return df.withColumn("kept", kept).filter((F.col("kept") > 0) | (size == 0)).drop("_range", "_start")
+    """Adds ``kept``: how much of each row's size fits into ``limit`` (of its key), the last row in part; rows of which nothing fits go, empty rows stay."""
+    rows = sliced(df, list(keys), size, *order).filter((F.col("_start") < limit) | (F.col("_size") == 0))
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_size").over(w), F.lit(0)) + F.col("_start")
+    kept = F.greatest(F.lit(0), F.least(F.col("_size"), F.lit(limit) - before))
+    return rows.withColumn("kept", kept).filter((F.col("kept") > 0) | (F.col("_size") == 0)).drop("_size", "_slice", "_start")
 
 
 def runs(df: DataFrame, keys: list[str], order: str, flag: Column) -> DataFrame:

@@ -66,7 +66,7 @@ def keep_last_n(spark, d):
 @query("SELECT doc_id, used FROM (SELECT doc_id, lang, sum(n_chars // 4) OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM documents) WHERE used <= 60000")
 def token_budget_prefix(spark, d):
     """[W9, W3, R13] The longest documents of each language within a budget of tokens."""
-    return win.budget_prefix(table(spark, d, "documents"), ["lang"], F.expr("n_chars div 4"), 60000, F.desc("n_chars"), F.col("doc_id")).select("doc_id", "used")
+    return win.budget_prefix(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), ["lang"], F.expr("n_chars div 4"), 60000, F.desc("n_chars"), F.col("doc_id")).select("doc_id", "used")
 
 
 @query("""WITH c AS (SELECT doc_id, lang, n_chars, len(regexp_split_to_array(text, '\\s+')) * 13e-1 + 1e1 AS cost FROM documents),
@@ -75,7 +75,8 @@ o AS (SELECT *, max((used + cost > 2000)::INT) OVER (PARTITION BY lang ORDER BY
 def word_budget_prefix(spark, d):
     """[W10] A budget whose costs are added up rounded down."""
     cost = F.size(F.split("text", "\\s+")) * 1.3 + 10.0
-    return win.budget_prefix_floored(table(spark, d, "documents"), ["lang"], cost, 2000, F.col("n_chars"), F.col("doc_id")).select("doc_id", F.col("used").cast("long"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", cost.alias("cost"))  # no text is dealt out
+    return win.budget_prefix_floored(docs, ["lang"], F.col("cost"), 2000, F.col("n_chars"), F.col("doc_id")).select("doc_id", F.col("used").cast("long"))
 
 
 @query("""WITH o AS (SELECT l_orderkey, count(*) n FROM lineitem GROUP BY 1), u AS (SELECT l_orderkey, n, coalesce(sum(n) OVER (ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b FROM o)
