@@ -5,8 +5,8 @@ else one space), weighed by TF-IDF with ``1 + ln tf`` and of length 1. Document
 frequencies are counted over all training documents. Each language has several
 centroids, found by clustering a bounded sample of its training documents; a
 text has the language of the centroid with the largest cosine, and is rejected
-if that cosine is below ``REJECT`` and below half of what its own language's
-sample of like size reaches at least.
+if that cosine is below ``PART`` of what nearly all texts of that language and of
+like size reach: a low quantile over a part of the sample that is not clustered.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ PIECE = 1 << 18
 BUCKETS, CENTROIDS, SAMPLE = 1 << 14, 4, 256
 #: Languages at most, so that what is broadcast stays small (64 KB a centroid).
 MAX_LANGUAGES = 200
-#: No text is rejected from this cosine on; below it, those are with less than ``PART`` of what training texts of its size reach at least.
-REJECT, PART = 0.1, 0.5
-#: Upper ends of the sizes (in n-grams) for which the sample's least cosine is kept.
+#: One in APART texts of the sample is not clustered; its cosines' quantile LOW counts in sizes with FEW such texts or more; a text with less than PART of that is rejected.
+APART, LOW, FEW, PART = 3, 0.01, 6, 0.5
+#: Upper ends of the sizes (in n-grams) for which a language's low quantile is kept.
 SIZES = (16, 64, 256, 1024)
 UNKNOWN = "und"
 
@@ -112,7 +112,7 @@ class Model:
     idf: np.ndarray
     langs: list[str]  # per centroid
     centroids: np.ndarray  # (BUCKETS, number of centroids), float32
-    least: dict[str, np.ndarray]  # per language and size class the least cosine in the sample
+    least: dict[str, np.ndarray]  # per language and size class what nearly all texts reach
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, cosine, rejected)."""
@@ -124,7 +124,7 @@ class Model:
         best = int(cos.argmax())
         score = min(1.0, max(0.0, float(cos[best])))
         lang = self.langs[best]
-        return lang, score, score < min(REJECT, PART * float(self.least[lang][size_class(len(b))]))
+        return lang, score, score < PART * float(self.least[lang][size_class(len(b))])
 
 
 def size_class(n: int) -> int:
@@ -178,16 +178,18 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         for i, g in enumerate(found):
             at, w = vector(g, idf)
             dense[i, at] = w
-        got, least = [], [1.0] * (len(SIZES) + 1)
+        got, least = [], [0.0] * (len(SIZES) + 1)
         if found:
-            centre, own = cluster(dense, centroids)
+            # Texts are in their own order, which says nothing about them; a sample of a few texts is clustered and judged as a whole.
+            apart = np.arange(len(found)) % APART == 0 if len(found) >= FEW * APART else np.zeros(len(found), bool)
+            centre, _ = cluster(dense[~apart], centroids)
             got = [c.astype(np.float32).tobytes() for c in centre]
-            best = (dense * centre[own]).sum(1)
-            for g, c in zip(found, best, strict=True):
-                least[size_class(len(g))] = min(least[size_class(len(g))], float(c))
-            for i in range(len(least)):  # a size without rows has what the nearest larger or smaller one has
-                if least[i] == 1.0:
-                    least[i] = min(least)
+            judged = apart if apart.any() else ~apart
+            cosine, size = (dense[judged] @ centre.T).max(1), np.array([size_class(len(g)) for g in found])[judged]
+            low = [float(np.quantile(cosine[size == i], LOW)) if (size == i).sum() >= FEW else None for i in range(len(least))]
+            # A size with few texts is judged as strictly as the least strict of the others, or of all texts.
+            rest = min([x for x in low if x is not None] or [float(cosine.min())])
+            least = [rest if x is None else x for x in low]
         return pa.table({"lang": pa.array([lang] * len(got), pa.string()), "centre": pa.array(got, pa.binary()), "least": pa.array([least] * len(got), pa.list_(pa.float64()))})
 
     rest = some.groupBy("lang").applyInArrow(centres, "lang string, centre binary, least array<double>").collect()

@@ -66,3 +66,16 @@ def test_marks_and_copies(spark):
             assert (np.sort(li.grams(text)) == whole).all()
     finally:
         li.PIECE = piece
+
+
+def test_a_language_left_out_is_rejected(spark):
+    """Of the same script as those learned; theirs stay."""
+    rng = random.Random(8)
+    own = {"k": ["ka", "to", "mi", "ru", "se"], "l": ["lich", "ung", "ber", "ge", "st"], "m": ["tion", "ment", "ou", "que", "le"], "z": ["pri", "voj", "nad", "czy", "bl"]}
+    say = lambda lang, n: " ".join("".join(rng.choice(own[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(i, say(lang := rng.choice("klm"), rng.choice([6, 20, 80, 300])), lang) for i in range(900)]
+    model = li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    other = [model.predict(say("z", n))[2] for n in (6, 20, 80, 300) for _ in range(50)]
+    assert np.mean(other) > 0.9
+    known = [(lang, model.predict(say(lang, n))) for n in (6, 20, 80, 300) for lang in "klm" for _ in range(50)]
+    assert np.mean([p[2] for _, p in known]) < 0.01 and all(p[0] == lang for lang, p in known)
