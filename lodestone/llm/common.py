@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import cut, shared_dir, table
 
-__all__ = ["WORD", "cut", "held_out", "shared_dir", "slices", "table", "texts"]
+__all__ = ["WORD", "cut", "free", "held_out", "shared_dir", "slices", "table", "texts"]
 
 #: Spark's bound on the bytes of an Arrow batch, and of a Parquet row group, which a task holds while it writes texts.
 BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "parquet.block.size": str(32 << 20)}
@@ -35,6 +35,16 @@ def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many more ``_`` as set it apart from the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Each batch in pieces of about ``most`` bytes of the string ``column``; one long text stays whole."""
     for batch in batches:

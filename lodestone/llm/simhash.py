@@ -22,15 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lodestone.llm.common import cut, slices, texts
+from lodestone.llm.common import cut, free, slices, texts
 
 #: Bits that linked fingerprints may differ in, and words in a shingle.
 ERRORS, SHINGLE, SEED = 4, 4, 42
 BLOCK = 21
 #: Node pairs expanded at a time, and leaf pairs below which two nodes are compared leaf by leaf.
 CHUNK, LEAVES = 200_000, 256
-#: Rows beyond which a slot is dealt on, and by how many bits.
-FULL, DEEPER = 2_000_000, 5
+#: Rows beyond which a slot is dealt on, and by how many bits; rows of whole slots that are walked together; rows a task, about.
+FULL, DEEPER, TOGETHER, TASK_ROWS = 2_000_000, 5, 500_000, 4_000_000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -184,6 +184,8 @@ def links(fps: DataFrame, distinct: int, errors: int = ERRORS) -> DataFrame:
         raise ValueError("three blocks of which one has at most one error take up to 5 errors")
     prefix = min(20, max(6, math.ceil(math.log2(max(distinct, 1) / 2**15))))
     low = (1 << prefix) - 1
+    # Each fingerprint is at home in three slots, and a guest in half a slot for each bit of the prefix.
+    parts = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-distinct * 3 * (2 + prefix) // (2 * TASK_ROWS)))
     turned = [F.col("fp") if not r else F.shiftleft("fp", r).bitwiseOR(F.shiftrightunsigned("fp", 64 - r)) for r in (0, BLOCK, 2 * BLOCK)]
     rows = F.explode(F.array(*[F.struct(F.lit(i << prefix).alias("of"), v.alias("value")) for i, v in enumerate(turned)]))
     dealt = fps.select(rows.alias("r")).select("r.*").withColumn("lead", F.shiftrightunsigned("value", 64 - prefix).bitwiseAND(low).cast("int"))
@@ -195,7 +197,7 @@ def links(fps: DataFrame, distinct: int, errors: int = ERRORS) -> DataFrame:
         full = cut(dealt.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FULL).select("slot")) if prefix + DEEPER <= BLOCK else None
         deeper = full is not None and not full.isEmpty()
         part = dealt.join(full, "slot", "left_anti") if deeper else dealt
-        part = _linked(part, prefix, errors)
+        part = _linked(part, prefix, errors, parts)
         found = part if found is None else found.unionByName(part)
         if not deeper:
             return found
@@ -209,24 +211,34 @@ def links(fps: DataFrame, distinct: int, errors: int = ERRORS) -> DataFrame:
         prefix += DEEPER
 
 
-def _linked(dealt: DataFrame, prefix: int, errors: int) -> DataFrame:
-    """(fp, to) of rows (slot, value), whose slots are a turn and ``prefix`` bits."""
+def _linked(dealt: DataFrame, prefix: int, errors: int, parts: int) -> DataFrame:
+    """(fp, to) of rows (slot, value), whose slots are a turn and ``prefix`` bits, over ``parts`` tasks."""
 
     def run(batches):
-        slot, value = [], []
+        """Walks whole slots, as many at a time as come to ``TOGETHER`` rows; rows come by ascending slot."""
+        slots, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for b in batches:
-            slot.append(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            value.append(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
-        slot, value = np.concatenate([*slot, np.zeros(0, np.int64)]), np.concatenate([*value, np.zeros(0, np.uint64)])
-        if not len(slot):
-            return
+            slots.append(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            values.append(b.column(1).to_numpy(zero_copy_only=False).view(np.uint64))
+            if sum(map(len, slots)) < TOGETHER:
+                continue
+            slot, value = np.concatenate(slots), np.concatenate(values)
+            done = int(np.searchsorted(slot, slot[-1]))  # the last slot may go on
+            if done:
+                yield walked(slot[:done], value[:done])
+            slots, values = [slot[done:]], [value[done:]]
+        slot, value = np.concatenate(slots), np.concatenate(values)
+        if len(slot):
+            yield walked(slot, value)
+
+    def walked(slot, value):
         turn = ((slot >> prefix) * BLOCK).astype(np.uint64)
         fp, who = np.unique((value >> turn) | np.where(turn > 0, value << (np.uint64(64) - np.maximum(turn, np.uint64(1))), np.uint64(0)), return_inverse=True)
         up = trie_links(slot, value, who, len(fp), prefix, errors)
         away = np.flatnonzero(up != np.arange(len(fp)))
-        yield pa.RecordBatch.from_arrays([pa.array(fp[away].view(np.int64)), pa.array(fp[up[away]].view(np.int64))], ["fp", "to"])
+        return pa.RecordBatch.from_arrays([pa.array(fp[away].view(np.int64)), pa.array(fp[up[away]].view(np.int64))], ["fp", "to"])
 
-    return dealt.repartition("slot").mapInArrow(run, "fp long, to long")
+    return dealt.repartition(parts, "slot").sortWithinPartitions("slot").mapInArrow(run, "fp long, to long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -270,9 +282,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", error
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", errors: int = ERRORS) -> DataFrame:
     """The rows of ``df`` of which each component keeps one: that with the smallest id (null ids only where there is no other), of equal ids that with the least hash of its text."""
     got = classes(df, id_col, text_col, errors)
-    marks = ["_mark", "_mark2"]
+    marks = free(df, "_mark", "_mark2")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "mark2"))
-    keep = got.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias(id_col), F.col("k.mark").alias("_mark"), F.col("k.mark2").alias("_mark2"))
+    keep = got.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias(id_col), F.col("k.mark").alias(marks[0]), F.col("k.mark2").alias(marks[1]))
     rows = df.withColumns(dict(zip(marks, _marks(text_col), strict=True)))
     named = rows.filter(F.col(id_col).isNotNull()).join(keep.filter(F.col(id_col).isNotNull()), [id_col, *marks], "left_semi").dropDuplicates([id_col, *marks])
     if _has_nulls(df, id_col):

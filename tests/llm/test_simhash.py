@@ -123,3 +123,22 @@ def test_full_slots(spark):
             assert sorted(map(sorted, ours.values())) == sorted(sorted(p) for p in parts.values() if len(p) > 1)
     finally:
         sh.FULL = full
+
+
+def test_slots_are_walked_a_few_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 400, np.uint64)
+    near = base[:150] ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64))
+    fps = [(int(x),) for x in np.unique(np.concatenate([base, near]).view(np.int64))]
+    df = spark.createDataFrame(fps, "fp long")
+    whole = {r.node: r.root for r in sh.components(sh.links(df, len(fps)).toDF("a", "b")).collect()}
+    monkeypatch.setattr(sh, "TOGETHER", 20)
+    monkeypatch.setattr(sh, "TASK_ROWS", 50)
+    assert {r.node: r.root for r in sh.components(sh.links(df, len(fps)).toDF("a", "b")).collect()} == whole
+    assert len(whole) >= 150
+
+
+def test_columns_named_as_the_marks(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 5, 6), (2, "a b c d e", 7, 8), (3, "x y z u v", 9, 9)], "doc_id long, text string, _mark int, _mark2 int")
+    got = sh.representatives(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(1, "a b c d e", 5, 6), (3, "x y z u v", 9, 9)]
