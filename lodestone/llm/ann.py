@@ -27,6 +27,8 @@ K, SHARD, EDGES, BUILD_BEAM, BEAM, ALPHA = 20, 12_000, 48, 96, 144, 1.15
 GROWTH, SHARD_BYTES = 12.0, 256 << 20
 #: Vectors that enter a graph together, and nodes that each search opens at a time.
 GROUP, OPEN = 512, 4
+#: Bytes of the marks of which nodes a search has met; of more rows than these hold, some wait.
+STAMP_BYTES = 64 << 20
 
 
 class Graph:
@@ -76,7 +78,10 @@ class Graph:
     def beam(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """For each row of ``q`` up to ``width`` nodes, the best that a greedy search with a beam meets, and their inner products; -1 where fewer."""
         rows, n = len(q), len(self.x)
-        width = min(width, n)
+        width, most = min(width, n), max(1, STAMP_BYTES // (4 * n))
+        if rows > most:
+            parts = [self.beam(q[i : i + most], width) for i in range(0, rows, most)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         stamp = np.full((rows, n), -1, np.int32)
         ids = np.full((rows, width), -1, np.int32)
         sims = np.full((rows, width), -np.inf, np.float32)

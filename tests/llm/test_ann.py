@@ -65,3 +65,12 @@ def test_circles_that_are_cut_off_and_large_numbers(spark):
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     want = brute(rows, 20)
     assert sum(len({j for _, j in got[q]} & {j for j, _ in near}) for q, near in want.items()) >= 0.97 * 20 * len(want)
+
+
+def test_searches_that_wait_find_the_same(monkeypatch):
+    rng = np.random.default_rng(9)
+    g, q = ann.Graph(rng.normal(size=(300, 8))), rng.normal(size=(40, 9)).astype(np.float32)
+    want = g.beam(q, 20)
+    monkeypatch.setattr(ann, "STAMP_BYTES", 4 * 300 * 7)
+    got = g.beam(q, 20)
+    assert (got[0] == want[0]).all() and np.allclose(got[1], want[1])
