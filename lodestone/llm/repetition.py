@@ -23,6 +23,8 @@ WHITE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 #: Shortest repeat that counts, in words.
 LEAST = 5
+#: Words beyond which a text's ranks by 1, 2, 4, ... words are not all kept, and what neighbours share is counted word by word.
+WIDE = 2_000_000
 #: Most of a kept text that repeats may cover, and its longest repeat in words.
 MAX_COVERED, MAX_LONGEST = 0.3, 60
 
@@ -32,8 +34,8 @@ SCHEMA = (
 )
 
 
-def suffix_ranks(first: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Ranks of all suffixes by their first 1, 2, 4, ... words, until all differ.
+def suffix_ranks(first: np.ndarray, ends: np.ndarray, all_levels: bool = True) -> list[np.ndarray]:
+    """Ranks of all suffixes by their first 1, 2, 4, ... words, until all differ; or only the first and the last of these.
 
     ``first`` numbers words so that those of different texts differ; ``ends``
     is, per position, where its text ends. A suffix shorter than the prefix
@@ -67,7 +69,7 @@ def suffix_ranks(first: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         new = new.copy()
         new[slot] = split
         at = np.flatnonzero(new)
-        levels.append(rank.astype(np.int32))
+        levels = [*levels[: None if all_levels else 1], rank.astype(np.int32)]
         width *= 2
 
 
@@ -84,6 +86,25 @@ def common_prefixes(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray, ends
     return out
 
 
+def neighbours_share(sa: np.ndarray, rank: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """What each suffix shares with the next one of the array, in text order: a suffix shares at most a word less than the one that begins before it."""
+    out = np.zeros(len(sa), np.int64)
+    order, at, words, stop = (memoryview(np.ascontiguousarray(z, np.int64)) for z in (sa, rank, first, ends))
+    n, h = len(sa), 0
+    for i in range(n):
+        r = at[i]
+        if r + 1 == n:
+            h = 0
+            continue
+        j = order[r + 1]
+        most = min(stop[i] - i, stop[j] - j)
+        while h < most and words[i + h] == words[j + h]:
+            h += 1
+        out[r] = h
+        h = max(0, h - 1)
+    return out
+
+
 def intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int, list[int]]]:
     """The LCP intervals of ``least`` words or more: (words, first, last, the suffixes between that lie in none within it).
 
@@ -128,13 +149,18 @@ def repeats(words: list[list[bytes]], least: int = LEAST) -> dict[str, np.ndarra
     ids = np.fromiter((number.setdefault(w, len(number)) for text in words for w in text), np.int64, n)
     text = np.repeat(np.arange(len(words)), size)
     ends = np.repeat(np.cumsum(size), size)
-    levels = suffix_ranks(text * len(number) + ids, ends)
+    first = text * len(number) + ids
+    levels = suffix_ranks(first, ends, n <= WIDE)
     sa = np.empty(n, np.int64)
     sa[levels[-1]] = np.arange(n)
-    # Only neighbours that share their first word can share more.
-    pair = np.flatnonzero(levels[0][sa[1:]] == levels[0][sa[:-1]])
-    lcp = np.zeros(n, np.int64)
-    lcp[pair] = common_prefixes(levels, sa[pair], sa[pair + 1], ends)
+    if n <= WIDE:
+        # Only neighbours that share their first word can share more.
+        pair = np.flatnonzero(levels[0][sa[1:]] == levels[0][sa[:-1]])
+        lcp = np.zeros(n, np.int64)
+        lcp[pair] = common_prefixes(levels, sa[pair], sa[pair + 1], ends)
+    else:
+        lcp = neighbours_share(sa, levels[-1], first, ends)
+    del levels
     reach = np.zeros(n, np.int64)  # longest prefix that occurs again
     np.maximum.at(reach, sa, lcp)
     np.maximum.at(reach, sa[1:], lcp[:-1])

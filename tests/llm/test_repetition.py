@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from lodestone.llm import repetition as rep
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,3 +58,12 @@ def test_brute_force(spark):
 
 def test_empty(spark):
     assert rep.rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_texts_count_word_by_word_alike(monkeypatch):
+    rng = np.random.default_rng(3)
+    words = [[b"%d" % w for w in rng.integers(0, k, n)] for k, n in ((2, 300), (9, 500), (40, 900), (1, 60), (5, 0))]
+    want = rep.repeats(words)
+    monkeypatch.setattr(rep, "WIDE", 10)
+    got = rep.repeats(words)
+    assert all((got[k] == want[k]).all() for k in want) and want["maximal"].sum() > 50
