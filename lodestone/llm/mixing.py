@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, cut, texts
+from lodestone.llm.common import WORD, cut, free, texts
 
 #: Words a block, output shards, documents a chunk within which offsets are summed, and equal rows that are made in one place.
 BLOCK, SHARDS, CHUNK, COPIES = 128, 64, 4096, 10_000
@@ -265,16 +265,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     _, placed, taken = plan(docs, id_col, text_col, source_col, **settings)
     spans = taken.groupBy("ix", "start", "time").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("hi") - F.col("lo")).alias("n")))).alias("spans"))
     wanted = placed.filter("size > 0").select("ix", "start", "mark", "mark2", "size").join(spans, ["ix", "start"])
-    wanted = wanted.select("mark", "mark2", F.col("size").alias("_mix_size"), F.col("spans").alias("_mix_spans")).withColumnsRenamed({"mark": "_mix_mark", "mark2": "_mix_mark2"})
+    size_, spans_, words_, mark, mark2, own, own2 = free(docs, "_mix_size", "_mix_spans", "_mix_words", "_mix_mark", "_mix_mark2", "_mix_0", "_mix_1")
+    wanted = wanted.select(F.col("mark").alias(mark), F.col("mark2").alias(mark2), F.col("size").alias(size_), F.col("spans").alias(spans_))
     cols = docs.columns
-    own = [m.alias(f"_mix_{i}") for i, m in enumerate(_marks(id_col, text_col, _told(docs)))]
-    one = docs.select("*", *own).dropDuplicates(["_mix_0", "_mix_1"])  # equal rows are told apart by their spans
-    both = one.join(wanted, (F.col("_mix_0") == F.col("_mix_mark")) & (F.col("_mix_1") == F.col("_mix_mark2")))
+    marks = [m.alias(name) for m, name in zip(_marks(id_col, text_col, _told(docs)), (own, own2), strict=True)]
+    one = docs.select("*", *marks).dropDuplicates([own, own2])  # equal rows are told apart by their spans
+    both = one.join(wanted, (F.col(own) == F.col(mark)) & (F.col(own2) == F.col(mark2)))
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"{WORD}[ \\x09-\\x0D]*"), F.lit(0))
-    whole = F.aggregate("_mix_spans", F.lit(0).cast("long"), lambda a, s: a + s["n"]) == F.col("_mix_size")
+    whole = F.aggregate(spans_, F.lit(0).cast("long"), lambda a, s: a + s["n"]) == F.col(size_)
     # Each word brings the white space behind it, so stretches need nothing between them.
-    part = F.array_join(F.transform("_mix_spans", lambda s: F.array_join(F.slice(F.col("_mix_words"), s["at"].cast("int") + 1, s["n"].cast("int")), "")), "")
-    both = both.withColumn("_mix_words", F.when(~whole, words)).withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(part))
+    part = F.array_join(F.transform(spans_, lambda s: F.array_join(F.slice(F.col(words_), s["at"].cast("int") + 1, s["n"].cast("int")), "")), "")
+    both = both.withColumn(words_, F.when(~whole, words)).withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(part))
     if size_col in cols:
         both = both.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
     return both.select(*cols)
