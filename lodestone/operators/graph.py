@@ -88,6 +88,55 @@ def cycles(edges: DataFrame, max_length: int) -> DataFrame:
     return paths(edges, max_length).select("path", F.size("path").alias("length"))
 
 
+def _settled(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, least): the least of the starting values (node, least) that edges lead to each node; a round sends on only what changed."""
+    now = changed = cut(start)
+    while not changed.isEmpty():
+        sent = changed.join(edges, changed.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min("least").alias("new"))
+        step = cut(now.join(sent, "node", "left").select("node", F.least("least", "new").alias("least"), (F.col("new") < F.col("least")).alias("better")))
+        now, changed = step.select("node", "least"), step.filter("better").select("node", "least")
+    return now
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the strongly connected component of every node that is on a circle of edges (src, dst), named by its smallest node.
+
+    Rounds: nodes without a way in or a way out are taken off; every other takes
+    on the least node that leads to it; backwards from those that kept their own
+    name, all of that name that lead there are a component, which is taken off.
+    All components of a round are found at once and circles may be of any
+    length; a round has about as many steps as its longest way has nodes. A hub
+    costs a row a task, as minima are taken before the shuffle.
+    """
+    left, found = cut(edges.select("src", "dst").filter("src != dst").distinct()), None
+    while True:
+        size = left.count()
+        while size:
+            ends = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
+            left = cut(left.join(ends, left.src == ends.node, "left_semi").join(ends, left.dst == ends.node, "left_semi"))
+            before, size = size, left.count()
+            if size == before:
+                break
+        if not size:
+            break
+        nodes = left.select(F.col("src").alias("node")).union(left.select(F.col("dst").alias("node"))).distinct()
+        named = _settled(left, nodes.withColumn("least", F.col("node")))
+        a, b = named.select(F.col("node").alias("src"), F.col("least").alias("a")), named.select(F.col("node").alias("dst"), F.col("least").alias("b"))
+        inside = cut(left.join(a, "src").join(b, "dst").filter("a = b").select(F.col("src").alias("dst"), F.col("dst").alias("src"), "a"))  # turned round
+        reached = frontier = cut(named.filter("node = least"))
+        while not frontier.isEmpty():
+            step = frontier.join(inside, (frontier.node == inside.src) & (frontier.least == inside.a)).select(F.col("dst").alias("node"), "least").distinct()
+            frontier = cut(step.join(reached, ["node", "least"], "left_anti"))
+            reached = cut(reached.unionByName(frontier))
+        part = reached.select("node", F.col("least").alias("component"))
+        found = part if found is None else found.unionByName(part)
+        left = cut(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")).join(part, F.col("src") == part.node, "left_anti").join(part, F.col("dst") == part.node, "left_anti"))
+    if found is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    several = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return cut(found.join(several, "component", "left_semi").select("node", "component"))
+
+
 def linearised(bases: DataFrame, max_depth: int = 50) -> DataFrame:
     """(cls, base, position, depth, confidence): every class with all it inherits from, depth first, bases by ``ord``.
 

@@ -40,27 +40,28 @@ def pattern_examples(spark, d):
     return ci.examples(pj.python_files(spark, d), "def run\\(", 3)
 
 
-def _cycles(spark, d):
+def _imports(spark, d):
+    """(edges between files, symbols)"""
     _, symbols, imports, _, _ = _facts(spark, d)
     edges = graph.import_edges(_links(imports, symbols))
     k = F.regexp_extract("src", "m(\\d+)\\.py$", 1).cast("long")
     # Every tenth file also imports the one that imports it.
     back = edges.filter(k % 10 == 1).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return graph.cycles(edges.union(back), 3), symbols
+    return edges.union(back), symbols
 
 
 @query(f"""WITH {PY}, c AS (SELECT p.path AS x, q.path AS y FROM p JOIN p q ON q.k = p.p WHERE p.k % 10 = 1) SELECT array_to_string([least(x, y), greatest(x, y)], ' ') AS path, 2::INTEGER AS length FROM c""")
 def import_cycles(spark, d):
-    """[G9, Q12, Q24] Files that import each other, by references that are distinct and not to themselves."""
-    found, _ = _cycles(spark, d)
-    return found.select(F.array_join("path", " ").alias("path"), "length")
+    """[G9, Q12, Q24] Circles of up to three files that import each other, by references that are distinct and not to themselves."""
+    edges, _ = _imports(spark, d)
+    return graph.cycles(edges, 3).select(F.array_join("path", " ").alias("path"), "length")
 
 
 @query(f"""WITH {PY}, c AS (SELECT unnest([p.path, q.path]) AS path FROM p JOIN p q ON q.k = p.p WHERE p.k % 10 = 1), n AS (SELECT path, unnest(CASE WHEN b THEN ['C' || k, 'run', 'step' || j, 'make' || k, 'broken'] ELSE ['C' || k, 'run', 'step' || j, 'make' || k] END) AS name FROM p) SELECT DISTINCT path, name FROM n JOIN c USING (path)""")
 def symbols_in_cycles(spark, d):
-    """[G10] The symbols of files that are in a cycle."""
-    found, symbols = _cycles(spark, d)
-    inside = found.select(F.explode("path").alias("path")).distinct()
+    """[G10] The symbols of files that are in a circle of up to three; :func:`graph.components` finds those of any length."""
+    edges, symbols = _imports(spark, d)
+    inside = graph.cycles(edges, 3).select(F.explode("path").alias("path")).distinct()
     return symbols.filter("type != 'file'").join(inside, "path", "left_semi").select("path", "name").distinct()
 
 

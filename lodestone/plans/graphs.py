@@ -80,3 +80,18 @@ def impact_risk(spark, d):
     u = e.groupBy("s").agg(F.count(F.lit(1)).alias("one")).join(two, "s", "left").withColumn("two", F.coalesce("two", F.lit(0))).withColumn("cov", (F.col("s") % 10) / 10.0)
     u = u.withColumn("risk", sc.impact_risk(F.col("one"), F.col("two"), F.col("cov")))
     return u.select(F.col("s").alias("suppkey"), F.col("one").alias("direct"), F.col("two").alias("transitive"), "risk", sc.safe_to_modify(F.col("risk"), F.col("cov")).alias("safe"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49 UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity >= 49),
+r(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM r JOIN e ON b = src),
+c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1)
+SELECT node, component, count(*) OVER (PARTITION BY component)::BIGINT AS size FROM c""")
+def components(spark, d):
+    """[G8-G10] Suppliers and parts on circles of any length, over large returns and large sales."""
+    li = table(spark, d, "lineitem").filter("l_quantity >= 49")
+    s, p = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey")
+    there = li.filter("l_returnflag = 'R'").select(s.alias("src"), p.alias("dst"))
+    back = li.filter("l_returnflag = 'A'").select(p.alias("src"), s.alias("dst"))
+    found = gr.components(there.union(back))
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return found.join(sizes, "component").select("node", "component", "size")
