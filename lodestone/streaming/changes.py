@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.session import cut
+from lodestone.sources import manifests
 
 
 def debounced(changes: DataFrame, key: str = "path", ts: str = "ts", gap: str = "3 seconds", late: str = "1 minute") -> DataFrame:
@@ -20,11 +20,6 @@ def debounced(changes: DataFrame, key: str = "path", ts: str = "ts", gap: str =
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "changes")
 
 
-def running_counts(events: DataFrame, *keys: str) -> DataFrame:
-    """Counts per key that follow the stream."""
-    return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-
-
 class Merged:
     """A table at ``target`` that holds the latest row of each key, kept by ``foreachBatch``.
 
@@ -40,32 +35,8 @@ class Merged:
     def __init__(self, target: str, key: str, order: str, buckets: int = 1, first: int = 0):
         self.target, self.key, self.order, self.buckets, self.first = target.rstrip("/"), key, order, buckets, first
 
-    def _files(self, spark):
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.target}/_manifest.json")
-        return jvm, path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
     def manifest(self, spark) -> dict | None:
-        jvm, path, fs = self._files(spark)
-        if not fs.exists(path):
-            return None
-        stream = fs.open(path)
-        try:
-            return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _put(self, spark, manifest: dict) -> None:
-        """Writes a manifest beside the old one and renames it into its place."""
-        jvm, path, fs = self._files(spark)
-        new = jvm.org.apache.hadoop.fs.Path(f"{self.target}/_manifest-{manifest['batch']}.json")
-        out = fs.create(new, True)
-        out.write(json.dumps(manifest, sort_keys=True).encode())
-        out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(fs.makeQualified(new), fs.makeQualified(path), options)
+        return manifests.read(spark, f"{self.target}/_manifest.json")
 
     def _read(self, spark, manifest: dict, buckets) -> DataFrame | None:
         folders = [f"{self.target}/batch={manifest['buckets'][str(b)]}/_bucket={b}" for b in sorted(buckets) if str(b) in manifest["buckets"]]
@@ -96,7 +67,7 @@ class Merged:
         rows = rows if old is None else old.unionByName(rows)
         if touched:
             latest_wins(rows, [self.key], F.desc(self.order)).withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.target}/batch={number}")
-        self._put(spark, {"batch": number, "count": self.buckets, "buckets": {**manifest["buckets"], **{str(b): number for b in touched}}})
+        manifests.put(spark, f"{self.target}/_manifest.json", {"batch": number, "count": self.buckets, "buckets": {**manifest["buckets"], **{str(b): number for b in touched}}}, str(number))
 
 
 def merge_batches(target: str, key: str, order: str, buckets: int = 1, first: int = 0) -> Merged:
@@ -113,12 +84,11 @@ def stateful_turns(turns: DataFrame, keep: int = 3) -> DataFrame:
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, last = state.get if state.exists else (0, [])
         last = list(last)
-        for f in frames:
-            out = []
-            for r in f.sort_values("turn").itertuples():
-                out.append((key[0], r.turn, seen, last.count(r.text)))
-                seen, last = seen + 1, [*last, r.text][-keep:]
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "seen", "repeats"])
+        out = []
+        for r in pd.concat(frames).sort_values("turn").itertuples():  # what a batch brings of a conversation, in order
+            out.append((key[0], r.turn, seen, last.count(r.text)))
+            seen, last = seen + 1, [*last, r.text][-keep:]
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "seen", "repeats"])
         state.update((seen, last))
 
     return turns.select("conv_id", "turn", "text").groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turn long, seen long, repeats long", "seen long, last array<string>", "append", GroupStateTimeout.NoTimeout)
