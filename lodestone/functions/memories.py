@@ -51,15 +51,16 @@ def scope(text: Column, project: str | None = None) -> Column:
     return out.otherwise("universal")
 
 
+# Words that decide a category, in this order, then kinds of corrections that are rules.
+CATEGORIES = (("correction", ("never", "don't", "avoid", "stop")), ("rule", ("always", "must", "limit", "max")), ("preference", ("prefer", "like", "use", "keep")))
+RULE_KINDS = ("behavior", "rule")
+# End of fixed values.
+
+
 def category(text: Column, kind: Column) -> Column:
+    """The category of the first words that a text has, else that of its kind."""
     low = F.lower(text)
-    return (
-        F.when(any_of(low, ("never", "don't", "avoid", "stop")), "correction")
-        .when(any_of(low, ("always", "must", "limit", "max")), "rule")
-        .when(any_of(low, ("prefer", "like", "use", "keep")), "preference")
-        .when(kind.isin("behavior", "rule"), "rule")
-        .otherwise("preference")
-    )
+    return F.coalesce(*[F.when(any_of(low, words), name) for name, words in CATEGORIES], F.when(kind.isin(*RULE_KINDS), "rule"), F.lit("preference"))
 
 
 def imperative(text: Column, most: int = 20) -> Column:

@@ -145,22 +145,30 @@ def stack(manifest: Column, language: str) -> Column:
     return F.array_compact(F.array(*[F.when(low.contains(w), F.lit(name)) for w, name in STACKS[language].items()]))
 
 
+# Words of a manifest with what they make of a project, and folders (one group of them) with what they do; the first that fits counts.
+PROJECTS = (("fastapi", "FastAPI Application"), ("django", "Django Application"), ("flask", "Flask Application"))
+PACKAGED, PLAIN = ("[tool.poetry]", "Python Library"), "Python Project"
+SHAPES = (
+    ((("server",),), "Server"),
+    ((("api", "models"),), "REST API"),
+    ((("app", "templates"),), "Web application"),
+    ((("cli",), ("cmd",)), "CLI application"),
+    ((("web",), ("static",)), "Web application"),
+    ((("lib",), ("src",)), "Library with modular components"),
+)
+SHAPELESS = ("Modular ", " application")
+# End of fixed values.
+
+
 def project_type(manifest: Column) -> Column:
     """What a Python project is by its manifest."""
-    low = F.lower(manifest)
-    return F.when(low.contains("fastapi"), "FastAPI Application").when(low.contains("django"), "Django Application").when(low.contains("flask"), "Flask Application").when(manifest.contains("[tool.poetry]"), "Python Library").otherwise("Python Project")
+    named = [F.when(F.lower(manifest).contains(word), name) for word, name in PROJECTS]
+    return F.coalesce(*named, F.when(manifest.contains(PACKAGED[0]), PACKAGED[1]), F.lit(PLAIN))
 
 
 def architecture(folders: Column, language: Column) -> Column:
     """What a project is by the names of its folders."""
-    has = lambda n: F.array_contains(folders, n)
-    name = F.concat(F.lit(" ("), F.initcap(language), F.lit(")"))
-    return (
-        F.when(has("server"), F.concat(F.lit("Server"), name))
-        .when(has("api") & has("models"), F.concat(F.lit("REST API"), name))
-        .when(has("app") & has("templates"), F.concat(F.lit("Web application"), name))
-        .when(has("cli") | has("cmd"), F.concat(F.lit("CLI application"), name))
-        .when(has("web") | has("static"), F.concat(F.lit("Web application"), name))
-        .when(has("lib") | has("src"), F.concat(F.lit("Library with modular components"), name))
-        .otherwise(F.concat(F.lit("Modular "), F.initcap(language), F.lit(" application")))
-    )
+    title = F.initcap(language)
+    has_all = lambda names: F.size(F.array_except(F.array(*map(F.lit, names)), folders)) == 0
+    shapes = [F.when(has_all(names), F.concat(F.lit(f"{shape} ("), title, F.lit(")"))) for groups, shape in SHAPES for names in groups]
+    return F.coalesce(*shapes, F.concat(F.lit(SHAPELESS[0]), title, F.lit(SHAPELESS[1])))

@@ -6,14 +6,14 @@ import difflib
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import memories as mm
 from lodestone.functions import rules as ru
 from lodestone.functions import scores as sc
+from lodestone.session import cut
 
 
 def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
@@ -39,26 +39,121 @@ def tfidf_pairs(df: DataFrame, id_col: str, terms: Column, within: str, sublinea
     return a.join(b, ["w", "t"]).filter("a < b").groupBy(F.col("w").alias(within), "a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("cosine"))
 
 
+def tfidf_over(df: DataFrame, id_col: str, terms: Column, within: str, floor: float) -> DataFrame:
+    """(within, a, b, cosine) of the pairs a < b of a group whose TF-IDF cosine is over ``floor`` (above 0): all of them.
+
+    With terms from rare to common, a pair's first common term begins all they
+    share; each side's part from there on can add up to no more than its weights
+    times the largest of each term. So a pair over the floor meets in both
+    prefixes, in front of the tail that stays at or below it, and terms that
+    nearly all texts have join nothing.
+    """
+    rows = df.select(F.col(within).alias("w"), F.col(id_col).alias("id"), terms.alias("ts"))
+    tf = rows.select("w", "id", F.explode("ts").alias("t")).groupBy("w", "id", "t").agg(F.count(F.lit(1)).alias("n"))
+    idf = tf.groupBy("w", "t").agg(F.count(F.lit(1)).alias("df"))
+    docs = rows.groupBy("w").agg(F.count_distinct("id").alias("docs"))
+    weight = (1.0 + F.log("n")) * (F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1.0)
+    v = tf.join(idf, ["w", "t"]).join(docs, "w").select("w", "id", "t", "df", weight.alias("x"))
+    norm = v.groupBy("w", "id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    v = cut(v.join(norm, ["w", "id"]).select("w", "id", "t", "df", (F.col("x") / F.col("norm")).alias("x")))
+    most = v.groupBy("w", "t").agg(F.max("x").alias("most"))
+    tail = Window.partitionBy("w", "id").orderBy(F.desc("df"), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    prefix = v.join(most, ["w", "t"]).withColumn("tail", F.sum(F.col("x") * F.col("most")).over(tail)).filter(F.col("tail") > floor).select("w", "id", "t")
+    pairs = prefix.withColumnRenamed("id", "a").join(prefix.withColumnRenamed("id", "b"), ["w", "t"]).filter("a < b").select("w", "a", "b").distinct()
+    xa, xb = v.select("w", F.col("id").alias("a"), "t", F.col("x").alias("xa")), v.select("w", F.col("id").alias("b"), "t", F.col("x").alias("xb"))
+    found = pairs.join(xa, ["w", "a"]).join(xb, ["w", "b", "t"]).groupBy("w", "a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("cosine"))
+    return found.filter(F.col("cosine") > floor).withColumnRenamed("w", within)
+
+
 def greedy_clusters(items: DataFrame, pairs: DataFrame, id_col: str, within: str, over: float = 0.45) -> DataFrame:
-    """(within, id, cluster): in the order of ids, an item not yet taken begins a cluster and takes all that resemble it.
+    """(within, id, cluster): in the order of ids, an item not yet taken begins a cluster and takes all later ones not yet taken that resemble it.
 
-    The order matters, so a group is dealt with in one piece; groups are conversations.
+    By rounds: items all of whose earlier neighbours are taken begin clusters,
+    and what they resemble is taken; so no group is in one piece. An item's
+    cluster is the first of those it resembles, as it was the first to take it.
+    """
+    links = cut(pairs.filter(F.col("cosine") > over).select(F.col(within).alias("w"), "a", "b"))
+    left = cut(items.select(F.col(within).alias("w"), F.col(id_col).alias("id")).distinct())
+    open_, seeds = links, None
+    while not left.isEmpty():
+        waiting = open_.select("w", F.col("b").alias("id")).distinct()
+        new = cut(left.join(waiting, ["w", "id"], "left_anti"))
+        seeds = new if seeds is None else seeds.unionByName(new)
+        taken = open_.join(new.withColumnRenamed("id", "a"), ["w", "a"], "left_semi").select("w", F.col("b").alias("id")).distinct()
+        left = cut(left.join(new, ["w", "id"], "left_anti").join(taken, ["w", "id"], "left_anti"))
+        # Only links between items that are still open keep anything waiting.
+        open_ = cut(open_.join(left.withColumnRenamed("id", "a"), ["w", "a"], "left_semi").join(left.withColumnRenamed("id", "b"), ["w", "b"], "left_semi"))
+    rows = items.select(F.col(within).alias("w"), F.col(id_col).alias("id")).distinct()
+    if seeds is None:
+        return rows.select(F.col("w").alias(within), F.col("id").alias(id_col), F.col("id").alias("cluster"))
+    by = links.join(seeds.withColumnRenamed("id", "a"), ["w", "a"], "left_semi").groupBy("w", F.col("b").alias("id")).agg(F.min("a").alias("first"))
+    own = seeds.withColumn("own", F.lit(True))
+    out = rows.join(own, ["w", "id"], "left").join(by, ["w", "id"], "left")
+    return out.select(F.col("w").alias(within), F.col("id").alias(id_col), F.when(F.col("own"), F.col("id")).otherwise(F.col("first")).alias("cluster"))
+
+
+def linkage(items: DataFrame, pairs: DataFrame, id_col: str, within: str, k: Column) -> DataFrame:
+    """(within, id, cluster): average-linkage clusters of each group, merged until ``k`` (of its size ``n``) are left; named by their first item.
+
+    ``pairs`` (within, a, b, cosine) are alike by their cosine, others not at
+    all. All clusters that are each other's nearest merge at once: what is left
+    of the rest is no nearer than before, so the tree is that of one merge at a
+    time. Of its merges those of the most alike count, of equal ones the
+    earlier; clusters that nothing joins are taken in order. A cluster keeps the
+    sums of its cosines, never its items.
     """
-    near = pairs.filter(F.col("cosine") > over).select(F.col(within).alias("w"), "a", "b")
-    links = near.union(near.select("w", F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("w", "a").agg(F.collect_set("b").alias("near"))
-    rows = items.select(F.col(within).alias("w"), F.col(id_col).alias("a")).join(links, ["w", "a"], "left")
-    kind = items.schema[within].dataType.simpleString(), items.schema[id_col].dataType.simpleString()
-
-    def group(table: pa.Table) -> pa.Table:
-        near_ = {r["a"]: set(r["near"] or ()) for r in table.to_pylist()}
-        owner: dict = {}
-        for i in sorted(near_):
-            if i not in owner:
-                owner |= {j: i for j in near_[i] | {i} if j not in owner}
-        return pa.table({"w": pa.array([table.column("w")[0].as_py()] * len(owner), table.schema.field("w").type), "a": pa.array(list(owner), table.schema.field("a").type), "cluster": pa.array(list(owner.values()), table.schema.field("a").type)})
-
-    out = rows.groupBy("w").applyInArrow(group, f"w {kind[0]}, a {kind[1]}, cluster {kind[1]}")
-    return out.select(F.col("w").alias(within), F.col("a").alias(id_col), "cluster")
+    rows = items.select(F.col(within).alias("w"), F.col(id_col).alias("id")).distinct()
+    sizes = cut(rows.select("w", "id", F.lit(1).cast("long").alias("size")))
+    sums = cut(pairs.filter("a != b").select(F.col(within).alias("w"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("cosine").alias("s")).groupBy("w", "a", "b").agg(F.max("s").alias("s")))
+    merges, turn = None, 0
+    while not sums.isEmpty():
+        both = sums.join(sizes.withColumnsRenamed({"id": "a", "size": "na"}), ["w", "a"]).join(sizes.withColumnsRenamed({"id": "b", "size": "nb"}), ["w", "b"])
+        both = both.select("w", "a", "b", (F.col("s") / (F.col("na") * F.col("nb"))).alias("mean"))
+        ways = both.union(both.select("w", "b", "a", "mean"))
+        nearest = ways.groupBy("w", "a").agg(F.min(F.struct((-F.col("mean")).alias("far"), F.col("b").alias("to"))).alias("m")).select("w", "a", F.col("m.to").alias("b"), (-F.col("m.far")).alias("mean"))
+        back = nearest.select("w", F.col("b").alias("a"), F.col("a").alias("b"))
+        new = cut(nearest.filter("a < b").join(back, ["w", "a", "b"], "left_semi").withColumn("turn", F.lit(turn)))
+        merges, turn = new if merges is None else merges.unionByName(new), turn + 1
+        into = new.select("w", F.col("b").alias("id"), F.col("a").alias("to"))
+        moved = lambda df, c: df.join(into.withColumnRenamed("id", c), ["w", c], "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: E731, B023
+        sizes = cut(moved(sizes, "id").groupBy("w", "id").agg(F.sum("size").alias("size")))
+        sums = moved(moved(sums, "a"), "b").filter("a != b")
+        sums = cut(sums.groupBy("w", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s")))
+    # Clusters that nothing joins merge into the first of them, last of all.
+    order = Window.partitionBy("w").orderBy("id")
+    lone = sizes.select("w", F.first("id").over(order).alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("mean"), (F.lit(turn) + F.row_number().over(order)).alias("turn")).filter("a != b")
+    merges = lone if merges is None else merges.unionByName(lone)
+    n = rows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("k", k)
+    rank = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("mean"), "turn", "a", "b"))
+    kept = merges.withColumn("rank", rank).join(n, "w").filter("rank <= n - k")
+    up = cut(rows.join(kept.select("w", F.col("b").alias("id"), F.col("a").alias("to")), ["w", "id"], "left").select("w", "id", F.coalesce("to", "id").alias("to")))
+    while True:  # each look goes twice as far up
+        step = cut(up.join(up.select("w", F.col("id").alias("to"), F.col("to").alias("top")), ["w", "to"]).select("w", "id", F.col("top").alias("to"), (F.col("top") != F.col("to")).alias("new")))
+        up = step.drop("new")
+        if not step.filter("new").take(1):
+            return up.select(F.col("w").alias(within), F.col("id").alias(id_col), F.col("to").alias("cluster"))
+
+
+# First words and words that make a variant a good one.
+VARIANT_STARTS = (
+    "use", "keep", "avoid", "never", "always", "prefer",
+    "write", "add", "remove", "check", "ensure", "follow",
+    "split", "plan", "test", "log", "handle", "return",
+    "make", "set", "get", "put", "create", "delete",
+    "stop", "start", "limit", "validate", "verify",
+)
+VARIANT_WORDS = ("before", "after", "instead", "when", "always", "never", "must", "should", "limit", "max", "min", "only", "all")
+# End of fixed values.
+
+
+def canonical(items: DataFrame, clusters: DataFrame, id_col: str, within: str, text: str) -> DataFrame:
+    """(within, cluster, canonical, frequency): each cluster's best variant: one that begins with a verb, of 5 to 12 words (else 3 to 15), with many words that tell what to do, short; of equal ones the first."""
+    t = F.trim(F.regexp_replace(text, "\\s+", " "))
+    n = F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
+    length = F.when(n.between(5, 12), 2).when(n.between(3, 15), 1).otherwise(0)
+    telling = sum((F.lower(text).contains(w).cast("int") for w in VARIANT_WORDS), F.lit(0))
+    score = F.struct((~F.lower(F.split(t, " ")[0]).isin(*VARIANT_STARTS)).alias("verb"), (-length).alias("length"), (-telling).alias("telling"), F.length(text).alias("long"), F.col(id_col).alias("first"))
+    return items.join(clusters, [within, id_col]).groupBy(within, "cluster").agg(F.min_by(text, score).alias("canonical"), F.count(F.lit(1)).alias("frequency"))
 
 
 def average_linkage(distance: np.ndarray, k: int) -> np.ndarray:

@@ -81,7 +81,7 @@ def hydration(spark, d):
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS r, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), w AS (SELECT doc_id, n, r, concat_ws(chr(10), lag(r) OVER o, r, lead(r) OVER o) AS snippet FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY n)),
 h AS (SELECT doc_id, 'long' AS rule, n, snippet FROM w WHERE regexp_matches(r, '^.{400}') UNION ALL SELECT doc_id, 'mark', n, snippet FROM w WHERE regexp_matches(r, '[#%]')) SELECT doc_id, rule, n::INT AS line, snippet FROM h ORDER BY doc_id, n, rule LIMIT 30""")
 def pattern_violations(spark, d):
-    """[C3, Q8, P4-P6, P13] Lines that break a rule, with the lines around; a report of the first thirty."""
+    """[C3, Q8] Lines that break a rule, with the lines around; a report of the first thirty."""
     return ci.violations(table(spark, d, "documents"), {"long": "^.{400}", "mark": "[#%]"}, "doc_id", "text", 30)
 
 
@@ -97,7 +97,7 @@ def behavior_search(spark, d):
 v AS (SELECT conv_id, turn, t, (1e0 + ln(n)) * (ln((1e0 + docs) / (1e0 + df)) + 1e0) AS x FROM t JOIN f USING (conv_id, t) JOIN d USING (conv_id)), m AS (SELECT conv_id, turn, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL), z AS (SELECT conv_id, turn, t, x / norm AS x FROM v JOIN m USING (conv_id, turn))
 SELECT a.conv_id, a.turn AS a, b.turn AS b, round(sum(a.x * b.x), 6) AS cosine FROM z a JOIN z b ON a.conv_id = b.conv_id AND a.t = b.t AND a.turn < b.turn GROUP BY ALL""")
 def tfidf_similarity(spark, d):
-    """[R18-R20, L6, J28] TF-IDF cosines of the turns of a conversation."""
+    """[R19, R20, J28] TF-IDF cosines of the turns of a conversation."""
     from lodestone.functions.text import tokens
 
     u = table(spark, d, "conversations").filter("role = 'user'")
@@ -106,6 +106,6 @@ def tfidf_similarity(spark, d):
 
 @query("SELECT lang, count(*)::BIGINT AS files, count(*) FILTER (regexp_matches(text, '(?i)license'))::BIGINT AS licensed, CASE WHEN count(*) FILTER (regexp_matches(text, '(?i)token')) * 100 > count(*) THEN 'service' ELSE 'library' END AS kind FROM documents GROUP BY 1")
 def project_summary(spark, d):
-    """[C9, Q18, A30, L14, Q31] Languages, and what their texts mention."""
+    """[C9, A30] Languages, and what their texts mention."""
     t = F.col("text")
     return table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.count_if(t.rlike("(?i)license")).alias("licensed"), F.when(F.count_if(t.rlike("(?i)token")) * 100 > F.count(F.lit(1)), "service").otherwise("library").alias("kind"))

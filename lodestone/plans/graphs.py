@@ -48,7 +48,7 @@ def hierarchy_descendants(spark, d):
 @query(f"""WITH RECURSIVE {RING}, p(first, last, path) AS (SELECT src, dst, [src, dst] FROM e WHERE src < dst UNION ALL SELECT first, dst, list_append(path, dst) FROM p JOIN e ON last = src WHERE dst > first AND NOT list_contains(path, dst) AND len(path) < 4)
 SELECT array_to_string(path, '>') AS path, len(path)::INT AS length FROM p JOIN e ON last = src AND dst = first""")
 def cycle_detect(spark, d):
-    """[G8-G10, Q12, Q24, J30] Simple cycles of up to four nodes."""
+    """[G9, Q12, Q24, J30] Simple cycles of up to four nodes."""
     return gr.cycles(_ring(spark, d), 4).select(F.array_join("path", ">").alias("path"), "length")
 
 

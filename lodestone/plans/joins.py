@@ -119,7 +119,7 @@ def conflicting_keys(spark, d):
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id % 7 NOT IN (1, 2) UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 7 = 1")
 def incremental_merge(spark, d):
-    """[Z4, Z6, S7, S22, U2] Old rows but for replaced and deleted ones, and the new rows."""
+    """[S22, U2] Old rows but for replaced and deleted ones, and the new rows."""
     docs = table(spark, d, "documents").select("doc_id", "lang")
     new = docs.filter("doc_id % 7 = 1").withColumn("lang", F.lit("new"))
     return rel.merge(docs, new, "doc_id", new, docs.filter("doc_id % 7 = 2"))
@@ -136,7 +136,7 @@ def _user_words(spark, d):
 
 @query(f"WITH {WORDS} SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.ws, b.ws))::DOUBLE / len(list_distinct(list_concat(a.ws, b.ws))), 9) AS similarity FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.id < b.id WHERE len(a.ws) > 0 AND len(b.ws) > 0 AND len(list_intersect(a.ws, b.ws))::DOUBLE / len(list_distinct(list_concat(a.ws, b.ws))) > 5e-2")
 def similar_turns(spark, d):
-    """[W8, J28, L4, R21] User turns of a conversation that resemble each other."""
+    """[W8, J28, L4] User turns of a conversation that resemble each other."""
     return rel.similar_pairs(_user_words(spark, d), "id", F.col("ws"), 0.05, "conv_id").withColumn("similarity", F.round("similarity", 9))
 
 

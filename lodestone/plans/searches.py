@@ -55,7 +55,7 @@ def bm25_all_terms(spark, d):
 
 @query(f"WITH {COSINE} SELECT vec_id, round(s, 5) AS score FROM v WHERE s >= 2e-1 ORDER BY s DESC, vec_id LIMIT 10")
 def cosine_topk(spark, d):
-    """[R3, R4, T3, T4, F11, S17, Q62] Nearest vectors by cosine, at least 0.2."""
+    """[R3, T3, T4, F11] Nearest vectors by cosine, at least 0.2."""
     e = table(spark, d, "embeddings")
     first = e.orderBy("vec_id").select("embedding").first()[0]
     return search.cosine_topk(e, first, 10, 0.2).select("vec_id", F.round("score", 5).alias("score"))
@@ -120,6 +120,6 @@ def snippets(spark, d):
 @query("""SELECT DISTINCT p_name || s AS q, CASE WHEN regexp_matches(p_name || s, '[^A-Za-z0-9_\\s]') AND NOT regexp_matches(p_name || s, '\\b(?:AND|OR|NOT)\\b') THEN '"' || replace(p_name || s, '"', '""') || '"' ELSE p_name || s END AS escaped FROM part, (VALUES (''), ('.x'), (' AND y.z'), ('"q"')) v(s)""")
 def escaped_queries(spark, d):
     """[X2] Queries made safe for a full-text engine."""
-    s = spark.createDataFrame([("",), (".x",), (" AND y.z",), ('"q"',)], "s string")
-    q = table(spark, d, "part").select("p_name").distinct().join(F.broadcast(s)).select(F.concat("p_name", "s").alias("q"))
+    ends = F.explode(F.array(*map(F.lit, ("", ".x", " AND y.z", '"q"'))))
+    q = table(spark, d, "part").select("p_name").distinct().withColumn("s", ends).select(F.concat("p_name", "s").alias("q"))
     return q.distinct().select("q", tx.escape_query(F.col("q")).alias("escaped"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.rollups import Rollup
 from lodestone.plans.base import query
 from lodestone.session import shared_dir, table
 from lodestone.streaming import changes
@@ -51,3 +52,17 @@ def streamed_latest(spark, d):
     rows = _streamed(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"))
     rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return merge.read(spark).select("user_id", "at.event_id", "at.ts")
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, round(sum(value), 2) AS total, min(value) AS least, max(value) AS most, max(ts) AS last_ts, count(DISTINCT user_id)::BIGINT > 0 AS used FROM events GROUP BY 1")
+def streamed_totals(spark, d):
+    """[A15, A14] Totals by kind of event, kept by partial states a batch that reading merges: first the events before the middle of a month, then a stream of the others."""
+    rollup = Rollup(spark, f"{shared_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}", ["event_type"], ["value", "ts"], "user_id")
+    columns = ["event_type", "value", "ts", "user_id"]
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    rollup.add(table(spark, d, "events").filter(early).select(*columns).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp"))), 0)
+    rest = _streamed(spark, d, "events").filter(~early).select(*columns).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
+    state = f"{shared_dir(spark).rstrip('/')}/stream-rollup-{uuid.uuid4().hex}"
+    rest.writeStream.foreachBatch(lambda batch, number: rollup.add(batch, number + 1)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    got = rollup.read()
+    return got.select("event_type", "n", F.round("value_sum", 2).alias("total"), F.col("value_least").alias("least"), F.col("value_most").alias("most"), F.timestamp_micros("ts_most").cast("timestamp_ntz").alias("last_ts"), (F.col("kinds") > 0).alias("used"))

@@ -105,7 +105,7 @@ def dynamic_filter(spark, d):
 
 @query("SELECT p_partkey FROM part WHERE NOT (p_name LIKE 'small%' OR p_brand IN ('Brand#1', 'Brand#2')) AND length(p_name) <= 12")
 def noise_filter(spark, d):
-    """[F15, F17-F21, S3] Rows without what is to be left out."""
+    """[F18, S3] Rows without what is to be left out."""
     return table(spark, d, "part").filter(~(F.col("p_name").rlike("^small") | F.col("p_brand").isin("Brand#1", "Brand#2")) & (F.length("p_name") <= 12)).select("p_partkey")
 
 

@@ -17,7 +17,7 @@ def cache_stats(spark, d):
 
 @query("SELECT user_id, round(sum(value), 4) AS total FROM events GROUP BY 1 HAVING count(*) >= 5 ORDER BY round(sum(value), 4) DESC, user_id LIMIT 20")
 def hot_items(spark, d):
-    """[A10, A22, A30, T7, Z9] The twenty most used."""
+    """[A10, A22, A30, T7] The twenty most used."""
     g = table(spark, d, "events").groupBy("user_id").agg(F.round(F.sum("value"), 4).alias("total"), F.count(F.lit(1)).alias("n"))
     return g.filter("n >= 5").orderBy(F.desc("total"), "user_id").limit(20).select("user_id", "total")
 
@@ -44,7 +44,7 @@ def command_bigrams(spark, d):
 @query("""WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 3600000000 THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*)::BIGINT AS events FROM s GROUP BY user_id, s""")
 def idle_sessions(spark, d):
-    """[W16, Z1, Z2, L19] Sessions that an hour of rest ends."""
+    """[W16, L19] Sessions that an hour of rest ends."""
     return win.sessions(table(spark, d, "events"), "user_id", "ts", 3600)
 
 
