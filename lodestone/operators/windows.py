@@ -84,12 +84,30 @@ def turn_pairs(turns: DataFrame, key: str = "conv_id", order: str = "turn", role
     return rows.select(key, F.col(order).alias("user_turn"), F.col("_a.t").alias("assistant_turn"), F.col(text).alias("user_text"), F.col("_a.x").alias("assistant_text"))
 
 
-def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
-    """Runs of a key's events with gaps under ``gap_seconds``: (key, start, end, events)."""
-    w = Window.partitionBy(key).orderBy(ts)
-    new = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp")) >= gap_seconds * 1_000_000, F.lit(True))
-    rows = events.withColumn("_new", new.cast("int")).withColumn("_s", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(key, "_s").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("events")).drop("_s")
+def sessions(events: DataFrame, key: str, ts: str, gap_seconds: int, width: int = 86_400) -> DataFrame:
+    """Runs of a key's events with gaps under ``gap_seconds``: (key, start, end, events); rows without a time are no part of any.
+
+    A key's events are ordered a slice of ``width`` seconds at a time, so no task
+    has all of a hot key; what a slice leaves, its last time and the start of its
+    last session, goes on to the next by a row a key and slice.
+    """
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    rows = events.filter(F.col(ts).isNotNull()).select(F.col(key).alias("k"), F.col(ts).alias("t"), F.floor(micros(F.col(ts)) / (width * 1_000_000)).alias("slice"))
+    inside, along = Window.partitionBy("k", "slice").orderBy("t"), Window.partitionBy("k").orderBy("slice")
+
+    def joined(df: DataFrame, small: DataFrame, name: str) -> DataFrame:
+        right = small.select(F.col("k").alias("_k"), F.col("slice").alias("_s"), name)
+        return df.join(right, F.col("k").eqNullSafe(F.col("_k")) & (F.col("slice") == F.col("_s")), "left").drop("_k", "_s")
+
+    before = rows.groupBy("k", "slice").agg(F.max("t").alias("last")).withColumn("before", F.lag("last").over(along))
+    rows = joined(rows, before, "before").withColumn("before", F.coalesce(F.lag("t").over(inside), "before"))
+    begins = F.coalesce(micros(F.col("t")) - micros(F.col("before")) >= gap_seconds * 1_000_000, F.lit(True))
+    rows = rows.select("k", "t", "slice", F.when(begins, F.col("t")).alias("start"))
+    left = rows.groupBy("k", "slice").agg(F.max("start").alias("start")).withColumn("carried", F.last("start", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    # Of equally late rows the one that begins a session comes first.
+    ordered = Window.partitionBy("k", "slice").orderBy("t", F.asc_nulls_last("start")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = joined(rows, left, "carried").withColumn("start", F.coalesce(F.last("start", ignorenulls=True).over(ordered), "carried"))
+    return rows.groupBy("k", "start").agg(F.max("t").alias("end"), F.count(F.lit(1)).alias("events")).select(F.col("k").alias(key), "start", "end", "events")
 
 
 def follows(events: DataFrame, key: str, value: str, first: str, *order: str) -> DataFrame:
