@@ -190,3 +190,11 @@ def call_edges(calls_: DataFrame, symbols_: DataFrame) -> DataFrame:
     inner = symbols_.filter(F.col("type").isin("function", "method")).select("path", F.col("name").alias("src"), "start_line", "end_line")
     hit = containing(calls_, inner, "path", "line", "start_line", "end_line")
     return hit.groupBy("path", "line", F.col("callee").alias("dst")).agg(F.min_by("src", F.struct(F.col("end_line") - F.col("start_line"), "src")).alias("src"))
+
+
+def commit_log(spark: SparkSession, path: str, since: str | None = None, most: int | None = None) -> DataFrame:
+    """(hash, at, subject) of exported logs at ``path``, lines ``hash|time|subject``: those from ``since`` on, the newest ``most`` of them, ties by hash. Other lines are left out."""
+    part = F.split("value", "\\|", 3)
+    rows = spark.read.text(path).filter(F.size(part) == 3).select(part[0].alias("hash"), part[1].try_cast("timestamp_ntz").alias("at"), part[2].alias("subject")).filter("at is not null")
+    rows = rows if since is None else rows.filter(F.col("at") >= F.lit(since).cast("timestamp_ntz"))
+    return rows if most is None else rows.orderBy(F.desc("at"), "hash").limit(most)
