@@ -68,3 +68,34 @@ def homonym_score(path: Column, name: Column, here: Column) -> Column:
         + F.when(F.lower(stem(path)) == F.lower(name), 30).otherwise(0)
         + F.when(path.rlike("(?:^|/)(?:src|lib|pkg|internal)/"), 20).otherwise(0)
     )
+
+
+#: How names of working notes end, folders that are not watched, suffixes that are, and the largest file.
+NOTE_SUFFIXES = ("-GUIDE.md", "-WORKFLOWS.md", "-HANDOFF.md", "-LEADERSHIP.md", "-VPS-OPS.md", "-ARCHITECTURE.md", "-COMMANDS.md", "-DEVELOPMENT.md")
+UNWATCHED = ("__pycache__", "node_modules", ".venv", "venv", "env", "build", "dist", ".git", ".idea", ".vscode", "site-packages")
+WATCHED = ("py", "ts", "js", "go")
+LARGEST = 1 << 20
+
+
+def is_working_note(path: Column, names: tuple[str, ...] = ("HANDOFF.md", "PROJECT-GUIDE.md")) -> Column:
+    """Markdown that is indexed: of these ``names``, of a phase, or by how its name ends."""
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    ends = F.lit(False)
+    for suffix in NOTE_SUFFIXES:
+        ends = ends | name.endswith(suffix)
+    return name.isin(*names) | F.upper(name).rlike("^PHASE[-_]") | ends
+
+
+def is_watched(path: Column, unwatched: tuple[str, ...] = UNWATCHED) -> Column:
+    """A source file in some folder, none of whose folders but the first is left out."""
+    inside = "/(?:" + "|".join(n.replace(".", "\\.") for n in unwatched) + ")/"
+    return path.rlike("/[^/]*\\.(?:" + "|".join(WATCHED) + ")$") & ~path.rlike(inside)
+
+
+def is_small(size: Column, largest: int = LARGEST) -> Column:
+    return size <= largest
+
+
+def is_private(name: Column) -> Column:
+    """One underscore in front, not two."""
+    return name.rlike("^_(?!_)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import zipfile
 from pathlib import Path
 
@@ -61,17 +62,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+_SHIPPING = threading.Lock()
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers, wherever they run; once per application."""
+    """Gives this package to the Python workers, wherever they run; once per application, whichever thread asks first."""
     app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f"lodestone/{f.relative_to(root)}")
-    spark.sparkContext.addPyFile(str(path))
-    _SHIPPED.add(app)
+    with _SHIPPING:
+        if app in _SHIPPED:
+            return
+        root = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f"lodestone/{f.relative_to(root)}")
+        spark.sparkContext.addPyFile(str(path))
+        _SHIPPED.add(app)
