@@ -102,10 +102,19 @@ def _holds(tree, names: dict[Leaf, str]) -> Column:
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, id, words, places): where in a document a term stands, from 0; null ids have none."""
+    """(term, id, words, places): where in a document a term stands, from 0; null ids have none.
+
+    A document's words are sorted and cut where the term changes within its row,
+    so that places are gathered without a shuffle.
+    """
     toks = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    rows = toks.select("id", F.size("t").alias("words"), F.posexplode("t").alias("place", "term"))
-    return rows.groupBy("term", "id", "words").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    pairs = F.sort_array(F.transform("t", lambda x, i: F.struct(x.alias("term"), i.alias("place"))))
+    rows = toks.select("id", F.size("t").alias("words"), pairs.alias("s")).filter("words > 0")
+    first = lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"])
+    rows = rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.col("words") - 1), first))
+    run = lambda at, j: F.slice("s", at + 1, F.coalesce(F.get("starts", j + 1), F.col("words")) - at)
+    found = F.transform("starts", lambda at, j: F.struct(F.get("s", at)["term"].alias("term"), F.transform(run(at, j), lambda x: x["place"]).alias("places")))
+    return rows.select("id", "words", F.explode(found).alias("p")).select("p.term", "id", "words", "p.places")
 
 
 class Segments:
