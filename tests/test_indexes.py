@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 
 from lodestone.operators.pivots import PivotIndex
-from lodestone.operators.segments import And, Not, Or, Phrase, Prefix, Segments, Term
+from lodestone.operators.segments import And, Not, Or, Phrase, Prefix, Segments, Term, postings
 from lodestone.streaming import changes
 
 WORDS = "red green blue Fox fox_1 hen the of and river".split()
@@ -118,3 +118,11 @@ def test_streamed_table_keeps_the_latest_over_batches(spark, tmp_path):
     feed = spark.readStream.schema("k long, at long, v string").option("maxFilesPerTrigger", 1).parquet(folder)
     feed.writeStream.foreachBatch(merge).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert {r.k: r.at for r in merge.read(spark).collect()} == {k: max(a for kk, a, _ in rows if kk == k) for k in range(7)}
+
+
+def test_postings_of_long_empty_and_null_texts(spark):
+    words = [f"w{i % 700}" for i in range(9000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, ""), (3, None), (None, "a b"), (4, "the The the x")], "doc_id long, text string")
+    got = {(r.id, r.term): (r.words, r.places) for r in postings(docs, "doc_id", "text").collect()}
+    want = {(1, w): (9000, [i for i in range(9000) if words[i] == w]) for w in set(words)}
+    assert got == want | {(4, "the"): (4, [0, 1, 2]), (4, "x"): (4, [3])}
