@@ -42,7 +42,7 @@ def pattern_examples(spark, d):
 
 def _imports(spark, d):
     """(edges between files, symbols)"""
-    _, symbols, imports, _, _ = _facts(spark, d)
+    _, symbols, imports = _facts(spark, d, "symbols", "imports")
     edges = graph.import_edges(_links(imports, symbols))
     k = F.regexp_extract("src", "m(\\d+)\\.py$", 1).cast("long")
     # Every tenth file also imports the one that imports it.
@@ -84,5 +84,5 @@ def style_fixes(spark, d):
 @query(f"WITH {PY}, {LINKS} SELECT i.importer, count(*)::BIGINT AS names, count(i.path)::BIGINT AS resolved, count(DISTINCT i.path)::BIGINT AS files FROM i GROUP BY 1")
 def import_report(spark, d):
     """[A3] How many names a file imports, how many of them are found, and in how many files."""
-    _, symbols, imports, _, _ = _facts(spark, d)
+    _, symbols, imports = _facts(spark, d, "symbols", "imports")
     return _links(imports, symbols).groupBy("importer").agg(F.count(F.lit(1)).alias("names"), F.count("path").alias("resolved"), F.count_distinct("path").alias("files"))
