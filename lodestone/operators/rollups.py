@@ -40,7 +40,9 @@ class Rollup:
             return
         aggs = [F.count(F.lit(1)).alias("n")]
         for v in self.values:
-            aggs += [F.sum(v).alias(f"{v}_sum"), F.min(v).alias(f"{v}_least"), F.max(v).alias(f"{v}_most")]
+            # Sums of whole numbers may be over 64 bits, as those of a few thousand times in microseconds are.
+            whole = batch.schema[v].dataType.typeName() in ("byte", "short", "integer", "long")
+            aggs += [F.sum(F.col(v).cast("decimal(28,0)") if whole else v).alias(f"{v}_sum"), F.min(v).alias(f"{v}_least"), F.max(v).alias(f"{v}_most")]
         if self.distinct:
             aggs.append(F.hll_sketch_agg(self.distinct).alias("sketch"))
         state["batches"][str(number)] = self._write(batch.groupBy(*self.keys).agg(*aggs))
@@ -55,7 +57,8 @@ class Rollup:
         rows = self.spark.read.parquet(*[f"{self.folder}/{n}" for n in sorted(names)])
         aggs = [F.sum("n").alias("n")]
         for v in self.values:
-            aggs += [F.sum(f"{v}_sum").alias(f"{v}_sum"), F.min(f"{v}_least").alias(f"{v}_least"), F.max(f"{v}_most").alias(f"{v}_most")]
+            kind = rows.schema[f"{v}_sum"].dataType  # merging keeps the kind, or merged states would not be read beside others
+            aggs += [F.sum(f"{v}_sum").cast(kind).alias(f"{v}_sum"), F.min(f"{v}_least").alias(f"{v}_least"), F.max(f"{v}_most").alias(f"{v}_most")]
         if self.distinct:
             aggs.append(F.hll_union_agg("sketch").alias("sketch"))
         return rows.groupBy(*self.keys).agg(*aggs)

@@ -76,3 +76,10 @@ def test_average_linkage_by_rounds(spark):
                 _, i, j = min((-mean(x, y), i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if i < j)
                 groups[i] += groups.pop(j)
             assert {i: got[g, i] for i in range(n)} == {i: min(x) for x in groups for i in x}, (g, k)
+
+
+def test_sums_over_64_bits(spark, tmp_path):
+    rollup, big = Rollup(spark, f"{tmp_path}/r", ["k"], ["v"]), 1 << 61
+    for number in range(20):  # merged twice on the way
+        rollup.add(spark.createDataFrame([("a", big)] * 5, "k string, v long"), number)
+    assert [(r.n, int(r.v_sum), r.v_most) for r in rollup.read().collect()] == [(100, 100 * big, big)]
