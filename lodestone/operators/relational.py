@@ -57,13 +57,24 @@ def similar_pairs(df: DataFrame, id_col: str, terms: Column, floor: float, withi
     return pairs.select("a", "b", sim.alias("similarity")).filter(F.col("similarity") > floor)
 
 
-def contradictions(df: DataFrame, id_col: str, text_col: str, words: Column, positive: list[str], negative: list[str], within: str) -> DataFrame:
-    """(a, b) of texts of one ``within`` that share a word, one with a positive and the other with a negative marker (substrings, lower-cased)."""
+def contradictions(df: DataFrame, id_col: str, text_col: str, words: Column, positive: list[str], negative: list[str], within: str | None = None, parts: int = 16) -> DataFrame:
+    """(a, b) of texts (of one ``within``, if that is given) that share a word, one with a positive and the other with a negative marker (substrings, lower-cased); ids are whole numbers.
+
+    A word's texts are bits of words of 64, so that two texts meet once however
+    many words they share; a word's texts are dealt into ``parts``, so that
+    those of a frequent one are not met in one task.
+    """
     low = F.lower(text_col)
     has = lambda marks: reduce(lambda x, y: x | y, [low.contains(m) for m in marks])
-    rows = df.select(F.col(id_col).alias("id"), has(positive).alias("p"), has(negative).alias("n"), F.col(within).alias("k"), F.explode(words).alias("w")).filter("p or n")
-    a, b = (rows.select(F.col("id").alias(x), F.col("p").alias(f"p{x}"), F.col("n").alias(f"n{x}"), "k", "w") for x in "ab")
-    return a.join(b, ["k", "w"]).filter("a < b and ((pa and nb) or (na and pb))").select("a", "b").distinct()
+    rows = df.select(F.col(id_col).cast("long").alias("id"), has(positive).alias("p"), has(negative).alias("n"), (F.col(within) if within else F.lit(0)).alias("k"), F.explode(words).alias("w")).filter("p or n")
+    block, bit = F.floor(F.col("id") / 64), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("id", F.lit(64)).cast("int"))
+    theirs = rows.groupBy("k", "w", block.alias("block")).agg(F.bit_or(F.when(F.col("p"), bit)).alias("pb"), F.bit_or(F.when(F.col("n"), bit)).alias("nb"))
+    theirs = theirs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    mine = rows.select("id", "p", "n", "k", "w", block.alias("own"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
+    met = mine.join(theirs.hint("merge"), ["k", "w", "part"]).filter("block >= own").groupBy("id", "block").agg(F.bit_or(F.when(F.col("p"), F.col("nb"))).alias("x"), F.bit_or(F.when(F.col("n"), F.col("pb"))).alias("y"))
+    bits = F.coalesce("x", F.lit(0)).bitwiseOR(F.coalesce("y", F.lit(0)))
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.bit_get(bits, i) == 1)
+    return met.select(F.col("id").alias("a"), "block", F.explode(places).alias("i")).select("a", (F.col("block") * 64 + F.col("i")).alias("b")).filter("a < b")
 
 
 def priority_first(parts: list[DataFrame], keys: list[str], order: str) -> DataFrame:

@@ -140,10 +140,10 @@ def similar_turns(spark, d):
     return rel.similar_pairs(_user_words(spark, d), "id", F.col("ws"), 0.05, "conv_id").withColumn("similarity", F.round("similarity", 9))
 
 
-@query(f"WITH {WORDS}, x AS (SELECT conv_id, id, t LIKE '%the%' OR t LIKE '%do%' AS p, t LIKE '%not%' OR t LIKE '%nin%' AS n, unnest(ws) AS k FROM w) SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b ON a.conv_id = b.conv_id AND a.k = b.k AND a.id < b.id WHERE (a.p AND b.n) OR (a.n AND b.p)")
+@query(f"WITH {WORDS}, x AS (SELECT id, t LIKE '%the%' OR t LIKE '%do%' AS p, t LIKE '%not%' OR t LIKE '%nin%' AS n, unnest(ws) AS k FROM w) SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b ON a.k = b.k AND a.id < b.id WHERE (a.p AND b.n) OR (a.n AND b.p)")
 def pairwise_contradiction(spark, d):
-    """[J27, X5, X16, L15] Turns of a conversation about the same thing with opposite markers."""
-    return rel.contradictions(_user_words(spark, d), "id", "text", F.col("ws"), ["the", "do"], ["not", "nin"], "conv_id")
+    """[J27, X5, X16, L15] Turns about the same thing with opposite markers, of all conversations."""
+    return rel.contradictions(_user_words(spark, d), "id", "text", F.col("ws"), ["the", "do"], ["not", "nin"])
 
 
 @query("""WITH a AS (SELECT l_orderkey k, 0 AS s, l_suppkey AS v FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT l_orderkey k, 1 AS s, l_suppkey AS v FROM lineitem WHERE l_returnflag = 'A'), c AS (SELECT o_orderkey k, 2 AS s, -1 AS v FROM orders)

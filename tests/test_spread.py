@@ -1,10 +1,13 @@
 """Queries that make much of a small table: the work is dealt out, and no join gathers on the driver what Spark takes for a few bytes."""
 
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.functions import parsing
+from lodestone.operators import relational
 from lodestone.plans import project
 from lodestone.sources import code
 
@@ -34,3 +37,20 @@ def test_definitions_in_nested_statements():
     text = "if a:\n    class A(B):\n        def f(self): pass\nelse:\n    try:\n        pass\n    except E:\n        class C(D.E): pass\nmatch x:\n    case 1:\n        def g():\n            '''doc'''\n"
     assert sorted(parsing.bases("a.py", text)) == [("A", "B", 0), ("C", "D.E", 0)]
     assert sorted(parsing.documented(text)) == [("f", False, False), ("g", True, False)]
+
+
+def test_contradictions_of_all_texts(spark):
+    rng = random.Random(7)
+    texts = [(i * 37 - 900, i % 5, " ".join(rng.choice(["the", "not", "tree", "leaf", "do", "root", "nine"]) for _ in range(rng.randrange(1, 4)))) for i in range(150)] + [(9001, 0, None), (9002, 0, "")]
+    df = spark.createDataFrame(texts, "id long, g int, text string").repartition(3)
+    for within in (None, "g"):
+        got = sorted((r.a, r.b) for r in relational.contradictions(df, "id", "text", F.split("text", " "), ["the", "do"], ["not", "nin"], within).collect())
+        has = lambda t, marks: any(m in t for m in marks)
+        good = [(i, g, set(t.split(" ")), has(t, ["the", "do"]), has(t, ["not", "nin"])) for i, g, t in texts if t]
+        assert got == sorted((i, j) for i, g, s, p, n in good for j, h, u, q, m in good if i < j and s & u and (p and m or n and q) and (within is None or g == h))
+    # Pairs of two conversations count in the query too.
+    import __spark_entry__ as entry
+
+    if os.path.isdir(DATA):
+        pairs = entry.queries()["pairwise_contradiction"](spark, DATA)
+        assert pairs.filter("a div 100 != b div 100").count() > 0
