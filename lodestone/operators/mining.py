@@ -13,14 +13,15 @@ from pyspark.sql import types as T
 from lodestone.functions import memories as mm
 from lodestone.functions import rules as ru
 from lodestone.functions import scores as sc
-from lodestone.session import cut
+from lodestone.session import cut, dealt
 
 
 def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     """All character n-grams of each length, repeats included."""
-    t = F.lower(text)
-    part = lambda n: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n))).otherwise(F.array().cast("array<string>"))
-    return F.concat(*[part(n) for n in range(low, high + 1)])
+    # The characters are told apart once a text: what a lambda only mentions is worked out anew for every element.
+    chars = F.filter(F.split(F.lower(text), ""), lambda c: c != "")
+    part = lambda cs, n: F.when(F.size(cs) >= n, F.transform(F.sequence(F.lit(1), F.size(cs) - n + 1), lambda i: F.array_join(F.slice(cs, i, n), ""))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.array(chars), lambda cs: F.concat(*[part(cs, n) for n in range(low, high + 1)]))[0]
 
 
 def tfidf_pairs(df: DataFrame, id_col: str, terms: Column, within: str, sublinear: bool = True) -> DataFrame:
@@ -39,6 +40,15 @@ def tfidf_pairs(df: DataFrame, id_col: str, terms: Column, within: str, sublinea
     return a.join(b, ["w", "t"]).filter("a < b").groupBy(F.col("w").alias(within), "a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("cosine"))
 
 
+def counted(df: DataFrame, id_col: str, terms: Column, within: str) -> DataFrame:
+    """(w, id, docs, t, n): how often each term is in each text of a group, and how many texts the group has."""
+    docs = df.groupBy(within).agg(F.count_distinct(id_col).alias("docs"))
+    # A text's terms are counted where its row is; a table of few bytes would be cut into terms by few tasks.
+    rows = dealt(df.join(docs.hint("merge"), within), within, id_col).select(F.col(within).alias("w"), F.col(id_col).alias("id"), "docs", terms.alias("ts"))
+    # Outer: before a plain explode Spark puts a filter on the array, down where the table is read, and makes all terms there as well.
+    return rows.select("w", "id", "docs", F.explode_outer("ts").alias("t")).filter("t is not null").groupBy("w", "id", "docs", "t").agg(F.count(F.lit(1)).alias("n"))
+
+
 def tfidf_over(df: DataFrame, id_col: str, terms: Column, within: str, floor: float) -> DataFrame:
     """(within, a, b, cosine) of the pairs a < b of a group whose TF-IDF cosine is over ``floor`` (above 0): all of them.
 
@@ -48,23 +58,33 @@ def tfidf_over(df: DataFrame, id_col: str, terms: Column, within: str, floor: fl
     prefixes, in front of the tail that stays at or below it, and terms that
     nearly all texts have join nothing.
     """
-    rows = df.select(F.col(within).alias("w"), F.col(id_col).alias("id"), terms.alias("ts"))
-    tf = rows.select("w", "id", F.explode("ts").alias("t")).groupBy("w", "id", "t").agg(F.count(F.lit(1)).alias("n"))
-    idf = tf.groupBy("w", "t").agg(F.count(F.lit(1)).alias("df"))
-    docs = rows.groupBy("w").agg(F.count_distinct("id").alias("docs"))
+    tf = counted(df, id_col, terms, within)
+    met = Window.partitionBy("w", "t")
     weight = (1.0 + F.log("n")) * (F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1.0)
-    v = tf.join(idf, ["w", "t"]).join(docs, "w").select("w", "id", "t", "df", weight.alias("x"))
-    norm = v.groupBy("w", "id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    v = cut(v.join(norm, ["w", "id"]).select("w", "id", "t", "df", (F.col("x") / F.col("norm")).alias("x")))
-    most = v.groupBy("w", "t").agg(F.max("x").alias("most"))
+    v = tf.withColumn("df", F.count(F.lit(1)).over(met)).select("w", "id", "t", "df", weight.alias("x"))
+    # A term of one text makes its vector longer and meets nothing.
+    shared = F.collect_list(F.when(F.col("df") > 1, F.struct("t", "df", "x")))
+    vectors = v.groupBy("w", "id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), shared.alias("s"))
+    vectors = cut(vectors.filter(F.size("s") > 0).select("w", "id", F.transform("s", lambda c: F.struct(c["t"].alias("t"), c["df"].alias("df"), (c["x"] / F.col("norm")).alias("x"))).alias("s")))
+    each = vectors.select("w", "id", F.inline("s")).withColumn("most", F.max("x").over(met))
     tail = Window.partitionBy("w", "id").orderBy(F.desc("df"), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    prefix = v.join(most, ["w", "t"]).withColumn("tail", F.sum(F.col("x") * F.col("most")).over(tail)).filter(F.col("tail") > floor).select("w", "id", "t")
-    pairs = prefix.withColumnRenamed("id", "a").join(prefix.withColumnRenamed("id", "b"), ["w", "t"]).filter("a < b").select("w", "a", "b").distinct()
-    xa, xb = v.select("w", F.col("id").alias("a"), "t", F.col("x").alias("xa")), v.select("w", F.col("id").alias("b"), "t", F.col("x").alias("xb"))
-    found = pairs.join(xa, ["w", "a"]).join(xb, ["w", "b", "t"]).groupBy("w", "a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("cosine"))
+    prefix = each.withColumn("tail", F.sum(F.col("x") * F.col("most")).over(tail)).filter(F.col("tail") > floor).select("w", "id", "t")
+    pairs = prefix.withColumnRenamed("id", "a").hint("merge").join(prefix.withColumnRenamed("id", "b"), ["w", "t"]).filter("a < b").select("w", "a", "b").distinct()
+    side = lambda c: vectors.select("w", F.col("id").alias(c), F.col("s.t").alias(f"t{c}"), F.col("s.x").alias(f"x{c}")).hint("merge")
+    found = pairs.join(side("a"), ["w", "a"]).join(side("b"), ["w", "b"]).select("w", "a", "b", dot("ta", "xa", "tb", "xb").alias("cosine"))
     return found.filter(F.col("cosine") > floor).withColumnRenamed("w", within)
 
 
+@F.pandas_udf(T.DoubleType())
+def dot(ta: pd.Series, xa: pd.Series, tb: pd.Series, xb: pd.Series) -> pd.Series:
+    """Inner products of sparse vectors, each by its terms and their weights."""
+    out = []
+    for a, x, b, y in zip(ta, xa, tb, xb, strict=True):
+        theirs = dict(zip(b, y, strict=True))
+        out.append(float(sum(u * theirs[t] for t, u in zip(a, x, strict=True) if t in theirs)))
+    return pd.Series(out, dtype="float64")
+
+
 def greedy_clusters(items: DataFrame, pairs: DataFrame, id_col: str, within: str, over: float = 0.45) -> DataFrame:
     """(within, id, cluster): in the order of ids, an item not yet taken begins a cluster and takes all later ones not yet taken that resemble it.
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import parsing
-from lodestone.operators import relational
+from lodestone.operators import mining, relational
 from lodestone.plans import project
 from lodestone.sources import code
 
@@ -54,3 +54,24 @@ def test_contradictions_of_all_texts(spark):
     if os.path.isdir(DATA):
         pairs = entry.queries()["pairwise_contradiction"](spark, DATA)
         assert pairs.filter("a div 100 != b div 100").count() > 0
+
+
+def test_grams_are_made_where_texts_are_dealt_to(spark, tmp_path):
+    spark.createDataFrame([(1, i, f"text {i % 3} of this") for i in range(9)], "conv long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/turns")
+    df = spark.read.parquet(f"{tmp_path}/turns")
+    grams = mining.char_grams(F.col("text"))
+    assert mining.tfidf_over(df, "turn", grams, "conv", 0.99).count() == 9
+    tf = mining.counted(df, "turn", grams, "conv")
+    plan = tf._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform" not in plan[plan.index("RepartitionByExpression") :]
+    assert tf.filter("t = 'text' and n = 1 and docs = 9").count() == 9
+
+
+def test_grams_tell_characters_apart_once(spark):
+    texts = ["", "a", "Ab", "aBc", "äöü€", "x𝒳yz𝒳", "two\nlines", None]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", mining.char_grams(F.col("t")).alias("g")).collect():
+        t = (r.t or "").lower()
+        assert r.g == [t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)]
+    # A text of 20,000 characters took a lower-casing of all of it for every one of its grams.
+    long = spark.createDataFrame([("ab" * 10_000,)] * 8, "t string").select(F.size(mining.char_grams(F.col("t"))).alias("n"))
+    assert {r.n for r in long.collect()} == {3 * 20_000 - 2 - 3 - 4}
