@@ -16,7 +16,7 @@ from lodestone.sources import code
 
 def _violations(spark, d):
     files = pj.python_files(spark, d)
-    return ci.architecture(files, code.documented(files), code.imports(files), {"src/g0/": ("os",)})
+    return ci.architecture(files, *code.facts(files, "documented", "imports"), {"src/g0/": ("os",)})
 
 
 @query(f"""WITH {PY} SELECT path, 'type_coverage' AS rule, 'medium' AS severity, 'step' || j AS what FROM p WHERE NOT b UNION ALL SELECT path, 'docstring_coverage', 'medium', unnest(['step' || j, 'make' || k]) FROM p WHERE NOT b

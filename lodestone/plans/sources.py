@@ -119,7 +119,6 @@ def memory_search(spark, d):
 SELECT root, name, depth::INTEGER AS depth FROM t""")
 def caller_tree(spark, d):
     """[G3, G4] Who calls a function, who calls those, up to three steps; each name once a step."""
-    files = pj.python_files(spark, d)
-    symbols = code.symbols(files).filter("type = 'function'")
-    found = rs.callers(code.calls(files).filter("receiver is null and callee like 'make%'"), symbols)
+    symbols, calls = code.facts(pj.python_files(spark, d), "symbols", "calls")
+    found = rs.callers(calls.filter("receiver is null and callee like 'make%'"), symbols.filter("type = 'function'"))
     return graph.caller_tree(found.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), 3)

@@ -75,3 +75,46 @@ def test_grams_tell_characters_apart_once(spark):
     # A text of 20,000 characters took a lower-casing of all of it for every one of its grams.
     long = spark.createDataFrame([("ab" * 10_000,)] * 8, "t string").select(F.size(mining.char_grams(F.col("t"))).alias("n"))
     assert {r.n for r in long.collect()} == {3 * 20_000 - 2 - 3 - 4}
+
+
+def test_a_text_is_parsed_once_for_all_its_facts(monkeypatch):
+    seen, parse = [], parsing.ast.parse
+    monkeypatch.setattr(parsing.ast, "parse", lambda text: seen.append(text) or parse(text))
+    text = "class A(B, m.C):\n    def f(self, a: int, b: list[int] = (), *c, d=None) -> 'A':\n        '''doc'''\n    def g(self, n: int=2, e=None) -> int: pass\nasync def h(x: T, /, y=True): pass\n"
+    for _ in range(2):
+        assert [s[4] for s in parsing.symbols("a.py", text)] == [None, None, "(self, a: int, b: list[int]=(), *c, d=None) -> 'A'", "(self, n: int=2, e=None) -> int", "(x: T, /, y=True)"]
+        assert parsing.bases("a.py", text) == [("A", "B", 0), ("A", "m.C", 1)]
+        assert [d for _, d, _ in parsing.documented(text)] == [False, True, False] and parsing.valid("a.py", text)
+    assert seen == [text]
+    # A shape takes docstrings out of its own tree.
+    assert parsing.shape(text) and "'''doc'''" in parsing.skeleton(text) and parsing.documented(text)[1][1]
+
+
+def test_facts_of_one_pass_are_those_of_each(spark):
+    texts = [(f"a/m{i}.py", f"import os, b.c as d\nfrom x import y, z\nclass C{i}(B, C{i - 1}):\n    def run(self, n: int) -> int:\n        v: D = D(n)\n        return v.go(n)\n") for i in range(7)]
+    texts += [("empty.py", ""), ("none.py", None), (None, "def f(): pass"), ("broken.py", "def f(:\n  a = B(1)"), ("n.md", "# T\nx()"), ("s.ts", "class W extends V {}\nconst a: T = f(1);"), ("k.txt", "x(1)")]
+    files = spark.createDataFrame(texts, "path string, text string").repartition(3)
+    got = code.facts(files, *code.MAKERS)
+    for name, found in zip(code.MAKERS, got, strict=True):
+        want = code.documented(files) if name == "documented" else getattr(code, name)(files)
+        assert found.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect())) != []
+    assert all(f.count() == 0 for f in code.facts(files.limit(0), "symbols", "calls"))
+
+
+def test_a_worker_holds_the_rows_of_some_files_at_once(spark):
+    files = spark.range(0, 3 * code.AT_ONCE + 7, 1, 1).select(F.concat(F.lit("m"), "id", F.lit(".py")).alias("path"), F.lit("a = f(1)\nb = g(2)").alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield b.from_pydict({"n": [b.num_rows]})
+
+    got = [r.n for r in code.calls(files).mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 2 * (3 * code.AT_ONCE + 7) and code.calls(files).count() == sum(got)
+    assert [len(p) for p, _ in code._some(iter([_batch(3 * code.AT_ONCE + 7)]))] == [code.AT_ONCE] * 3 + [7]
+
+
+def _batch(n):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_pydict({"path": ["a.py"] * n, "text": ["a = f(1)"] * n})
