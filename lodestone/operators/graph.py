@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,17 +28,66 @@ def reach(edges: DataFrame, roots: DataFrame, max_depth: int, max_nodes: int | N
     return seen if max_nodes is None else seen.orderBy("depth", "node").limit(max_nodes)
 
 
+#: Words of 64 bits in a piece of a list, and in what a worker merges at once.
+PIECE, MERGED = 256, 1 << 20
+
+
 def two_hops(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, n): of distinct edges (a, b), how many distinct a there are, itself included, that share a b with each a.
+    """(a, n): how many distinct a there are, itself included, that share a b with each a.
 
     The a of a b are bits of words of 64, so that a b of many a makes a 64th of
-    the rows that pairs would; words of an a are or-ed before they are dealt out.
-    ``a`` is a whole number.
+    what pairs would. Each a gets the words of its b in pieces of lists; these
+    come sorted by a, and a worker keeps the words of one a at a time, so no
+    task holds groups of all that meet. ``a`` is a whole number; rows with a
+    null count for nothing.
     """
+    rows = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col(a), F.lit(64)).cast("int"))
-    words = edges.groupBy(b, F.floor(F.col(a) / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    met = edges.select(a, b).join(words, b).groupBy(a, "_word").agg(F.bit_or("_bits").alias("_bits"))
-    return met.groupBy(a).agg(F.sum(F.bit_count("_bits")).alias("n"))
+    words = rows.groupBy(b, F.floor(F.col(a) / 64).alias("_w")).agg(F.bit_or(bit).alias("_bits"))
+    lists = words.groupBy(b).agg(F.collect_list(F.struct("_w", "_bits")).alias("_l"))
+    pieces = F.transform(F.sequence(F.lit(1), F.size("_l"), F.lit(PIECE)), lambda i: F.slice("_l", i, PIECE))
+    lists = lists.select(F.col("_l").alias("_all"), F.explode(pieces).alias("_l")).select(F.inline("_all"), "_l")
+    inside = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("_bits", i) == 1)
+    met = lists.select(F.explode(inside).alias("_i"), "_w", F.col("_l._w").alias("words"), F.col("_l._bits").alias("bits"))
+    met = met.select((F.col("_w") * 64 + F.col("_i")).alias("a"), "words", "bits").repartition("a").sortWithinPartitions("a")
+    return met.mapInArrow(_counted, "a long, n long").select(F.col("a").cast(edges.schema[a].dataType).alias(a), "n")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, n) of rows (a, words, bits) in order of a: the bits of all its words, those of equal words or-ed."""
+    now, words, bits, held = None, [], [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        w, v = np.concatenate(words), np.concatenate(bits)
+        order = np.argsort(w)
+        w, v = w[order], v[order]
+        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        return w[first], np.bitwise_or.reduceat(v, first)
+
+    for batch in batches:
+        keys, done = batch.column(0).to_numpy(), []
+        ends = batch.column(1).offsets.to_numpy()
+        w, v = (batch.column(i).values.to_numpy() for i in (1, 2))
+        if not len(keys):
+            continue
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        for i, j in zip(starts, [*starts[1:], len(keys)], strict=True):
+            if now is not None and keys[i] != now:
+                done.append((now, int(np.bitwise_count(merged()[1].view(np.uint64)).sum())))
+                words, bits, held = [], [], 0
+            now = int(keys[i])
+            words.append(w[ends[i] : ends[j]])
+            bits.append(v[ends[i] : ends[j]])
+            held += ends[j] - ends[i]
+            if held > MERGED:
+                one, two = merged()
+                words, bits, held = [one], [two], 0
+        if done:
+            yield pa.RecordBatch.from_pydict({"a": [k for k, _ in done], "n": [n for _, n in done]})
+        # What is kept for the next batch is no view of this one.
+        words, bits = [x.copy() for x in words], [x.copy() for x in bits]
+    if now is not None:
+        yield pa.RecordBatch.from_pydict({"a": [now], "n": [int(np.bitwise_count(merged()[1].view(np.uint64)).sum())]})
 
 
 def import_edges(links: DataFrame) -> DataFrame:

@@ -53,3 +53,35 @@ def test_two_hops(spark):
     for a, b in edges:
         at.setdefault(b, set()).add(a)
     assert got == {a: len(set().union(*(at[b] for x, b in edges if x == a))) for a, _ in edges}
+
+
+def test_two_hops_in_pieces_and_batches(spark, monkeypatch):
+    """Lists of several pieces, words merged on the way, an a over several batches, nulls, repeats and negative numbers; no groups of all that meet."""
+    rng = random.Random(2)
+    edges = [(rng.randrange(-40_000, 40_000), rng.randrange(12)) for _ in range(2500)] + [(7, b) for b in range(12)] * 2
+    df = spark.createDataFrame([*edges, (None, 1), (5, None)], "a long, b long")
+    met = graph.two_hops(df, "a", "b")
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.index("MapInArrow") < plan.index("Aggregate")
+    at = {}
+    for a, b in edges:
+        at.setdefault(b, set()).add(a)
+    want = {a: len(set().union(*(at[b] for x, b in edges if x == a))) for a, _ in edges}
+    assert max(len({x // 64 for x in s}) for s in at.values()) > graph.PIECE // 2
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    monkeypatch.setattr(graph, "PIECE", 50)
+    try:
+        assert {r.a: r.n for r in graph.two_hops(df, "a", "b").collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.a: r.n for r in met.collect()} == want
+
+
+def test_words_are_merged_before_they_are_many(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(graph, "MERGED", 3)
+    lists = [[0, 1], [1, 2], [0], [5], [2, 1, 0]]
+    batch = lambda keys, rows: pa.RecordBatch.from_pydict({"a": pa.array(keys, pa.int64()), "words": pa.array(rows, pa.list_(pa.int64())), "bits": pa.array([[-1] * len(r) for r in rows], pa.list_(pa.int64()))})
+    got = [r for b in graph._counted(iter([batch([3, 3], lists[:2]), batch([], []), batch([3, 4, 5], lists[2:])])) for r in b.to_pylist()]
+    assert got == [{"a": 3, "n": 192}, {"a": 4, "n": 64}, {"a": 5, "n": 192}]
