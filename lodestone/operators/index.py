@@ -1,8 +1,8 @@
 """A term index: built once, so that no search reads the texts again.
 
-Postings (term, id, times, words, terms) lie in Parquet, dealt into files by
-ranges of terms and sorted by them, so that a search reads the row groups of its
-own terms only. Scores are those of the search over texts.
+Postings (term, id, times, words, terms) lie in Parquet, each file those of some
+documents sorted by term, so that a search reads the pages of its own terms
+only. Scores are those of the search over texts.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
-from lodestone.session import shared_dir
+from lodestone.session import dealt, shared_dir
 
 #: Postings a file, about.
 FILE_ROWS = 4_000_000
@@ -44,12 +44,15 @@ class TermIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> TermIndex:
-        """Writes the index of ``docs`` to ``folder``; the postings are sorted by the range of their terms."""
+        """Writes the index of ``docs`` to ``folder``: documents are dealt out once, and the postings of a part are sorted by term where they are made.
+
+        A term is then in each file, in the pages that the file's statistics name; postings, many times as many as documents, are never shuffled.
+        """
         spark = docs.sparkSession
         words = F.coalesce(F.size(tokens(F.coalesce(F.col(text_col), F.lit("")))), F.lit(0)).cast("double")
         docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(words).alias("mean")).write.parquet(f"{folder}/stats")
-        rows = postings(docs, id_col, text_col)
-        rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/postings")
+        rows = postings(dealt(docs, id_col), id_col, text_col)
+        rows.sortWithinPartitions("term", "id").write.option("maxRecordsPerFile", FILE_ROWS).parquet(f"{folder}/postings")
         return cls(spark, folder)
 
     @classmethod

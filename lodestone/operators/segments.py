@@ -1,13 +1,13 @@
 """A term index in segments that never change: an update writes its own rows and no others.
 
 A segment holds the postings (term, id, words, places) of the documents that one
-update brought, sorted by term; ``gone`` holds the ids that an update replaced or
+update brought, each file sorted by term; ``gone`` holds the ids that an update replaced or
 deleted, by which postings of earlier segments are dead. A manifest names what
 counts and is put in place in one step, so that readers see the index before or
 after an update. Segments of like size are merged, dead postings left out, so a
 document is written again about log(n) times in all.
 
-Searches read the row groups of their own terms. A search is a tree of
+Searches read the pages of their own terms. A search is a tree of
 :class:`Term`, :class:`Prefix`, :class:`Phrase`, :class:`And`, :class:`Or` and
 :class:`Not`; one pass over the postings of all its terms tells of each document
 what leaves of the tree it meets.
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
+from lodestone.session import dealt
 from lodestone.sources import manifests
 
 #: Segments of one size class (rows by powers of WIDER) that are merged once there are as many.
@@ -130,8 +131,9 @@ class Segments:
         manifests.put(self.spark, f"{self.folder}/manifest.json", state, uuid.uuid4().hex)
 
     def _write(self, rows: DataFrame, number: int) -> dict:
+        """Postings in files sorted by term, each of the documents of one part: none is shuffled, as they are many times as many."""
         name = f"postings-{number}-{uuid.uuid4().hex}"
-        rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{self.folder}/{name}")
+        rows.sortWithinPartitions("term", "id").write.parquet(f"{self.folder}/{name}")
         written = self.spark.read.parquet(f"{self.folder}/{name}")
         return {"name": name, "number": number, "rows": written.count()}
 
@@ -145,7 +147,7 @@ class Segments:
             name = f"gone-{number}-{uuid.uuid4().hex}"
             ids.filter("id is not null").distinct().withColumn("since", F.lit(number)).write.parquet(f"{self.folder}/{name}")
             state["gone"].append(name)
-        state["segments"].append(self._write(postings(docs, id_col, text_col), number))
+        state["segments"].append(self._write(postings(dealt(docs, id_col), id_col, text_col), number))
         state["number"] = number
         self._put(state)
         self._merge(state)

@@ -5,7 +5,9 @@ import re
 import uuid
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from lodestone.operators.index import TermIndex
 from lodestone.operators.pivots import PivotIndex
 from lodestone.operators.segments import And, Not, Or, Phrase, Prefix, Segments, Term, postings
 from lodestone.streaming import changes
@@ -126,3 +128,19 @@ def test_postings_of_long_empty_and_null_texts(spark):
     got = {(r.id, r.term): (r.words, r.places) for r in postings(docs, "doc_id", "text").collect()}
     want = {(1, w): (9000, [i for i in range(9000) if words[i] == w]) for w in set(words)}
     assert got == want | {(4, "the"): (4, [0, 1, 2]), (4, "x"): (4, [3])}
+
+
+def test_postings_stay_where_their_document_is(spark, tmp_path):
+    """Files sorted by term, and all postings of a document in one of them: they were dealt out by ranges of terms."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(i % 23))) for i in range(200)] + [(900, None), (901, "")], "doc_id long, text string").repartition(3)
+    TermIndex.build(docs, f"{tmp_path}/index")
+    segments = Segments(spark, f"{tmp_path}/segments")
+    segments.update(docs)
+    parts = [f"{tmp_path}/index/postings", f"{tmp_path}/segments/{segments.state()['segments'][0]['name']}"]
+    for part in parts:
+        rows = spark.read.parquet(part).select("term", "id", F.input_file_name().alias("file"))
+        files = [r.file for r in rows.select("file").distinct().collect()]
+        assert len(files) > 1 and rows.select("id", "file").distinct().count() == rows.select("id").distinct().count() == sum(i % 23 > 0 for i in range(200))
+        for f in files:
+            got = [(r.term, r.id) for r in spark.read.parquet(f).select("term", "id").coalesce(1).collect()]
+            assert got == sorted(got)
