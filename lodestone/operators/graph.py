@@ -124,15 +124,17 @@ def descendants(edges: DataFrame, max_depth: int) -> DataFrame:
 
 def paths(edges: DataFrame, max_length: int) -> DataFrame:
     """(path, closed) of simple paths of up to ``max_length`` edges whose first node is their smallest; ``closed`` if they end where they began."""
-    e = cut(edges.select("src", "dst").filter("src != dst").distinct())
+    e = cut(edges.select("src", "dst").filter("src != dst").distinct()).hint("merge")
     found = None
     open_ = e.filter("src < dst").select(F.array("src", "dst").alias("path"))
-    for _ in range(max_length - 1):
+    for length in range(2, max_length + 1):
         last, first = F.element_at("path", -1), F.col("path")[0]
         step = open_.join(e, last == e.src).filter((F.col("dst") == first) | ((F.col("dst") > first) & ~F.array_contains("path", F.col("dst"))))
+        # A step is made once; of the last one nobody asks for what is still open.
+        step = cut((step if length < max_length else step.filter(F.col("dst") == first)).select("path", "dst"))
         closed = step.filter(F.col("dst") == first).select("path")
         found = closed if found is None else found.union(closed)
-        open_ = cut(step.filter(F.col("dst") != first).select(F.array_append("path", F.col("dst")).alias("path")))
+        open_ = step.filter(F.col("dst") != first).select(F.array_append("path", F.col("dst")).alias("path"))
     return found
 
 

@@ -85,3 +85,14 @@ def test_words_are_merged_before_they_are_many(monkeypatch):
     batch = lambda keys, rows: pa.RecordBatch.from_pydict({"a": pa.array(keys, pa.int64()), "words": pa.array(rows, pa.list_(pa.int64())), "bits": pa.array([[-1] * len(r) for r in rows], pa.list_(pa.int64()))})
     got = [r for b in graph._counted(iter([batch([3, 3], lists[:2]), batch([], []), batch([3, 4, 5], lists[2:])])) for r in b.to_pylist()]
     assert got == [{"a": 3, "n": 192}, {"a": 4, "n": 64}, {"a": 5, "n": 192}]
+
+
+def test_paths_make_each_step_once(spark, monkeypatch):
+    cuts, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: cuts.append(cut(df)) or cuts[-1])
+    edges = spark.createDataFrame([(a, b) for a in range(6) for b in range(6) if a != b], "src long, dst long")
+    got = sorted(tuple(r.path) for r in graph.cycles(edges, 3).collect())
+    pairs = [(a, b) for a in range(6) for b in range(a + 1, 6)]
+    assert got == sorted(pairs + [(a, b, c) for a in range(6) for b in range(a + 1, 6) for c in range(a + 1, 6) if b != c])
+    # The last step holds circles only: paths that are still open were made there, for nobody.
+    assert [c.count() for c in cuts] == [30, 15 + 40, 40]
