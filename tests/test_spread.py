@@ -90,6 +90,19 @@ def test_a_text_is_parsed_once_for_all_its_facts(monkeypatch):
     assert parsing.shape(text) and "'''doc'''" in parsing.skeleton(text) and parsing.documented(text)[1][1]
 
 
+def test_statements_written_alike_are_not_looked_into(monkeypatch):
+    text = "import a\n@d\nclass A(B):\n    'doc'\n    def f(self):\n        'doc'\n        return [x\n            for x in self]\n    def g(self): pass\nif a:\n    b = 1; c = 2\nelif d:\n    e()\nelse:\n    try:\n        f()\n    except* E:\n        class C: 'doc'\nmatch x:\n    case 1:\n        y = 'é'\n"
+    others = [text.replace(*r) for r in (("'doc'", "'other'"), ("        'doc'\n", ""), (": 'doc'", ": pass"), ("@d", "@e"), ("(B)", "(C)"), ("= 1; c", "= 1;  c"), ("= 2", "= 3"), ("elif d", "elif e"), ("except*", "except"), ("case 1", "case 2"), ("    e()", "    e() # e"), ("g(self)", "g(this)"), ("elif d:\n    e()\n", ""), ("'é'", "'e'"), ("\nif", "\r# c\rif"), ("import a", "import a:"), ("import a\n", ""))]
+    for other in [text, "", *others]:
+        a, b = parsing.shape(text), parsing.shape(other)
+        assert parsing.same(text, other) == parsing.same(other, text) == (None if b is None else a == b), other
+    assert [parsing.same(text, x) for x in others].count(True) == 6
+    seen, dump = [], parsing.ast.dump
+    monkeypatch.setattr(parsing.ast, "dump", lambda node: seen.append(node) or dump(node))
+    assert parsing.same(text, text.replace("'doc'", "'other'", 2).replace("import a", "import a  # c"))
+    assert all(isinstance(n, parsing.ast.alias | parsing.ast.expr | parsing.ast.arguments) for n in seen) and len(seen) < 20
+
+
 def test_facts_of_one_pass_are_those_of_each(spark):
     texts = [(f"a/m{i}.py", f"import os, b.c as d\nfrom x import y, z\nclass C{i}(B, C{i - 1}):\n    def run(self, n: int) -> int:\n        v: D = D(n)\n        return v.go(n)\n") for i in range(7)]
     texts += [("empty.py", ""), ("none.py", None), (None, "def f(): pass"), ("broken.py", "def f(:\n  a = B(1)"), ("n.md", "# T\nx()"), ("s.ts", "class W extends V {}\nconst a: T = f(1);"), ("k.txt", "x(1)")]
