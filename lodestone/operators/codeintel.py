@@ -42,10 +42,19 @@ def guard(symbols: DataFrame, references: DataFrame, key: str, home: str, stabil
 
 
 def related(parts: list[tuple[DataFrame, str, float]], key: str, floor: float = 0.5, most: int = 5) -> DataFrame:
-    """(key, target, reason, confidence): per key the ``most`` best of the related targets of all parts, each target once."""
-    rows = reduce(DataFrame.unionByName, [p.select(key, "target").withColumns({"reason": F.lit(r), "confidence": F.lit(c)}) for p, r, c in parts])
-    rows = first_n(rows.filter(F.col("confidence") >= floor), [key, "target"], 1, F.desc("confidence"), F.col("reason"))
-    return first_n(rows, [key], most, F.desc("confidence"), F.col("target"))
+    """(key, target, reason, confidence): per key the ``most`` best of the related targets of all parts, each target once.
+
+    A target is told at most once by each confidence, so the best are among so
+    many first pairs of a key; Spark takes that limit before the shuffle, and
+    what meets in a task are a few rows a key and part of the input.
+    """
+    best = sorted(parts, key=lambda p: (-p[2], p[1]))
+    rows = reduce(DataFrame.unionByName, [p.select(key, "target", F.lit(i).alias("_i"), F.lit(c).alias("confidence")).filter(F.lit(c >= floor)) for i, (p, _, c) in enumerate(best, 1)])
+    pairs = F.dense_rank().over(Window.partitionBy(key).orderBy(F.desc("confidence"), "target"))
+    rows = rows.withColumn("_n", pairs).filter(F.col("_n") <= most * len({c for _, _, c in parts}))
+    rows = rows.groupBy(key, "target").agg(F.min("_i").alias("_i"))
+    told = lambda n: F.element_at(F.array(*[F.lit(p[n]) for p in best]), F.col("_i"))
+    return first_n(rows.withColumn("confidence", told(2)), [key], most, F.desc("confidence"), F.col("target")).select(key, "target", told(1).alias("reason"), "confidence")
 
 
 def hydration(refs: DataFrame, sizes: DataFrame, least: int = 3, most: int = 5, per_symbol: int = 40, budget: int = 2000) -> DataFrame:

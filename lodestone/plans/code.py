@@ -65,7 +65,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY s, target ORDER BY c DESC, reaso
 def related_changes(spark, d):
     """[C15, W17, Q51] What else a change is likely to touch."""
     li = table(spark, d, "lineitem")
-    part = lambda f: li.filter(f"l_returnflag = '{f}'").select(F.col("l_suppkey").alias("suppkey"), F.col("l_partkey").alias("target")).distinct()
+    part = lambda f: li.filter(f"l_returnflag = '{f}'").select(F.col("l_suppkey").alias("suppkey"), F.col("l_partkey").alias("target"))
     return ci.related([(part("R"), "caller", 1.0), (part("N"), "test", 0.95), (part("A"), "weak", 0.4)], "suppkey").select("suppkey", "target", "reason", "confidence")
 
 

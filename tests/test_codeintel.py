@@ -31,3 +31,27 @@ def test_context(spark):
     b = spark.createDataFrame([("A", 2, "second"), ("A", 1, "first")], "name string, position int, code string")
     i = spark.createDataFrame([], "name string, line int, code string")
     assert [tuple(r) for r in ci.context(t, b, i, 20).collect()] == [("A", "x" * 32, "first\nsecond", "")]
+
+
+def test_related_takes_few_rows_of_a_key_before_the_shuffle(spark):
+    import random
+
+    rng = random.Random(4)
+    told = [("test", 0.95), ("caller", 1.0), ("copy", 1.0), ("weak", 0.4)]
+    rows = [[(rng.choice([1, 2, None]), rng.choice([None, *range(9)])) for _ in range(60)] for _ in told]
+    parts = [(spark.createDataFrame(r, "k int, target int").repartition(3), *t) for r, t in zip(rows, told, strict=True)]
+    want = set()
+    for key in (1, 2, None):
+        best = {}
+        for r, (reason, c) in zip(rows, told, strict=True):
+            for k, t in r:
+                if k == key and c >= 0.5:
+                    best[t] = min(best.get(t, (0, "")), (-c, reason))
+        first = sorted(best.items(), key=lambda x: (x[1][0], x[0] is not None, x[0] or 0))[:5]
+        want |= {(key, t, reason, -c) for t, (c, reason) in first}
+    got = ci.related(parts, "k")
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) == 15
+    assert ci.related(parts, "k", 2.0).count() == 0
+    plan = ci.related(parts, "k")._jdf.queryExecution().executedPlan().toString()
+    # Windows over each target's rows, and distinct rows of every part before, held all rows in tasks.
+    assert plan.count("Exchange hashpartitioning") == 1 and "Partial" in plan[plan.index("Exchange hashpartitioning") :]
