@@ -109,4 +109,4 @@ def base_type(annotation: Column) -> Column:
         out = F.regexp_replace(out, "^(?:typing\\.)?Optional\\[(.*)\\]$", "$1")
         out = F.regexp_replace(out, "^(.*?)\\s*\\|\\s*None$", "$1")
     out = F.regexp_replace(out, "\\[.*$", "")
-    return F.element_at(F.split(out, "\\."), -1)
+    return F.when(annotation.rlike("^\\w+$"), annotation).otherwise(F.element_at(F.split(out, "\\."), -1))  # most are plain names

@@ -12,6 +12,7 @@ from lodestone.functions import scores as sc
 from lodestone.functions import text as tx
 from lodestone.operators.intervals import containing
 from lodestone.operators.windows import first_n
+from lodestone.session import stored
 
 #: Behaviours, their patterns with weights, and the score from which a text shows them.
 BEHAVIORS = {
@@ -88,14 +89,22 @@ def resolve_imports(links: DataFrame, symbols: DataFrame) -> DataFrame:
     """(importer, name, path): the definition whose path fits the imported module, else the only one there is; null otherwise.
 
     ``links`` has (importer, module, names), ``symbols`` (name, path). Ties go to the smaller path.
+
+    Imports meet a row a name, its first and last path, which settles names with
+    none or one, so that no task orders all importers of a frequent name. Only
+    imports of names that several files define meet all of their paths.
     """
     asked = links.select("importer", "module", F.explode("names").alias("name")).distinct()
-    both = asked.join(symbols.select("name", "path").distinct(), "name", "left")
-    w = Window.partitionBy("importer", "module", "name")
+    ends = symbols.groupBy("name").agg(F.min("path").alias("path"), F.max("path").alias("last"))
+    rows = stored(asked.join(ends.hint("merge"), "name", "left")).hint("merge")  # read twice
+    one = rows.filter("path is null or path = last").select("importer", "name", "path")
+    several = rows.filter("path != last").select("importer", "module", "name")
+    if several.isEmpty():
+        return one
     fits = F.coalesce(paths.fits(F.col("path"), paths.module_path(F.col("module"), F.col("importer"))), F.lit(False))
-    rows = both.withColumns({"fits": fits, "n": F.count("path").over(w)})
-    rows = rows.withColumn("_r", F.row_number().over(w.orderBy(F.desc("fits"), "path"))).filter("_r = 1")
-    return rows.select("importer", "name", F.when(F.col("fits") | (F.col("n") == 1), F.col("path")).alias("path"))
+    met = several.join(symbols.select("name", "path").distinct(), "name")
+    best = met.groupBy("importer", "module", "name").agg(F.min(F.when(fits, F.col("path"))).alias("path"))
+    return one.unionByName(best.select("importer", "name", "path"))
 
 
 def blueprint(symbols: DataFrame, texts: DataFrame, calls: DataFrame | None = None) -> DataFrame:
