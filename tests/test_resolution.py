@@ -101,6 +101,20 @@ def test_types_and_calls_are_dealt_out_by_path(spark):
     assert shuffles <= 9, shuffles
 
 
+def test_only_imports_of_bases_are_resolved_for_bases(spark, monkeypatch):
+    text = "import os\nfrom a.b import B, c\nfrom d import E as F, G\nclass A(B, G.h, B): pass\nclass C(E): pass\n"
+    assert parsing.base_imports("m.py", text) == [("a.b", ["B"], 2), ("d", ["E"], 3)]
+    assert parsing.base_imports("m.py", "from a import B") == parsing.base_imports("m.py", "class A(B:\nfrom a import B") == []
+    if os.path.isdir(DATA):
+        import __spark_entry__ as entry
+
+        asked, resolve = [], ci.resolve_imports
+        monkeypatch.setattr(ci, "resolve_imports", lambda links, symbols: asked.append(links.selectExpr("explode(names)").count()) or resolve(links, symbols))
+        entry.queries()["inherited"](spark, DATA)
+        # 200 files import five names each, of which at most one is a base.
+        assert 0 < asked[0] <= 200
+
+
 def test_bases_by_strategy(spark):
     classes = [("p/a.py", "K"), ("p/s/b.py", "K"), ("q/c.py", "K"), ("p/s/b.py", "L")]
     s = spark.createDataFrame([(*c, "class") for c in classes], "path string, name string, type string")
