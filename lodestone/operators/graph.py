@@ -104,7 +104,8 @@ def caller_tree(edges: DataFrame, max_depth: int = 3) -> DataFrame:
     out = level = step.select(F.col("dst").alias("root"), F.col("src").alias("name"), F.lit(1).alias("depth"))
     for depth in range(2, max_depth + 1):
         nxt = level.join(step.select(F.col("dst").alias("name"), F.col("src").alias("up")), "name").select("root", F.col("up").alias("name")).distinct()
-        level = cut(nxt.withColumn("depth", F.lit(depth)))
+        level = nxt.withColumn("depth", F.lit(depth))
+        level = cut(level) if depth < max_depth else level  # nobody goes on from the last
         out = out.unionByName(level)
     return out
 

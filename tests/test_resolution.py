@@ -125,3 +125,17 @@ def test_bases_by_strategy(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     # The rows of a base's name met its classes twice, and a window after that.
     assert "Window" not in _plan(got)
+
+
+def test_callers_of_callers_are_written_only_where_they_are_read(spark, monkeypatch):
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or cut(df))
+    rng = random.Random(6)
+    edges = [(rng.choice("abcdef"), rng.choice("abcdefg")) for _ in range(14)]
+    got = graph.caller_tree(spark.createDataFrame(edges, "src string, dst string"), 3)
+    assert len(written) == 2  # the edges and the callers of callers; the last step was written too
+    level, want = {(d, s) for s, d in edges}, set()
+    for depth in (1, 2, 3):
+        want |= {(r, n, depth) for r, n in level}
+        level = {(r, s) for r, n in level for s, d in edges if d == n}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
