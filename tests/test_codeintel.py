@@ -1,8 +1,13 @@
+import os
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import parsing as ps
 from lodestone.functions import paths as ph
 from lodestone.operators import codeintel as ci
+from lodestone.operators import impact
 from tests.test_code import PY
 
 
@@ -55,3 +60,35 @@ def test_related_takes_few_rows_of_a_key_before_the_shuffle(spark):
     plan = ci.related(parts, "k")._jdf.queryExecution().executedPlan().toString()
     # Windows over each target's rows, and distinct rows of every part before, held all rows in tasks.
     assert plan.count("Exchange hashpartitioning") == 1 and "Partial" in plan[plan.index("Exchange hashpartitioning") :]
+
+
+def test_indirect_callers(spark):
+    rng = random.Random(3)
+    names = [f"f{i}" for i in range(12)]
+    found = {(rng.choice(names), f"p{rng.randrange(4)}", rng.choice(names)) for _ in range(60)} | {("f1", f"q{i}", "run") for i in range(9)} | {("run", f"q{i}", "f2") for i in range(30)}
+    asked = {(p, c) for _, p, c in found} | {("p0", n) for n in names} | {("p0", "nobody")}
+    want = {}
+    for path, name in asked:
+        seen, todo, got = set(), [(path, name, 0)], set()
+        while todo:
+            p, n, depth = todo.pop(0)
+            if depth < 2 and (p, n) not in seen:
+                seen.add((p, n))
+                more = [(q, c) for callee, q, c in found if callee == n and (q, c) not in seen]
+                got |= set(more)
+                todo += [(q, c, depth + 1) for q, c in more]
+        if got:
+            want[path, name] = len(got)
+    calls = spark.createDataFrame(sorted(found), "name string, path string, caller string")
+    for pairs in (1, 40, 10**6):
+        rows = impact.indirect_callers(spark.createDataFrame(sorted(asked), "path string, name string"), calls, pairs).collect()
+        assert {(r.path, r.name): r.n for r in rows} == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_report_counts_callers_of_callers(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["impact_report"](spark, "/root/testdata/sf0.001").filter("name = 'make2'").collect()
+    # A method and a function call make2; all functions call a method by that name.
+    assert [(r.callers, r.risk) for r in rows] == [(2, "critical")] and "indirect callers" in rows[0].breaking
