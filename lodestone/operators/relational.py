@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import stored
+
 
 def where(df: DataFrame, equal: dict[str, object] | None = None, at_least: dict[str, object] | None = None, like: dict[str, str] | None = None) -> DataFrame:
     """Conjunction of the filters given; None values filter nothing. ``like`` patterns ignore case."""
@@ -57,24 +62,103 @@ def similar_pairs(df: DataFrame, id_col: str, terms: Column, floor: float, withi
     return pairs.select("a", "b", sim.alias("similarity")).filter(F.col("similarity") > floor)
 
 
-def contradictions(df: DataFrame, id_col: str, text_col: str, words: Column, positive: list[str], negative: list[str], within: str | None = None, parts: int = 16) -> DataFrame:
+def contradictions(df: DataFrame, id_col: str, text_col: str, words: Column, positive: list[str], negative: list[str], within: str | None = None, at_once: int = 4096) -> DataFrame:
     """(a, b) of texts (of one ``within``, if that is given) that share a word, one with a positive and the other with a negative marker (substrings, lower-cased); ids are whole numbers.
 
-    A word's texts are bits of words of 64, so that two texts meet once however
-    many words they share; a word's texts are dealt into ``parts``, so that
-    those of a frequent one are not met in one task.
+    The texts are dealt by id into groups of about ``at_once`` (fewer, if they
+    are long), and each two groups meet in a task of their own as a table of
+    bits: so two texts meet once however many words they share, and a task is
+    as large for a frequent word as for a rare one, at any size of the input.
     """
     low = F.lower(text_col)
-    has = lambda marks: reduce(lambda x, y: x | y, [low.contains(m) for m in marks])
-    rows = df.select(F.col(id_col).cast("long").alias("id"), has(positive).alias("p"), has(negative).alias("n"), (F.col(within) if within else F.lit(0)).alias("k"), F.explode(words).alias("w")).filter("p or n")
-    block, bit = F.floor(F.col("id") / 64), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("id", F.lit(64)).cast("int"))
-    theirs = rows.groupBy("k", "w", block.alias("block")).agg(F.bit_or(F.when(F.col("p"), bit)).alias("pb"), F.bit_or(F.when(F.col("n"), bit)).alias("nb"))
-    theirs = theirs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    mine = rows.select("id", "p", "n", "k", "w", block.alias("own"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
-    met = mine.join(theirs.hint("merge"), ["k", "w", "part"]).filter("block >= own").groupBy("id", "block").agg(F.bit_or(F.when(F.col("p"), F.col("nb"))).alias("x"), F.bit_or(F.when(F.col("n"), F.col("pb"))).alias("y"))
-    bits = F.coalesce("x", F.lit(0)).bitwiseOR(F.coalesce("y", F.lit(0)))
-    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.bit_get(bits, i) == 1)
-    return met.select(F.col("id").alias("a"), "block", F.explode(places).alias("i")).select("a", (F.col("block") * 64 + F.col("i")).alias("b")).filter("a < b")
+    has = lambda marks: reduce(lambda x, y: x | y, [F.coalesce(low.contains(m), F.lit(False)) for m in marks])
+    rows = df.select(F.col(id_col).cast("long").alias("id"), has(positive).alias("p"), has(negative).alias("n"), (F.col(within) if within else F.lit(0)).alias("k"), F.array_compact(words).alias("w"))
+    rows = stored(rows.filter("(p or n) and size(w) > 0 and id is not null and k is not null"))
+    groups = F.ceil(F.greatest(F.count(F.lit(1)) / at_once, F.sum(F.size("w")) / (64 * at_once))).cast("int")
+    if within:
+        rows, most = rows.join(rows.groupBy("k").agg(groups.alias("_g")), "k"), 1
+    else:
+        most = rows.agg(groups).first()[0] or 1
+        rows = rows.withColumn("_g", F.lit(most))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int")).withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    least, last = F.least("_own", "_to"), F.greatest("_own", "_to")
+    side = F.when(least == last, 2).when(F.col("_own") == least, 0).otherwise(1)
+    met = rows.select(F.concat_ws("/", F.col("k").cast("string"), least.cast("string"), last.cast("string")).alias("key"), "id", side.alias("side"), "p", "n", "w")
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, most * (most + 1) // 2)
+    return met.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_opposed, "a long, b long")
+
+
+def _opposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of rows (key, id, side, p, n, w) in order of key, those of one key at a time."""
+    held, now = [], None
+    for batch in batches:
+        keys = batch.column(0).to_pylist()
+        starts = [i for i, key in enumerate(keys) if i == 0 or key != keys[i - 1]]
+        for i, j in zip(starts, [*starts[1:], len(keys)], strict=True):
+            if held and keys[i] != now:
+                yield from _met(pa.Table.from_batches(held))
+                held = []
+            now = keys[i]
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield from _met(pa.Table.from_batches(held))
+
+
+#: Cells of a table of bits whose pairs go out at once; pairs of a word up to which words are met together, and pairs so met at once.
+CELLS, RARE, TOGETHER = 1 << 20, 64, 1 << 20
+
+
+def _met(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The pairs of one key: texts of side 0 with those of side 1, or those of side 2 among themselves."""
+    ids, side, p, n = (rows.column(i).combine_chunks().to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4))
+    w = rows.column(5).combine_chunks()
+    word = w.flatten().dictionary_encode().indices.to_numpy()
+    row = np.repeat(np.arange(len(ids)), w.value_lengths().to_numpy())
+    sides = []
+    for mine in (0, 1):
+        chosen = (side == mine) | (side == 2)
+        names, at = np.unique(ids[chosen], return_inverse=True)
+        place = np.zeros(len(ids), np.int64)
+        place[chosen] = at
+        of = [row[np.flatnonzero((chosen & mark)[row])] for mark in (p, n)]
+        said = [word[np.flatnonzero((chosen & mark)[row])] for mark in (p, n)]
+        orders = [np.argsort(x, kind="stable") for x in said]
+        sides.append((names, [(x[o], place[r][o]) for x, r, o in zip(said, of, orders, strict=True)]))
+    (a, mine), (b, theirs) = sides
+    if not len(a) or not len(b):
+        return
+    bits = np.zeros((len(a), len(b)), bool)
+    for x, y in ((mine[0], theirs[1]), (mine[1], theirs[0])):
+        _mark(bits, *x, *y)
+    step = max(1, CELLS // len(b))
+    for i in range(0, len(a), step):
+        u, v = np.nonzero(bits[i : i + step])
+        u, v = a[u + i], b[v]
+        if len(side) and side[0] == 2:
+            keep = u < v
+            u, v = u[keep], v[keep]
+        if len(u):
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(u, v), "b": np.maximum(u, v)})
+
+
+def _mark(bits: np.ndarray, words: np.ndarray, at: np.ndarray, others: np.ndarray, there: np.ndarray) -> None:
+    """Sets the bits of all (at, there) that have an equal word; words are sorted."""
+    common = np.intersect1d(words, others)
+    s, e = (np.searchsorted(words, common, x) for x in ("left", "right"))
+    t, f = (np.searchsorted(others, common, x) for x in ("left", "right"))
+    pairs = (e - s) * (f - t)
+    rare = np.flatnonzero(pairs <= RARE)
+    for part in np.array_split(rare, 1 + len(rare) * RARE // TOGETHER):
+        one = np.repeat(part, pairs[part])
+        k = np.arange(len(one)) - np.repeat(np.cumsum(pairs[part]) - pairs[part], pairs[part])
+        width = (f - t)[one]
+        bits[at[s[one] + k // width], there[t[one] + k % width]] = True
+    line = np.zeros(bits.shape[1], bool)
+    for i in np.flatnonzero(pairs > RARE):
+        line[there[t[i] : f[i]]] = True
+        bits[at[s[i] : e[i]]] |= line
+        line[:] = False
 
 
 def priority_first(parts: list[DataFrame], keys: list[str], order: str) -> DataFrame:

@@ -9,7 +9,7 @@ from lodestone.functions import text as tx
 from lodestone.operators import intervals as iv
 from lodestone.operators import relational as rel
 from lodestone.plans.base import query
-from lodestone.session import table
+from lodestone.session import dealt, table
 
 #: Turns as ranges of character offsets in their conversation, and every 500th offset.
 OFFSETS = """r AS (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - length(text) AS s, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - 1 AS e FROM conversations WHERE length(text) > 0),
@@ -143,7 +143,8 @@ def similar_turns(spark, d):
 @query(f"WITH {WORDS}, x AS (SELECT id, t LIKE '%the%' OR t LIKE '%do%' AS p, t LIKE '%not%' OR t LIKE '%nin%' AS n, unnest(ws) AS k FROM w) SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b ON a.k = b.k AND a.id < b.id WHERE (a.p AND b.n) OR (a.n AND b.p)")
 def pairwise_contradiction(spark, d):
     """[J27, X5, X16, L15] Turns about the same thing with opposite markers, of all conversations."""
-    return rel.contradictions(_user_words(spark, d), "id", "text", F.col("ws"), ["the", "do"], ["not", "nin"])
+    u = dealt(table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", "text"), "conv_id", "turn")
+    return rel.contradictions(u.withColumn("id", F.col("conv_id") * 100 + F.col("turn")), "id", "text", tx.content_words(F.col("text")), ["the", "do"], ["not", "nin"])
 
 
 @query("""WITH a AS (SELECT l_orderkey k, 0 AS s, l_suppkey AS v FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT l_orderkey k, 1 AS s, l_suppkey AS v FROM lineitem WHERE l_returnflag = 'A'), c AS (SELECT o_orderkey k, 2 AS s, -1 AS v FROM orders)

@@ -56,6 +56,21 @@ def test_contradictions_of_all_texts(spark):
         assert pairs.filter("a div 100 != b div 100").count() > 0
 
 
+def test_contradictions_of_several_groups(spark):
+    rng = random.Random(8)
+    # Some ids repeat with other texts, one word is in nearly all of them, and some words are in two texts only.
+    texts = [(i % 370, " ".join(rng.choice(["tree", "not", "the", "leaf", f"w{rng.randrange(300)}"]) for _ in range(5))) for i in range(400)]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    rows = [(i, set(t.split(" ")), "the" in t, "not" in t) for i, t in texts]
+    want = sorted({(i, j) for i, s, p, n in rows for j, u, q, m in rows if i < j and s & u and (p and m or n and q)})
+    for at_once in (50, 4096):
+        found = relational.contradictions(df, "id", "text", F.split("text", " "), ["the"], ["not"], at_once=at_once)
+        assert sorted((r.a, r.b) for r in found.collect()) == want
+    # Texts meet by groups, not by words: nothing is joined, and pairs are no rows of a shuffle.
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
 def test_grams_are_made_where_texts_are_dealt_to(spark, tmp_path):
     spark.createDataFrame([(1, i, f"text {i % 3} of this") for i in range(9)], "conv long, turn long, text string").coalesce(1).write.parquet(f"{tmp_path}/turns")
     df = spark.read.parquet(f"{tmp_path}/turns")
